@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from evalloom.llm import simhash
+from evalloom.llm import imatch, mixing, quality, simhash, toxicity
 
 
 def queries() -> dict:
-    return {"op5_simhash_near_dedup": simhash.op5_simhash_near_dedup}
+    return {
+        "op1_quality_gam": quality.op1_quality_gam,
+        "op3_source_mixing": mixing.op3_source_mixing,
+        "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
+        "op8_toxicity": toxicity.op8_toxicity,
+        "op10_imatch_fingerprints": imatch.op10_imatch_fingerprints,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
