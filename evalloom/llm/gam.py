@@ -16,6 +16,12 @@ BINS, PAIR_BINS, PAIRS = 48, 8, 8
 ROUNDS, PAIR_ROUNDS, RATE, RIDGE, LEAST = 160, 60, 0.1, 2.0, 8.0
 
 
+def _edges(v: np.ndarray) -> np.ndarray:
+    """Cuts half way between neighbouring quantiles, so that unseen values between two of them go to the nearer."""
+    q = np.unique(np.quantile(v, np.linspace(0, 1, BINS + 1))) if len(v) else np.zeros(0)
+    return (q[1:] + q[:-1]) / 2
+
+
 def _cut(g: np.ndarray, h: np.ndarray) -> tuple[float, int]:
     """Best gain and place of one cut of a histogram; bins before the place go left."""
     gl, hl = np.cumsum(g)[:-1], np.cumsum(h)[:-1]
@@ -65,7 +71,7 @@ class PairwiseGam:
         n = len(y)
         rate = (y.sum() + 1.0) / (n + 2.0)
         self.intercept = float(np.log(rate / (1 - rate)))
-        self.edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) if n else np.zeros(0) for j in range(x.shape[1])]
+        self.edges = [_edges(x[:, j]) for j in range(x.shape[1])]
         bins = self.bins(x)
         self.tables = [np.zeros(len(e) + 1) for e in self.edges]
         if n < 2:

@@ -31,7 +31,7 @@ from evalloom.llm import common
 from evalloom.llm.gam import PairwiseGam
 from evalloom.llm.quality import training_rows
 
-THRESHOLD, WINDOW = 0.7, 12
+THRESHOLD, WINDOW, FEATURES = 0.7, 12, 6
 #: Nats of evidence for a candidate term, and for its share of yet unexplained documents.
 CANDIDATE, NOVEL = 9.0, 6.0
 #: Most candidate terms brought to the driver, best evidence first. Later ones explain next to nothing.
@@ -149,17 +149,16 @@ class Matcher:
         ws = tokens(text)
         hits = self.hits(ws) if ws else []
         if not hits:
-            return [0.0] * 7
+            return [0.0] * FEATURES
         marks = np.cumsum([t == '"' for t in ws])
-        free, quoted, scores, exact = [], [], [], 0
+        free, quoted, scores = [], [], []
         for i, k, e in hits:
             n1, n0 = self.counts[k]
-            w = weight(n1 - (own == 1), n0 - (own == 0)) * (0.6 if e else 1.0)
+            w = weight(n1 - (own == 1), n0 - (own == 0)) * (0.8 if e else 1.0)
             near = range(max(0, i - 3), min(len(ws), i + 4))
             is_quoted = marks[i] % 2 == 1 and marks[-1] > marks[i] or any(ws[j] in REPORTING for j in near)
             (quoted if is_quoted else free).append(w)
             scores.append((i, 0.0 if is_quoted else w))
-            exact += not e
         best, lo, run = 0.0, 0, 0.0
         for i, s in scores:
             run += s
@@ -167,7 +166,7 @@ class Matcher:
                 run -= scores[lo][1]
                 lo += 1
             best = max(best, run)
-        return [best, max(free, default=0.0), sum(free), sum(quoted), float(exact), float(len(hits) - exact), len(hits) / len(ws)]
+        return [best, max(free, default=0.0), sum(free), sum(quoted), float(len(hits)), len(hits) / len(ws)]
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +235,7 @@ def _scorer(model: tuple | None) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Matcher(*model[:2]) if model else None
         for b in batches:
-            x = np.array([m.features(t) for t in common.texts(b.column(b.num_columns - 1))]).reshape(len(b), 7) if m else None
+            x = np.array([m.features(t) for t in common.texts(b.column(b.num_columns - 1))]).reshape(len(b), FEATURES) if m else None
             s = model[2].score(x) if m else np.zeros(len(b))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64())], [*b.schema.names[:-1], "score"])
 
