@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evalloom.llm import imatch, langid, mixing, quality, simhash, toxicity
+from evalloom.llm import bpe, imatch, langid, mixing, quality, simhash, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_quality_gam": quality.op1_quality_gam,
         "op3_source_mixing": mixing.op3_source_mixing,
         "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
+        "op7_byte_level_bpe": bpe.op7_byte_level_bpe,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_language_bigru": langid.op9_language_bigru,
         "op10_imatch_fingerprints": imatch.op10_imatch_fingerprints,
