@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from evalloom.llm import bpe, imatch, langid, mixing, quality, simhash, toxicity
+import corpus_pipeline
+from evalloom.llm import bpe, imatch, langid, mixing, pst, quality, simhash, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_quality_gam": quality.op1_quality_gam,
+        "op2_suffix_tree_scoring": pst.op2_suffix_tree_scoring,
         "op3_source_mixing": mixing.op3_source_mixing,
         "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
         "op7_byte_level_bpe": bpe.op7_byte_level_bpe,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_language_bigru": langid.op9_language_bigru,
         "op10_imatch_fingerprints": imatch.op10_imatch_fingerprints,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
