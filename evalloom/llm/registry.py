@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from evalloom.llm import bpe, imatch, langid, mixing, pst, quality, simhash, toxicity
+from evalloom.llm import bpe, imatch, langid, mixing, nndescent, pst, quality, simhash, toxicity, training_order
 
 
 def queries() -> dict:
@@ -11,7 +11,9 @@ def queries() -> dict:
         "op1_quality_gam": quality.op1_quality_gam,
         "op2_suffix_tree_scoring": pst.op2_suffix_tree_scoring,
         "op3_source_mixing": mixing.op3_source_mixing,
+        "op4_embedding_near_dedup": nndescent.op4_embedding_near_dedup,
         "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
+        "op6_training_order": training_order.op6_training_order,
         "op7_byte_level_bpe": bpe.op7_byte_level_bpe,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_language_bigru": langid.op9_language_bigru,
