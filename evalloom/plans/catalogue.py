@@ -1,11 +1,434 @@
-"""Registered queries over the test tables and their SQL."""
+"""Registered queries: each binds an operator to the test tables and runs over whole tables; SQL says the same to DuckDB."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evalloom.functions import scalars, textops
+from evalloom.operators import constraints, labels, paired, resample, sequence, stats, strata
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+CLASSES = ["click", "error", "purchase", "signup", "view"]
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def r6(c: Column | str) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles to six digits, whole numbers as longs."""
+    kinds = {"double": lambda c: r6(c), "float": lambda c: r6(F.col(c).cast("double")), "int": lambda c: F.col(c).cast("long")}
+    return df.select(*[(kinds[t](c) if t in kinds else F.col(c)).alias(c) for c, t in df.dtypes])
+
+
+# Label sets: event types of a user's day against those of the day before.
+
+
+def label_sets(spark: SparkSession, d: str) -> DataFrame:
+    day = table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.collect_set("event_type").alias("gold"))
+    before = day.select("user_id", F.date_add("day", 1).alias("day"), F.col("gold").alias("pred"))
+    return day.join(before, ["user_id", "day"])
+
+
+_SETS = """WITH s AS (SELECT DISTINCT user_id, ts::DATE AS d, event_type AS t FROM events),
+days AS (SELECT DISTINCT user_id, d FROM s),
+p AS (SELECT a.user_id, a.d FROM days a JOIN days b ON a.user_id = b.user_id AND b.d = (a.d - INTERVAL 1 DAY)::DATE),
+g AS (SELECT s.user_id, s.d, s.t FROM s JOIN p ON s.user_id = p.user_id AND s.d = p.d),
+q AS (SELECT p.user_id, p.d, s.t FROM p JOIN s ON s.user_id = p.user_id AND s.d = (p.d - INTERVAL 1 DAY)::DATE),
+cls AS (SELECT unnest(['click','error','purchase','signup','view']) AS t),
+hit AS (SELECT g.user_id, g.d, g.t FROM g JOIN q ON g.user_id = q.user_id AND g.d = q.d AND g.t = q.t),
+prf AS (SELECT cls.t AS class, (SELECT count(*) FROM hit WHERE hit.t = cls.t) AS tp,
+ (SELECT count(*) FROM q WHERE q.t = cls.t) AS np, (SELECT count(*) FROM g WHERE g.t = cls.t) AS ng FROM cls)
+"""
+
+
+@query(_SETS + """SELECT class, tp::BIGINT AS tp, (np - tp)::BIGINT AS fp, (ng - tp)::BIGINT AS fn,
+round(CASE WHEN np > 0 THEN tp::DOUBLE / np ELSE 0 END, 6) AS "precision", round(CASE WHEN ng > 0 THEN tp::DOUBLE / ng ELSE 0 END, 6) AS recall,
+round(CASE WHEN np + ng > 0 THEN 2.0::DOUBLE * tp / (np + ng) ELSE 0 END, 6) AS f1 FROM prf""")
+def per_class_prf(spark, d):
+    return rounded(labels.per_class_prf(label_sets(spark, d), "pred", "gold", CLASSES, []))
+
+
+@query(_SETS + """, eq AS (SELECT p.user_id, p.d, (SELECT count(*) FROM hit h WHERE h.user_id = p.user_id AND h.d = p.d) AS nh,
+ (SELECT count(*) FROM g WHERE g.user_id = p.user_id AND g.d = p.d) AS ng, (SELECT count(*) FROM q WHERE q.user_id = p.user_id AND q.d = p.d) AS nq FROM p)
+SELECT round((SELECT avg((nh = ng AND nh = nq)::INT) FROM eq), 6) AS exact_match,
+round((SELECT 2.0::DOUBLE * sum(tp) / (sum(np) + sum(ng)) FROM prf), 6) AS micro_f1,
+round((SELECT avg(CASE WHEN np + ng > 0 THEN 2.0::DOUBLE * tp / (np + ng) ELSE 0 END) FROM prf), 6) AS macro_f1""")
+def micro_macro_exact(spark, d):
+    return rounded(labels.headline(label_sets(spark, d), "pred", "gold", CLASSES, []))
+
+
+# Paired cells: part by return flag (condition) and line status (repeat); outcome: quantity above 40.
+
+
+def cells(spark: SparkSession, d: str, outcome: str = "l_quantity > 40") -> DataFrame:
+    li = table(spark, d, "lineitem").select("l_partkey", "l_returnflag", "l_linestatus", F.expr(outcome).cast("double").alias("outcome"))
+    return paired.complete_units(li, "l_partkey", ["l_returnflag", "l_linestatus"], 6)
+
+
+def grid(spark: SparkSession, d: str, outcome: str = "l_quantity > 40") -> DataFrame:
+    return paired.paired_grid(cells(spark, d, outcome), "l_partkey", "l_linestatus", "l_returnflag", ["A", "N", "R"], "outcome")
+
+
+def _cells_sql(outcome: str = "l_quantity > 40", name: str = "") -> str:
+    return f"""c0{name} AS (SELECT l_partkey AS u, l_returnflag AS f, l_linestatus AS s, avg(({outcome})::INT::DOUBLE) AS v FROM lineitem GROUP BY 1, 2, 3),
+c{name} AS (SELECT * FROM c0{name} WHERE u IN (SELECT u FROM c0{name} GROUP BY u HAVING count(*) = 6)),
+w{name} AS (SELECT u, s, max(v) FILTER (f = 'A') AS a, max(v) FILTER (f = 'N') AS n, max(v) FILTER (f = 'R') AS r FROM c{name} GROUP BY u, s)"""
+
+
+@query(f"WITH {_cells_sql()}, du AS (SELECT u, avg(a - n) AS x FROM w GROUP BY u) SELECT round(avg(x), 6) AS point, count(*)::BIGINT AS n_units FROM du")
+def paired_contrast(spark, d):
+    return rounded(paired.contrast(paired.unit_differences(grid(spark, d), "l_partkey", "A", "N")))
+
+
+@query("""WITH k AS (SELECT DISTINCT l_partkey, l_returnflag, l_linestatus FROM lineitem)
+SELECT count(*)::BIGINT AS "rows", count(*)::BIGINT AS cells,
+(count(DISTINCT l_partkey) * count(DISTINCT l_returnflag) * count(DISTINCT l_linestatus))::BIGINT AS expected,
+count(*) = count(DISTINCT l_partkey) * count(DISTINCT l_returnflag) * count(DISTINCT l_linestatus) AS complete FROM k""")
+def grid_completeness(spark, d):
+    keys = ["l_partkey", "l_returnflag", "l_linestatus"]
+    return constraints.grid_is_complete(table(spark, d, "lineitem").select(*keys).distinct(), keys)
+
+
+@query("""WITH s AS (SELECT c.c_mktsegment AS seg, o.o_orderstatus AS st, o.o_orderpriority AS pr FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey),
+g AS (SELECT * FROM (SELECT DISTINCT seg FROM s) CROSS JOIN (SELECT DISTINCT st FROM s) CROSS JOIN (SELECT DISTINCT pr FROM s))
+SELECT g.seg AS c_mktsegment, g.st AS o_orderstatus, g.pr AS o_orderpriority, count(s.seg)::BIGINT AS n
+FROM g LEFT JOIN s ON g.seg = s.seg AND g.st = s.st AND g.pr = s.pr GROUP BY 1, 2, 3 HAVING count(s.seg) <> 1""")
+def grid_gaps(spark, d):
+    rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return rounded(constraints.grid_gaps(rows, [["c_mktsegment"], ["o_orderstatus"], ["o_orderpriority"]]))
+
+
+@query("""WITH r AS (SELECT l_returnflag, l_linestatus, avg((l_quantity > 40)::INT::DOUBLE) AS v FROM lineitem GROUP BY 1, 2)
+SELECT l_returnflag, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd, count(*)::BIGINT AS n FROM r GROUP BY 1""")
+def repeat_mean_sd(spark, d):
+    one = stats.rate(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], F.col("l_quantity") > 40)
+    return rounded(stats.repeat_mean_sd(one, ["l_returnflag"], "rate"))
+
+
+@query("""SELECT c_mktsegment, quantile_disc(c_acctbal, 0.5) AS p50, quantile_disc(c_acctbal, 0.9) AS p90, quantile_disc(c_acctbal, 0.95) AS p95,
+quantile_disc(c_acctbal, 0.99) AS p99, max(c_acctbal) AS max, count(*)::BIGINT AS n FROM customer GROUP BY 1""")
+def nearest_rank(spark, d):
+    return stats.nearest_rank(table(spark, d, "customer"), ["c_mktsegment"], "c_acctbal")
+
+
+@query("""WITH r AS (SELECT c_mktsegment AS g, c_acctbal AS v, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal) AS k, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer)
+SELECT g AS c_mktsegment, max(v) FILTER (k = round_even(0.5::DOUBLE * (n - 1), 0) + 1) AS p50, max(v) FILTER (k = round_even(0.9::DOUBLE * (n - 1), 0) + 1) AS p90,
+max(v) FILTER (k = round_even(0.95::DOUBLE * (n - 1), 0) + 1) AS p95, max(v) FILTER (k = round_even(0.99::DOUBLE * (n - 1), 0) + 1) AS p99, max(v) AS max, max(n)::BIGINT AS n FROM r GROUP BY 1""")
+def nearest_index(spark, d):
+    return stats.nearest_index(table(spark, d, "customer"), ["c_mktsegment"], "c_acctbal")
+
+
+@query("""WITH k AS (SELECT floor(l_extendedprice) AS v, sum(l_quantity)::BIGINT AS k FROM lineitem GROUP BY 1),
+r AS (SELECT v, sum(k) OVER (ORDER BY v) AS c, (SELECT sum(k) FROM k) AS n FROM k)
+SELECT min(v) FILTER (c >= ceil(0.5::DOUBLE * n))::BIGINT AS p50, min(v) FILTER (c >= ceil(n * 90 / 100.0::DOUBLE))::BIGINT AS p90, min(v) FILTER (c >= ceil(n * 95 / 100.0::DOUBLE))::BIGINT AS p95,
+min(v) FILTER (c >= ceil(n * 99 / 100.0::DOUBLE))::BIGINT AS p99, max(v)::BIGINT AS max, max(n)::BIGINT AS n FROM r""")
+def weighted_nearest_rank(spark, d):
+    rows = table(spark, d, "lineitem").select(F.floor("l_extendedprice").alias("v"), F.col("l_quantity").cast("long").alias("k"))
+    return rounded(stats.nearest_rank(rows, [], "v", weight=F.col("k")))
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*)::BIGINT AS n, grouping(o_orderstatus, o_orderpriority)::BIGINT AS level FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+def margin_counts(spark, d):
+    return rounded(stats.margins(table(spark, d, "orders"), "o_orderstatus", "o_orderpriority"))
+
+
+@query("""SELECT o_orderpriority, (count(*) FILTER (o_orderstatus = 'F'))::BIGINT AS "F", (count(*) FILTER (o_orderstatus = 'O'))::BIGINT AS "O", (count(*) FILTER (o_orderstatus = 'P'))::BIGINT AS "P" FROM orders GROUP BY 1""")
+def category_crosstab(spark, d):
+    return stats.crosstab(table(spark, d, "orders"), ["o_orderpriority"], "o_orderstatus", ["F", "O", "P"])
+
+
+@query("""WITH r AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p,
+row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events)
+SELECT user_id, event_type, min(p)::BIGINT AS first_pos, count(*)::BIGINT AS run_length FROM r GROUP BY user_id, event_type, p - k""")
+def run_length(spark, d):
+    return rounded(sequence.run_lengths(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], ["event_type"]))
+
+
+_BATCH = """WITH r AS (SELECT l_quantity::BIGINT AS len, (l_linenumber % 5)::BIGINT AS prompt, floor((row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) - 1) / 2) AS b FROM lineitem),
+w AS (SELECT b, least(max(len), 30) AS width FROM r GROUP BY b)
+"""
+
+
+@query(_BATCH + "SELECT sum(least(len, width - 1))::BIGINT AS forwarded, sum(greatest(0, least(len, width) - prompt))::BIGINT AS supervised FROM r JOIN w USING (b)")
+def micro_batch_tokens(spark, d):
+    li = table(spark, d, "lineitem").withColumn("len", F.col("l_quantity").cast("long")).withColumn("prompt", (F.col("l_linenumber") % 5).cast("long"))
+    b = sequence.micro_batches(li, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"], 2)
+    one = sequence.forwarded_tokens(b, "len", 30).withColumnRenamed("tokens", "forwarded")
+    return one.crossJoin(sequence.supervised_tokens(b, "len", "prompt", 30).withColumnRenamed("tokens", "supervised"))
+
+
+@query("""SELECT i::BIGINT AS position, CASE WHEN floor((i + 1) * 0.2::DOUBLE) > floor(i * 0.2::DOUBLE) THEN 'aux' ELSE 'main' END AS pool,
+(CASE WHEN floor((i + 1) * 0.2::DOUBLE) > floor(i * 0.2::DOUBLE) THEN floor(i * 0.2::DOUBLE) ELSE i - floor(i * 0.2::DOUBLE) END)::BIGINT AS ordinal
+FROM range((SELECT count(*) FROM orders)) t(i)""")
+def interleave(spark, d):
+    return rounded(sequence.interleave(spark, table(spark, d, "orders").count(), 0.2))
+
+
+@query()
+def mixture_stream(spark, d):
+    n, m = table(spark, d, "part").count(), table(spark, d, "supplier").count()
+    return sequence.mixture_stream(spark, n, m, 0.2, 3 * n, 42)
+
+
+@query(f"""WITH {_cells_sql()}, z AS (SELECT a > 0 AS x, n > 0 AS y FROM w WHERE s = 'F'),
+t AS (SELECT count(*) FILTER (x AND y) AS b, count(*) FILTER (NOT x AND NOT y) AS ne, count(*) FILTER (NOT x AND y) AS g, count(*) FILTER (x AND NOT y) AS l, count(*) AS n FROM z)
+SELECT b::BIGINT AS both, ne::BIGINT AS neither, g::BIGINT AS gained, l::BIGINT AS lost, n::BIGINT AS n, (g - l)::BIGINT AS net, round((g - l) * 100.0::DOUBLE / n, 6) AS net_percent FROM t""")
+def transition_2x2(spark, d):
+    return rounded(paired.transition(grid(spark, d).where("l_linestatus = 'F'"), "A", "N"))
+
+
+@query(f"WITH {_cells_sql()}, z AS (SELECT s, avg((a <> n)::INT::DOUBLE) AS d FROM w GROUP BY s) SELECT round(min(d), 6) AS low, round(max(d), 6) AS high, count(*)::BIGINT AS repeats FROM z")
+def discordance(spark, d):
+    return rounded(paired.discordance(grid(spark, d), "l_linestatus", "A", "N"))
+
+
+_BINS = {"size_small": "p_size < 10", "size_mid": "p_size between 10 and 29", "size_large": "p_size >= 30", "price_low": "p_retailprice < 950", "price_high": "p_retailprice >= 950"}
+_BIN_SQL = " UNION ALL ".join(f"SELECT '{k}' AS stratum, p_partkey FROM part WHERE {v}" for k, v in _BINS.items())
+
+
+@query(f"WITH {_cells_sql()}, b AS ({_BIN_SQL}), m AS (SELECT stratum, u, avg(v) AS m FROM c JOIN b ON c.u = b.p_partkey WHERE f = 'A' GROUP BY 1, 2) SELECT stratum, round(avg(m), 6) AS mean FROM m GROUP BY 1")
+def strata_baseline(spark, d):
+    rows = cells(spark, d).where("l_returnflag = 'A'").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return rounded(stats.mean_of_means(strata.stratify(rows, {k: F.expr(v) for k, v in _BINS.items()}), ["stratum"], ["l_partkey"], F.col("outcome")))
+
+
+@query(f"""WITH {_cells_sql()} SELECT u AS l_partkey, f AS l_returnflag, bool_and(v > 0) AS "all", bool_or(v > 0) AS "any", count(*) FILTER (v > 0) >= 2 AS at_least FROM c GROUP BY 1, 2""")
+def all_any_atleast(spark, d):
+    return stats.over_repeats(cells(spark, d), ["l_partkey", "l_returnflag"], F.col("outcome") > 0)
+
+
+@query("""WITH a AS (SELECT DISTINCT o_custkey FROM orders WHERE year(o_orderdate) = 1997), b AS (SELECT DISTINCT o_custkey FROM orders WHERE year(o_orderdate) = 1998)
+SELECT (SELECT count(*) FROM a)::BIGINT AS first_groups, (SELECT count(*) FROM b)::BIGINT AS second_groups, (SELECT count(*) FROM a JOIN b USING (o_custkey))::BIGINT AS shared,
+(SELECT count(*) FROM orders WHERE year(o_orderdate) = 1998 AND o_custkey IN (SELECT o_custkey FROM a))::BIGINT AS second_rows_shared""")
+def group_overlap(spark, d):
+    o = table(spark, d, "orders").select("o_custkey", F.year("o_orderdate").alias("y")).where("y in (1997, 1998)")
+    per = o.groupBy("o_custkey").agg(F.count_if(F.col("y") == 1997).alias("a"), F.count_if(F.col("y") == 1998).alias("b"))
+    return per.agg(F.count_if(F.col("a") > 0).alias("first_groups"), F.count_if(F.col("b") > 0).alias("second_groups"), F.count_if((F.col("a") > 0) & (F.col("b") > 0)).alias("shared"), F.coalesce(F.sum(F.when(F.col("a") > 0, F.col("b"))), F.lit(0)).alias("second_rows_shared"))
+
+
+@query("WITH k AS (SELECT o_custkey, count(*) AS size FROM orders GROUP BY 1) SELECT size::BIGINT AS size, count(*)::BIGINT AS keys FROM k GROUP BY 1")
+def count_of_counts(spark, d):
+    return stats.count_of_counts(table(spark, d, "orders"), "o_custkey")
+
+
+@query(f"""WITH {_cells_sql()}, {_cells_sql("l_discount > 0.05", "2")}, x AS (SELECT u, avg(a - n) AS x FROM w GROUP BY u), y AS (SELECT u, avg(a - n) AS y FROM w2 GROUP BY u)
+SELECT round(avg(x - y), 6) AS point, count(*)::BIGINT AS n_units FROM x JOIN y USING (u)""")
+def diff_in_diff(spark, d):
+    one, two = (paired.unit_differences(grid(spark, d, o), "l_partkey", "A", "N") for o in ("l_quantity > 40", "l_discount > 0.05D"))
+    return rounded(paired.contrast(paired.difference_in_differences(one, two, "l_partkey")))
+
+
+@query(f"WITH {_cells_sql()}, du AS (SELECT u, avg(a - n) AS x FROM w GROUP BY u) SELECT round(avg(x), 6) AS point, count(*)::BIGINT AS n_units FROM du")
+def bootstrap_point(spark, d):
+    return bootstrap_ci(spark, d).select("point", "n_units")
+
+
+@query()
+def bootstrap_ci(spark, d):
+    diff = paired.unit_differences(grid(spark, d), "l_partkey", "A", "N")
+    return rounded(resample.mean_intervals(diff, [], "l_partkey", "difference", draws=1000))
+
+
+@query()
+def macro_f1_bootstrap(spark, d):
+    sets = label_sets(spark, d).withColumn("half", F.when(F.dayofmonth("day") <= 15, "first").otherwise("second")).withColumn("one", F.lit(1))
+    return rounded(resample.macro_f1_interval(sets, "user_id", "one", "half", "second", "first", "pred", "gold", CLASSES, draws=1000))
+
+
+@query("""SELECT lang, (count(*) FILTER (doc_id IN (SELECT doc_id FROM labels)))::BIGINT AS labelled, (count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM labels)))::BIGINT AS unlabelled FROM documents GROUP BY 1""")
+def semi_anti_population(spark, d):
+    docs, lab = table(spark, d, "documents").select("doc_id", "lang"), table(spark, d, "labels").select("doc_id")
+    both = docs.join(lab, "doc_id", "left_semi").withColumn("k", F.lit(1)).unionAll(docs.join(lab, "doc_id", "left_anti").withColumn("k", F.lit(0)))
+    return both.groupBy("lang").agg(F.count_if(F.col("k") == 1).alias("labelled"), F.count_if(F.col("k") == 0).alias("unlabelled"))
+
+
+@query("""WITH a AS (SELECT l_partkey, l_suppkey FROM lineitem), b AS (SELECT l_partkey, CASE WHEN l_linenumber = 1 AND l_quantity = 50 THEN -1 ELSE l_suppkey END AS l_suppkey FROM lineitem)
+SELECT *, 'left' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'right' AS side FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""")
+def bag_equality(spark, d):
+    li = table(spark, d, "lineitem")
+    changed = F.when((F.col("l_linenumber") == 1) & (F.col("l_quantity") == 50), F.lit(-1).cast("long")).otherwise(F.col("l_suppkey"))
+    return constraints.bag_difference(li.select("l_partkey", "l_suppkey"), li.select("l_partkey", changed.alias("l_suppkey")))
+
+
+@query("""WITH e AS (SELECT p_partkey AS k, p_brand AS t FROM part WHERE p_size < 45), a AS (SELECT p_partkey AS k, CASE WHEN p_size = 7 THEN 'other' ELSE p_brand END AS t FROM part WHERE p_size > 2)
+SELECT coalesce(e.k, a.k) AS p_partkey, CASE WHEN a.k IS NULL THEN 'missing' WHEN e.k IS NULL THEN 'unexpected' ELSE 'mismatched' END AS problem FROM e FULL JOIN a ON e.k = a.k WHERE a.k IS NULL OR e.k IS NULL OR e.t <> a.t""")
+def coverage_diff(spark, d):
+    p = table(spark, d, "part")
+    other = F.when(F.col("p_size") == 7, "other").otherwise(F.col("p_brand"))
+    return constraints.coverage(p.where("p_size < 45").select("p_partkey", F.col("p_brand").alias("t")), p.where("p_size > 2").select("p_partkey", other.alias("t")), "p_partkey", "t")
+
+
+_NAMES = {"1 urgent": "urgent", "2 high": "high", "3 Medium": "medium", "not specified 4": "none", "4 not specified": "none"}
+
+
+@query("""WITH k AS (SELECT o_orderkey, regexp_replace(lower(o_orderpriority), '[^a-z0-9]', '', 'g') AS key FROM orders)
+SELECT o_orderkey, key, CASE key WHEN '1urgent' THEN 'urgent' WHEN '2high' THEN 'high' WHEN '3medium' THEN 'medium' WHEN '4notspecified' THEN 'none' END AS label FROM k""")
+def label_normalise(spark, d):
+    p = F.col("o_orderpriority")
+    return table(spark, d, "orders").select("o_orderkey", scalars.label_key(p).alias("key"), scalars.normalise_label(p, _NAMES).alias("label"))
+
+
+@query("""SELECT o_orderkey, 'recognized_array' AS status, list_filter(['F', 'O', 'P'], lambda x: x = o_orderstatus) AS pred, 2::BIGINT AS n_emitted, 1::BIGINT AS rejected FROM orders""")
+def last_json_list(spark, d):
+    o = table(spark, d, "orders")
+    text = F.concat(F.lit('notes [1, 2] and ["O"] then: ["'), F.col("o_orderstatus"), F.lit('", "'), F.col("o_orderpriority"), F.lit('"] end ['))
+    got = o.select("o_orderkey", textops.parsed_labels(text, ["F", "O", "P"], {}).alias("g"))
+    return got.select("o_orderkey", "g.status", "g.pred", "g.n_emitted", "g.rejected")
+
+
+@query("""SELECT doc_id, md5(rtrim_nl) AS code_md5, status FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'go_block' ELSE 'fenced_block' END AS status, 'x := ' || doc_id AS rtrim_nl FROM documents)""")
+def fence_extract(spark, d):
+    docs = table(spark, d, "documents")
+    tag = F.when(F.col("doc_id") % 2 == 0, "go").otherwise("")
+    text = F.concat(F.col("text"), F.lit("\n```"), tag, F.lit("\nx := "), F.col("doc_id").cast("string"), F.lit("\n```\nend"))
+    got = docs.select("doc_id", textops.fenced_code(text).alias("g"))
+    return got.select("doc_id", F.md5("g.code").alias("code_md5"), F.col("g.status").alias("status"))
+
+
+@query("""WITH s AS (SELECT user_id, ts::DATE AS d, list_sort(list(DISTINCT event_type)) AS l FROM events GROUP BY 1, 2),
+t AS (SELECT a.user_id, a.d, a.l AS target, b.l AS before, c.l AS after FROM s a JOIN s b ON a.user_id = b.user_id AND b.d = (a.d - INTERVAL 1 DAY)::DATE JOIN s c ON a.user_id = c.user_id AND c.d = (a.d - INTERVAL 2 DAY)::DATE),
+f AS (SELECT *, NOT list_has_any(target, after) AS fixed, len(list_filter(after, lambda x: NOT list_contains(before, x))) > 0 AS worse FROM t)
+SELECT CASE WHEN fixed AND NOT worse THEN 'A' WHEN fixed THEN 'B' WHEN NOT worse THEN 'C' ELSE 'D' END AS category, count(*)::BIGINT AS n FROM f GROUP BY 1""")
+def decision_table(spark, d):
+    s = label_sets(spark, d)
+    two = s.select("user_id", F.date_add("day", 1).alias("day"), F.col("pred").alias("after"))
+    got = s.join(two, ["user_id", "day"]).select(textops.outcome(F.lit(True), F.col("gold"), F.col("pred"), F.col("after")).alias("o"))
+    return got.groupBy("o.category").agg(F.count("*").alias("n"))
+
+
+@query("""WITH m AS (SELECT year(o_orderdate)::BIGINT AS y, avg(o_totalprice) AS mean FROM orders GROUP BY 1)
+SELECT y, round(mean, 6) AS mean, round((mean / (SELECT mean FROM m WHERE y = 1997) - 1) * 100, 6) AS over_percent FROM m""")
+def baseline_ratio(spark, d):
+    o = table(spark, d, "orders").select(F.year("o_orderdate").cast("long").alias("y"), "o_totalprice")
+    return rounded(stats.ratio_to_baseline(o, "y", "o_totalprice", 1997))
+
+
+@query("""WITH m AS (SELECT o_orderpriority AS p, year(o_orderdate) AS y, avg(o_totalprice) AS v FROM orders GROUP BY 1, 2), b AS (SELECT p, v AS base FROM m WHERE y = 1997)
+SELECT p AS o_orderpriority, round(ceil(max(abs(v - base) / base * 100) * 10) / 10, 6) AS variation_percent FROM m JOIN b USING (p) GROUP BY 1""")
+def seed_variation(spark, d):
+    m = table(spark, d, "orders").groupBy("o_orderpriority", F.year("o_orderdate").alias("y")).agg(F.avg("o_totalprice").alias("v"))
+    return rounded(stats.seed_variation(m, ["o_orderpriority"], "y", "v", 1997))
+
+
+@query("""WITH m AS (SELECT o_orderstatus AS s, o_orderpriority AS p, avg(o_totalprice) AS mean FROM orders GROUP BY 1, 2)
+SELECT s AS o_orderstatus, p AS o_orderpriority, round(mean, 6) AS mean, round(mean / sum(mean) OVER (PARTITION BY s), 6) AS share FROM m""")
+def decomposition_shares(spark, d):
+    return rounded(stats.shares(table(spark, d, "orders"), ["o_orderstatus"], "o_orderpriority", "o_totalprice"))
+
+
+@query("""WITH t AS (SELECT l_returnflag AS c, sum(l_quantity)::BIGINT AS tokens FROM lineitem GROUP BY 1), r AS (SELECT tokens AS ref FROM t WHERE c = 'A')
+SELECT c AS l_returnflag, tokens, round((tokens - ref)::DOUBLE / ref, 6) AS delta, abs((tokens - ref)::DOUBLE / ref) > 0.05 AS exceeds FROM t, r""")
+def budget_guard(spark, d):
+    t = table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.sum("l_quantity").cast("long").alias("tokens"))
+    return rounded(stats.budget_guard(t, "l_returnflag", "tokens", "A"))
+
+
+@query("""WITH u AS (SELECT d.doc_id, d.n_chars FROM documents d WHERE d.doc_id NOT IN (SELECT doc_id FROM labels)), l AS (SELECT n_chars AS v, min(doc_id) AS k FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY 1),
+lo AS (SELECT u.doc_id, l.v, l.k FROM u ASOF LEFT JOIN l ON u.n_chars >= l.v), hi AS (SELECT u.doc_id, l.v, l.k FROM u ASOF LEFT JOIN l ON u.n_chars <= l.v),
+b AS (SELECT u.doc_id, abs(lo.v - u.n_chars) AS a, lo.k AS ka, abs(hi.v - u.n_chars) AS b, hi.k AS kb FROM u JOIN lo USING (doc_id) JOIN hi USING (doc_id))
+SELECT doc_id, (CASE WHEN b IS NULL OR a < b OR (a = b AND ka < kb) THEN ka ELSE kb END)::BIGINT AS nearest, (CASE WHEN b IS NULL OR a <= b THEN a ELSE b END)::BIGINT AS distance FROM b""")
+def nearest_neighbour(spark, d):
+    docs, lab = table(spark, d, "documents").select("doc_id", "n_chars"), table(spark, d, "labels").select("doc_id")
+    right = docs.join(lab, "doc_id", "left_semi").select(F.col("doc_id").alias("key"), F.col("n_chars").alias("v"))
+    return sequence.nearest(docs.join(lab, "doc_id", "left_anti"), "n_chars", right, "v", "key").select("doc_id", "nearest", "distance")
+
+
+@query()
+def budget_truncate(spark, d):
+    docs = table(spark, d, "documents")
+    lines = F.transform(F.split("text", "\n"), lambda t, i: F.struct((i % 3).alias("tier"), (i % 4).alias("depth"), t.alias("text")))
+    count = lambda t: F.size(F.split(F.trim(t), r"\s+"))
+    rows = docs.select("doc_id", lines.alias("lines"), F.lit(True).alias("ok"), (F.col("n_chars") / 20).cast("int").alias("budget"))
+    got = sequence.delivered(rows, "ok", "lines", "budget", count)
+    return got.select("doc_id", "status", F.length("summary").cast("long").alias("length"))
+
+
+@query("SELECT k, count(*)::BIGINT AS n, round(sum(value), 6) AS total FROM (SELECT (props->>'$.k')::BIGINT AS k, value FROM events) GROUP BY 1")
+def json_props(spark, d):
+    e = table(spark, d, "events").select(F.get_json_object("props", "$.k").cast("long").alias("k"), "value")
+    return e.groupBy("k").agg(F.count("*").alias("n"), r6(F.sum("value")).alias("total"))
+
+
+@query("""WITH r AS (SELECT c_nationkey, c_custkey, floor(c_acctbal / 1000) AS s, row_number() OVER (PARTITION BY c_nationkey ORDER BY floor(c_acctbal / 1000) DESC, c_custkey) AS k FROM customer)
+SELECT c_nationkey, c_custkey AS best_step, s::BIGINT AS best_score FROM r WHERE k = 1""")
+def first_best(spark, d):
+    c = table(spark, d, "customer").withColumn("s", F.floor(F.col("c_acctbal") / 1000))
+    return stats.first_best(c, ["c_nationkey"], "c_custkey", "s")
+
+
+@query("SELECT c_mktsegment, sha256(string_agg(k, chr(10) ORDER BY k)) AS checksum, count(*)::BIGINT AS n FROM (SELECT DISTINCT c_mktsegment, c_custkey::VARCHAR AS k FROM customer) GROUP BY 1")
+def id_checksum(spark, d):
+    return constraints.id_checksum(table(spark, d, "customer"), ["c_mktsegment"], "c_custkey")
+
+
+_PREDICATES = {"quantity": "l_quantity > 40", "discount": "l_discount > 0.05D", "tax": "l_tax > 0.04D", "price": "l_extendedprice > 50000", "first": "l_linenumber = 1", "returned": "l_returnflag = 'R'", "open": "l_linestatus = 'O'"}
+
+
+@query(" UNION ALL ".join(f"SELECT l_returnflag, '{k}' AS component, (count(*) FILTER ({v.replace('D', '::DOUBLE') if v.endswith('D') else v}))::BIGINT AS value FROM lineitem GROUP BY 1" for k, v in _PREDICATES.items()))
+def wide_conditional(spark, d):
+    return stats.wide_conditional(table(spark, d, "lineitem"), ["l_returnflag"], {k: F.expr(v) for k, v in _PREDICATES.items()})
+
+
+@query("WITH m AS (SELECT l_linestatus, l_returnflag, avg(l_discount) AS m FROM lineitem GROUP BY 1, 2) SELECT l_linestatus, round(min(m), 6) AS low, round(max(m), 6) AS high, round(max(m) - min(m), 6) AS span FROM m GROUP BY 1")
+def group_range(spark, d):
+    return rounded(stats.group_range(table(spark, d, "lineitem"), ["l_linestatus"], ["l_returnflag"], F.col("l_discount")))
+
+
+@query("SELECT o_custkey, count(*)::BIGINT AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
+def duplicate_keys(spark, d):
+    return constraints.duplicate_keys(table(spark, d, "orders"), ["o_custkey"])
+
+
+@query("SELECT o_custkey, count(DISTINCT o_orderstatus)::BIGINT AS splits FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderstatus) > 1")
+def split_overlap(spark, d):
+    return constraints.overlapping_splits(table(spark, d, "orders"), "o_custkey", "o_orderstatus")
+
+
+@query("SELECT DISTINCT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def subset_constraint(spark, d):
+    return constraints.outside(table(spark, d, "customer"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+
+
+@query("""SELECT l_orderkey, l_linenumber, unnest(list_filter([CASE WHEN NOT l_quantity < 50 THEN 'quantity' END, CASE WHEN NOT l_tax <= 0.07::DOUBLE THEN 'tax' END], lambda x: x IS NOT NULL)) AS rule FROM lineitem""")
+def failing_checks(spark, d):
+    return constraints.failing(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], {"quantity": F.col("l_quantity") < 50, "tax": F.col("l_tax") <= 0.07})
+
+
+@query()
+def greedy_buckets(spark, d):
+    c = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("len"), F.xxhash64("l_orderkey", "l_linenumber", "l_partkey").alias("key"))
+    return sequence.greedy_buckets(c, ["l_suppkey"], "len", "key", 16, 400).groupBy("l_suppkey", "bucket").agg(F.count("*").alias("n"), F.max("len").alias("longest"))
+
+
+@query("""SELECT i::BIGINT AS step, round(CASE WHEN i < 60 THEN i / 60.0::DOUBLE ELSE 0.1::DOUBLE + 0.9::DOUBLE * 0.5::DOUBLE * (1 + cos(pi() * least(1.0::DOUBLE, (i - 60) / 540.0::DOUBLE))) END, 6) AS multiplier FROM range(600) t(i)""")
+def learning_rate_schedule(spark, d):
+    return spark.range(600).select(F.col("id").alias("step"), r6(sequence.warmup_cosine(F.col("id"), 600, 60, 0.1)).alias("multiplier"))
