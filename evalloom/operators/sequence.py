@@ -8,6 +8,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evalloom.operators.order import positions
 
@@ -115,7 +116,7 @@ def greedy_buckets(df: DataFrame, by: list[str], length: str, key: str, batch: i
             out.append(bucket)
         return pdf.assign(bucket=out)
 
-    return df.groupBy(*by).applyInPandas(one, df.schema.add("bucket", "long"))
+    return df.groupBy(*by).applyInPandas(one, T.StructType([*df.schema.fields, T.StructField("bucket", T.LongType())]))
 
 
 def render(lines: Column) -> Column:
