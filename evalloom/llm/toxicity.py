@@ -154,7 +154,8 @@ class Matcher:
         free, quoted, scores = [], [], []
         for i, k, e in hits:
             n1, n0 = self.counts[k]
-            w = weight(n1 - (own == 1), n0 - (own == 0)) * (0.8 if e else 1.0)
+            # a misspelling wasn't counted under its term
+            w = weight(n1, n0) * 0.8 if e else weight(n1 - (own == 1), n0 - (own == 0))
             near = range(max(0, i - 3), min(len(ws), i + 4))
             is_quoted = marks[i] % 2 == 1 and marks[-1] > marks[i] or any(ws[j] in REPORTING for j in near)
             (quoted if is_quoted else free).append(w)

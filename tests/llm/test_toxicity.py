@@ -61,6 +61,11 @@ def test_quotation_lowers_the_window():
     assert plain[0] > 3 and quoted[0] == 0 and quoted[3] > 3
 
 
+def test_own_label_is_left_out_of_exact_hits_only():
+    m = toxicity.Matcher({"nastyword": (3, 0)}, frozenset())
+    assert m.features(b"a nastyw0rd", 0.0)[0] > 0 and m.features(b"a nastyword", 1.0)[0] < m.features(b"a nastyword")[0]
+
+
 def test_empty(spark):
     docs, labels = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.learn(docs, labels) is None and toxicity.accepted(docs, labels).count() == 0
