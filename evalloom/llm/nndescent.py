@@ -263,3 +263,12 @@ def near_duplicates(vectors: DataFrame, measured: dict | None = None) -> DataFra
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(common.table(spark, sf_dir, "embeddings"))
     return out.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+#: The same by comparing all pairs of a label.
+OP4_SQL = """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+ WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (SELECT vec_id AS id, vec_id AS root FROM embeddings UNION SELECT r.id, l.w FROM r JOIN l ON r.root = l.u),
+c AS (SELECT id, min(root) AS component_id FROM r GROUP BY id)
+SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.u = e.vec_id)::BIGINT AS n_links, c.component_id, e.vec_id = c.component_id AS kept FROM embeddings e JOIN c ON c.id = e.vec_id"""
