@@ -34,7 +34,7 @@ RATES = tuple(2.0**-p for p in range(2, 10) for _ in range(4))
 SUBSETS = len(RATES)
 SEED = 77
 #: Text bytes per range of the order, and most ranges.
-RANGE_BYTES, MOST_RANGES = 4 << 20, 1 << 16
+RANGE_BYTES, MOST_RANGES = 4 << 20, 1 << 13
 
 
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

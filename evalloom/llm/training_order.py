@@ -1,7 +1,8 @@
 """Training-order materialisation: token ids packed into sequences, permuted, and written as fixed-stride shards.
 
-Documents are tokenised (uint16 or uint32 ids, an end id after each), laid end to end in the order of their hashed ids,
-and cut into sequences of ``SEQUENCE`` ids; the last one is filled up with the end id. A keyed Feistel network over the
+Documents are tokenised (uint16 or uint32 ids, an end id after each), laid end to end in the order of the input's
+partitions, and cut into sequences of ``SEQUENCE`` ids; the last one is filled up with the end id. Places follow from
+running sums kept while tokenising and from the partitions' totals, so ids move once, to their shard. A keyed Feistel network over the
 smallest even number of bits that covers the number of sequences, with cycle-walking for values outside it, gives every
 sequence its global slot: a bijection that needs no sort, no shuffle buffer and no table, and that can be inverted.
 Slots are dealt to range partitions by number; each partition, sorted by slot, packs its records into shards of
@@ -9,7 +10,7 @@ Slots are dealt to range partitions by number; each partition, sorted by slot, p
 resume anywhere. A shard is one row with a binary payload, written by Spark's committer, which survives lost executors;
 ``export`` turns these rows into plain files.
 
-Defined cases: a null or empty text contributes its end id alone; a null id sorts by its hash like any other; repeated
+Defined cases: a null or empty text contributes its end id alone; a null id is an id like any other; repeated
 rows are documents of their own; very long texts span sequences; an empty table has no sequences. Only doc_id and text
 are read.
 """
@@ -22,11 +23,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalloom.llm import bpe, common
-from evalloom.llm.mixing import _fold, _prefix
 
 SEQUENCE, RECORDS, KEY = 1024, 2048, 0x5EED
 FEISTEL_ROUNDS = 6
@@ -72,10 +72,13 @@ def _tokenised(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
         encoder = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
         end = max(table.values()) + 1
         kind = np.uint16 if end < 2**16 else np.uint32
+        upto = 0
         for b in batches:
             ids = [np.array([*encoder.encode_ordinary(t.decode("utf-8", "replace")), end], kind).tobytes() for t in common.texts(b.column(1))]
             n = [len(x) // kind().itemsize for x in ids]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n", "ids"])
+            places = upto + np.cumsum([0, *n])
+            upto = int(places[-1])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(places[:-1]), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["part", "place", "n", "ids"])
 
     return run
 
@@ -85,15 +88,13 @@ def sequences(docs: DataFrame, path: str | None = None, length: int = SEQUENCE)
     spark, path = docs.sparkSession, path or bpe.vocabulary_path()
     common.bounded_batches(spark)
     width = 2 if max(bpe.ranks(path).values()) + 1 < 2**16 else 4
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    held = common.saved(src.mapInArrow(_tokenised(path), "doc_id long, n long, ids binary"), "order-ids")
-    count, total = held.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    bits = _fold(count)
-    h = F.xxhash64(F.lit(KEY), "doc_id")
-    # the digest of the ids settles ties of the hash; equal rows are interchangeable
-    light = held.select("doc_id", "n", "ids", F.xxhash64("ids").alias("x"), h.alias("h"), F.lit(0).alias("all"))
-    light = light.withColumn("part", F.shiftrightunsigned("h", 64 - bits).cast("int") if bits else F.lit(0))
-    placed = _prefix(light, "all", "part", [F.col("h"), F.col("doc_id"), F.col("x")], F.col("n"), "at")
+    src = docs.select(F.spark_partition_id().alias("part"), F.col("text").cast("string").alias("text"))
+    held = common.saved(src.mapInArrow(_tokenised(path), "part int, place long, n long, ids binary"), "order-ids")
+    totals = held.groupBy("part").agg(F.sum("n").alias("n"))
+    total = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # one row a partition of the input
+    before = totals.select("part", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    placed = held.join(before, "part").select((F.col("before") + F.col("place")).alias("at"), "n", "ids")
     first, last = F.expr(f"at div {length}"), F.expr(f"(at + n - 1) div {length}")
     rows = placed.select("at", "n", "ids", F.explode(F.sequence(first, last)).alias("seq"))
     lo, hi = F.greatest(F.col("at"), F.col("seq") * length), F.least(F.col("at") + F.col("n"), (F.col("seq") + 1) * length)
