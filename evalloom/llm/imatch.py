@@ -4,7 +4,7 @@ The lexicon holds the terms (words, A-Z lower-cased) whose document frequency li
 most ``COMMONEST`` of all documents, counted over all of them. A term needs ``RAREST * N`` documents, so the lexicon has
 at most (mean distinct terms of a document) / ``RAREST`` entries at any corpus size; that bound is what makes it fit a
 broadcast, and it is checked against the size collected. Each of ``SUBSETS`` keyed random subsets keeps a fixed share of
-the lexicon, from a quarter to 1/512. A document's distinct band terms in a subset, sorted, are hashed: one part of the
+the lexicon, from 1/8 to 1/4096. A document's distinct band terms in a subset, sorted, are hashed: one part of the
 fingerprint per subset (24 bits, 6 hex digits; no term: zeros). Thin subsets survive edits, thick ones tell texts apart.
 
 Likeness of two fingerprints: equal parts over parts that are set in either. If neither has a part, 1 for equal
@@ -30,7 +30,7 @@ from evalloom.llm import common
 
 RAREST, COMMONEST = 1 / 2000, 1 / 5
 #: Share of the lexicon that each subset keeps: four subsets for each power of two.
-RATES = tuple(2.0**-p for p in range(2, 10) for _ in range(4))
+RATES = tuple(2.0**-p for p in range(3, 13) for _ in range(4))
 SUBSETS = len(RATES)
 SEED = 77
 #: Text bytes per range of the order, and most ranges.
