@@ -35,7 +35,7 @@ from evalloom.llm import common
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 BUCKETS = 1 << 15
 #: Most entries of the dictionary, and the longest piece in it (bytes).
-DICTIONARY, LONGEST = 1 << 19, 48
+DICTIONARY, LONGEST = 1 << 21, 48
 LONG_PIECE = 256
 NO_RANK = 2**31 - 1
 
@@ -77,7 +77,6 @@ def _rank(table: Column, piece: Column) -> Column:
 
 def merge(table: Column, piece: Column) -> Column:
     """Ids, joined by commas, of a non-empty piece given as an ISO-8859-1 string."""
-    whole = _rank(table, piece)
     letters = F.regexp_extract_all(piece, F.lit("(?s)."), F.lit(0))
     n = F.length(piece)
     pairs = F.transform(F.sequence(F.lit(1), n), lambda i: F.when(i < n, _rank(table, F.substr(piece, i, F.lit(2)))).otherwise(F.lit(NO_RANK)))
@@ -85,25 +84,24 @@ def merge(table: Column, piece: Column) -> Column:
 
     def join(state: Column, least: Column) -> Column:
         p, r = state["p"], state["r"]
-        # bound once: the place, then the joined part
+
         def at(i: Column) -> Column:
             both = F.concat(F.element_at(p, i), F.element_at(p, i + 1))
+            new_p = F.concat(F.slice(p, F.lit(1), i - 1), F.array(both), F.slice(p, i + 2, n))
+            after = F.when(i + 2 <= F.size(p), _rank(table, F.concat(both, F.try_element_at(p, i + 2)))).otherwise(F.lit(NO_RANK))
+            first = F.concat(F.array(after), F.slice(r, i + 2, n))
+            later = F.concat(F.slice(r, F.lit(1), i - 2), F.array(_rank(table, F.concat(F.element_at(p, i - 1), both)), after), F.slice(r, i + 2, n))
+            return F.struct(new_p.alias("p"), F.when(i > 1, later).otherwise(first).alias("r"))
 
-            def put(b: Column) -> Column:
-                new_p = F.concat(F.slice(p, F.lit(1), i - 1), F.array(b), F.slice(p, i + 2, n))
-                before = F.when(i > 1, F.concat(F.slice(r, F.lit(1), i - 2), F.array(_rank(table, F.concat(F.element_at(p, F.greatest(i - 1, F.lit(1))), b))))).otherwise(F.slice(r, F.lit(1), F.lit(0)))
-                after = F.when(i + 2 <= F.size(p), _rank(table, F.concat(b, F.try_element_at(p, i + 2)))).otherwise(F.lit(NO_RANK))
-                return F.struct(new_p.alias("p"), F.concat(before, F.array(after), F.slice(r, i + 2, n)).alias("r"))
-
-            return _let(both, put)
-
+        # bound once: the place of the leftmost least rank
         return _let(F.array_position(r, least).cast("int"), at)
 
     def step(state: Column, _: Column) -> Column:
-        return _let(F.array_min(state["r"]), lambda least: F.when(least == NO_RANK, state).otherwise(join(state, least)))
+        least = F.array_min(state["r"])
+        return F.when(least == NO_RANK, state).otherwise(join(state, least))
 
     folded = F.reduce(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), start, step, lambda s: F.array_join(F.transform(s["p"], lambda x: _rank(table, x).cast("string")), ","))
-    return F.when(whole != NO_RANK, whole.cast("string")).otherwise(folded)
+    return _let(_rank(table, piece), lambda whole: F.when(whole != NO_RANK, whole.cast("string")).otherwise(folded))
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -145,7 +143,8 @@ def _looked_up(dictionary, path: str) -> Callable[[Iterator[pa.RecordBatch]], It
     """Known pieces' ids by text, with a zero character for each piece to fold; these pieces follow in a column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, ids = (pa.array(x, pa.string()) for x in dictionary.value)
+        known, ids = pa.ipc.open_stream(dictionary.value).read_all().combine_chunks().columns
+        known, ids = (x.chunk(0) if x.num_chunks else pa.array([], pa.string()) for x in (known, ids))
         for b in batches:
             pieces = b.column(b.num_columns - 1)
             flat, offsets = pieces.flatten(), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(pieces), 0).to_numpy(zero_copy_only=False))])
@@ -162,21 +161,23 @@ def _looked_up(dictionary, path: str) -> Callable[[Iterator[pa.RecordBatch]], It
     return run
 
 
-def dictionary(docs: DataFrame, table: Column, most: int = DICTIONARY) -> tuple[list[str], list[str]]:
-    """The most frequent distinct pieces, at most ``most``, and their ids."""
+def dictionary(docs: DataFrame, table: Column, most: int = DICTIONARY) -> bytes:
+    """The most frequent distinct pieces, at most ``most``, and their ids, as an Arrow stream."""
     pieces = docs.select(F.explode(F.regexp_extract_all(F.col("text").cast("string"), F.lit(pattern()), F.lit(0))).alias("piece"))
     counts = common.saved(pieces.groupBy("piece").agg(F.count("*").alias("n")).where(F.octet_length("piece") <= LONGEST), "bpe-pieces")
     level = F.floor(F.log2("n") * 64).cast("int")
-    room, least = most, None
+    room, least = most, 1 << 30
     for r in sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
         if r["count"] > room:
             break
         room, least = room - r["count"], r["level"]
-    if least is None:
-        return [], []
     chosen = counts.where(level >= least).select("piece", F.decode(F.encode("piece", "UTF-8"), "ISO-8859-1").alias("b"))
     got = common.saved(chosen.select("piece", _let(table, lambda t: merge(t, F.col("b"))).alias("ids")), "bpe-ids").toArrow()
-    return got["piece"].to_pylist(), got["ids"].to_pylist()
+    got = got.cast(pa.schema([("piece", pa.string()), ("ids", pa.string())]))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, got.schema) as w:
+        w.write_table(got)
+    return sink.getvalue().to_pybytes()
 
 
 def encoded(docs: DataFrame, path: str | None = None, most: int = DICTIONARY) -> DataFrame:
