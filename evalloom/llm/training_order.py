@@ -30,6 +30,8 @@ from evalloom.llm import bpe, common
 
 SEQUENCE, RECORDS, KEY = 1024, 2048, 0x5EED
 FEISTEL_ROUNDS = 6
+#: Partition totals (16 bytes each) that are broadcast; more are joined by a shuffle.
+MOST_TOTALS = 1 << 20
 #: Payload bytes of a range partition.
 PART_BYTES = 16 << 20
 
@@ -94,6 +96,9 @@ def sequences(docs: DataFrame, path: str | None = None, length: int = SEQUENCE)
     total = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # one row a partition of the input
     before = totals.select("part", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    # a join on the hash of the partition would move all ids: the totals go to the ids while they are few
+    if totals.count() <= MOST_TOTALS:
+        before = F.broadcast(before)
     placed = held.join(before, "part").select((F.col("before") + F.col("place")).alias("at"), "n", "ids")
     first, last = F.expr(f"at div {length}"), F.expr(f"(at + n - 1) div {length}")
     rows = placed.select("at", "n", "ids", F.explode(F.sequence(first, last)).alias("seq"))
