@@ -71,14 +71,18 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), b.column(1)], ["x", "y"])
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int = TRAIN_ROWS) -> DataFrame:
-    """``(text, y)`` of the training fold's labelled rows, thinned by hashed id to about ``most`` (text columns stay whole)."""
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int | None = TRAIN_ROWS) -> DataFrame:
+    """``(text, y)`` of the training fold's labelled rows, thinned by hashed id to about ``most`` (text columns stay whole); all if None."""
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("double").alias("y")).where("_id is not null and y is not null").where(common.remainder("_id", 3) != 1)
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
+    if most is None:
+        # labels grow with the documents: no broadcast at any size; texts of the other fold don't move
+        return rows.where(common.remainder("_id", 3) != 1).join(known.hint("shuffle_hash"), "_id").select("text", "y")
     n = known.count()
     if n > most:
         known = known.where(F.pmod(F.xxhash64(F.lit(9), "_id"), F.lit(1 << 40)) < int(most / n * (1 << 40)))
     # at most about TRAIN_ROWS ids: a bounded side
-    return docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "_id").select("text", "y")
+    return rows.join(F.broadcast(known), "_id").select("text", "y")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> PairwiseGam | None:

@@ -1,14 +1,14 @@
 """Toxicity: Levenshtein automata intersected with a lexicon trie, and context windows around the hits.
 
-* Lexicon: terms of the training fold's labelled texts (equal texts count once) whose document counts by label pass a
-  log-likelihood ratio test; of these, terms are taken greedily while they explain toxic documents that no earlier term
+* Lexicon: terms of all of the training fold's labelled texts (equal texts count once) whose document counts by label
+  pass a log-likelihood ratio test; of these, terms are taken greedily while they explain toxic documents that no earlier term
   explains, so words that merely share documents with a toxic term stay out.
 * Matching: the trie of the lexicon runs together with the Levenshtein automaton of its terms (one edit from five
   letters, two from nine). The product is determinised lazily: a word costs one dictionary step a letter, and dies
   early. Words that training saw in clean documents on their own are no misspellings.
 * Context: each hit scores its term's weight, less if misspelled; it counts as quoted between quotation marks or next
   to a word of reporting. Sums over windows of ``WINDOW`` words, quoted and not, go into a small additive model that
-  turns them into a probability.
+  turns them into a probability. Only this model is fitted on a sample, of about ``TRAIN_ROWS`` texts by their hash.
 
 Defined cases: null and empty texts have no hits and get the model's score for that; null labels are not learned from;
 without training rows every score is 0; repeated rows get equal scores; an empty table gives an empty result. Only
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from evalloom.llm import common
 from evalloom.llm.gam import PairwiseGam
-from evalloom.llm.quality import training_rows
+from evalloom.llm.quality import TRAIN_ROWS, training_rows
 
 THRESHOLD, WINDOW, FEATURES = 0.7, 12, 6
 #: Nats of evidence for a candidate term, and for its share of yet unexplained documents.
@@ -182,13 +182,13 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple | None:
     """(lexicon with counts, usual words near it, additive model), or None without training rows."""
     common.bounded_batches(docs.sparkSession)
-    rows = training_rows(docs, labels, label).groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("k")).agg(F.any_value("text").alias("text"), F.avg("y").alias("y")).select("text", "y")
+    rows = training_rows(docs, labels, label, None).groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("k")).agg(F.any_value("text").alias("text"), F.avg("y").alias("y")).select("text", "y", "k")
     rows = common.saved(rows, "toxic-train")
     sizes = rows.agg(F.count("*").alias("n"), F.count_if(F.col("y") >= 0.5).alias("n1")).first()
     if not sizes["n"]:
         return None
     rate = (sizes["n1"] + 0.5) / (sizes["n"] + 1)
-    counts = common.saved(rows.mapInArrow(_counts, "term string, n1 long, n0 long").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")), "toxic-terms")
+    counts = common.saved(rows.select("text", "y").mapInArrow(_counts, "term string, n1 long, n0 long").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")), "toxic-terms")
     n1, n0, p = F.col("n1"), F.col("n0"), F.col("n1") / (F.col("n1") + F.col("n0"))
     llr = n1 * F.log(p / rate) + F.when(n0 > 0, n0 * F.log((1 - p) / (1 - rate))).otherwise(0.0)
     strong = counts.where((n1 >= 3) & (p > max(0.5, rate))).withColumn("llr", llr).where(F.col("llr") >= CANDIDATE)
@@ -225,7 +225,9 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple | N
             x = [m.features(t, float(y >= 0.5)) for t, y in zip(common.texts(b.column(0)), ys)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array([float(y >= 0.5) for y in ys])], ["x", "y"])
 
-    got = rows.mapInArrow(featured, "x array<double>, y double").toArrow()
+    n = sizes["n"]
+    sample = rows.where(F.pmod(F.xxhash64(F.lit(9), "k"), F.lit(1 << 40)) < int(TRAIN_ROWS / n * (1 << 40))) if n > TRAIN_ROWS else rows
+    got = sample.select("text", "y").mapInArrow(featured, "x array<double>, y double").toArrow()
     y = got["y"].to_numpy()
     x = got["x"].combine_chunks().flatten().to_numpy().reshape(len(y), -1)
     order = np.lexsort((y, *x.T))

@@ -3,7 +3,7 @@ from itertools import product
 
 import numpy as np
 
-from evalloom.llm import toxicity
+from evalloom.llm import quality, toxicity
 
 
 def distance(a, b):
@@ -55,6 +55,22 @@ def test_held_out(spark, tmp_path):
     assert kept.columns == ["doc_id", "text", "score", "term"] and kept.count() == sum(1 - x.predicted for x in got)
 
 
+def test_lexicon_counts_all_labelled_rows(spark, monkeypatch):
+    # the bound of the sample, here 100, is the additive model's alone
+    monkeypatch.setattr(quality.training_rows, "__defaults__", (100,))
+    monkeypatch.setattr(toxicity, "TRAIN_ROWS", 100, raising=False)
+    fitted = []
+    fit = toxicity.PairwiseGam.fit
+    monkeypatch.setattr(toxicity.PairwiseGam, "fit", lambda self, x, y: fitted.append(len(y)) or fit(self, x, y))
+    docs = [(i, f"losel {i} " + ("nastyword" if i % 10 == 0 else "nastiword" if i % 100 == 1 else "tador")) for i in range(3000)]
+    docs = spark.createDataFrame([(i, t + " raregrim" if i % 250 == 0 else t) for i, t in docs], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 10 = 0) as toxic")
+    train = docs.where(toxicity.common.remainder("doc_id", 3) != 1)
+    lexicon, usual, _ = toxicity.learn(docs, labels)
+    assert lexicon["nastyword"] == (train.where("text like '%nastyword%'").count(), 0)
+    assert usual == {"nastiword"} and 50 < fitted[0] < 150
+
+
 def test_quotation_lowers_the_window():
     m = toxicity.Matcher({"nastyword": (50, 0)}, frozenset())
     plain, quoted = m.features(b"you are a nastyword friend"), m.features('he used "nastyword" there'.encode())
