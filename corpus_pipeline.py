@@ -23,12 +23,17 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: that of the smallest id, and one row of it if it is repeated."""
-    found = simhash.near_duplicates(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.min("fp").alias("_fp")).select(F.col("doc_id").alias("_id"))
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
-    ordered = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*[c for c in docs.columns if c != "doc_id"]))
-    return rows.withColumn("_nth", F.row_number().over(ordered)).where("_nth = 1").drop("_nth")
+    """One row of each SimHash group: that of the smallest id, then of the smallest row hash; a null id comes last."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    # two hashes of the text: rows of an id whose texts differ are told apart
+    hashes = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), F.xxhash64(F.lit(2), *rest).alias("h3")]
+    key = ["doc_id", "h1", "h2", "h3"]
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), *key)).alias("best")
+    kept = simhash.grouped(docs, more=hashes).groupBy("root").agg(best).select(*[F.col(f"best.{c}").alias(f"_{c}") for c in key])
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), *hashes)
+    rows = rows.join(kept, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key], "left_semi")
+    # a row repeated as a whole stays once
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))).where("nth = 1").select("row.*")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalloom.llm import common
@@ -53,14 +53,14 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fp = np.fromiter(map(fingerprint, common.texts(b.column(1))), np.uint64, len(b))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(fp.view(np.int64))], [b.schema.names[0], *b.schema.names[2:], "fp"])
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, fp long)``, one row for each row."""
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", more: list[Column] | None = None) -> DataFrame:
+    """``(doc_id, fp long)``, one row for each row, with the columns ``more`` between them."""
     common.bounded_batches(docs.sparkSession)
-    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return src.mapInArrow(_fingerprints, "doc_id long, fp long")
+    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *(more or []))
+    return src.mapInArrow(_fingerprints, src.drop("text").schema.add("fp", "long"))
 
 
 def links(distinct: DataFrame, dense: int = DENSE) -> DataFrame:
@@ -85,16 +85,21 @@ def links(distinct: DataFrame, dense: int = DENSE) -> DataFrame:
     return pairs.union(star).distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, fp, component_id)`` of every row; ``component_id`` is the smallest id that links reach."""
-    fps = common.saved(fingerprints(docs, doc_id, text), "simhash-fp")
+def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", more: list[Column] | None = None) -> DataFrame:
+    """``(doc_id, *more, fp, root, component_id)`` of every row; ``root`` is the smallest fingerprint of its group and names it."""
+    fps = common.saved(fingerprints(docs, doc_id, text, more), "simhash-fp")
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
     distinct = common.saved(distinct, "simhash-distinct")
     roots = common.components(links(distinct.select("fp")), "simhash-cc")
     named = distinct.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     named = common.saved(named, "simhash-roots")
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    return fps.join(named.join(lowest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return fps.join(named.join(lowest, "root").select("fp", "root", "component_id"), "fp").select(*fps.columns, "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(doc_id, fp, component_id)`` of every row; ``component_id`` is the smallest id that links reach."""
+    return grouped(docs, doc_id, text).select("doc_id", "fp", "component_id")
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

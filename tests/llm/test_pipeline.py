@@ -68,6 +68,18 @@ def test_stages_keep_columns_and_follow_their_operators(spark, stages):
         assert sum(d in kept for d in set(g)) <= 1 or len({d for d in g if d in kept}) == 1
 
 
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    r = random.Random(5)
+    text = lambda: " ".join(f"w{r.randrange(10000)}" for _ in range(40))
+    a, b = text(), text()
+    # nulls with texts of their own, a null with a copy that has an id, an id with two texts, a row repeated as a whole
+    docs = [(None, text(), k) for k in range(5)] + [(None, a, 9), (3, a, 1), (3, b, 1), (7, b, 1), (8, a, 1), (5, text(), 1), (5, text(), 2), (6, text(), 1)] + [(4, text(), 1)] * 2
+    df = spark.createDataFrame(docs, "doc_id long, text string, nth int")
+    got = Counter(map(tuple, corpus_pipeline.near_dedup_stage(spark, df, "").collect()))
+    assert len({simhash.fingerprint(t.encode()) for _, t, _ in docs}) == 11
+    assert got == Counter(set(docs) - {(None, a, 9), (7, b, 1), (8, a, 1)})
+
+
 def test_mix_and_encoding(spark, stages):
     folder, out = stages
     size = lambda t: len((t or "").split())
