@@ -1,16 +1,16 @@
 """Byte-level BPE: encoding by a fold of ranked merges with Spark's higher-order functions, decoding by concatenation.
 
 * Pieces: the pattern cuts each text in the JVM (``\\s`` takes Unicode white space, as the tokenizer's own regex does).
-* Merges: ``merge`` folds over the bytes of a piece. Its state is the array of parts with the rank of each part joined
-  to the next one; every step joins the leftmost pair of least rank, as the rank files define it. Ranks come from a
-  literal map, hashed into ``BUCKETS`` small maps, since a map look-up in Spark scans its keys. Bytes travel as
-  ISO-8859-1 strings, one character a byte.
+* Merges: ``merge`` folds over the bytes of a piece. Its state is an array of parts, each with the rank of its merge
+  with the next one; every step joins the leftmost pair of least rank, as the rank files define it. Ranks come from
+  literal maps, hashed into small buckets, since a map look-up in Spark scans its keys. Bytes travel as ISO-8859-1
+  strings, one character a byte.
 * Dictionary: distinct pieces of the whole corpus are counted, the most frequent ones up to ``DICTIONARY`` (a fixed
   bound on what is broadcast: entries times ``LONGEST`` bytes) are folded once, and the rest are folded where they occur.
   Either way the ids are the same.
 * A piece of more than ``LONG_PIECE`` bytes would cost the fold its square; the same merges run there on a linked list
   with a heap, in the worker.
-* Decoding looks every id's bytes up in a literal array and concatenates them (as hex digits, then ``unhex``).
+* Decoding looks every id's bytes up in a literal array and concatenates them.
 
 Defined cases: null and empty texts have no ids; their digests are those of the empty string; repeated rows get equal
 rows; an empty table gives an empty result. Only doc_id and text are read.
@@ -33,11 +33,13 @@ from pyspark.sql import functions as F
 from evalloom.llm import common
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-BUCKETS = 1 << 15
+BUCKETS, PAIR_BUCKETS = 1 << 15, 1 << 16
 #: Most entries of the dictionary, and the longest piece in it (bytes).
 DICTIONARY, LONGEST = 1 << 21, 48
 LONG_PIECE = 256
-NO_RANK = 2**31 - 1
+#: Bits of a rank and of a place in a state; NO_RANK: two parts don't merge.
+WIDTH = 20
+NO_RANK = (1 << WIDTH) - 1
 
 
 @cache
@@ -70,38 +72,77 @@ def _rank_map(path: str) -> Column:
     return F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
 
 
+def _pair_map(path: str) -> Column:
+    """What two ranks merge into, as one literal: keys ``left << WIDTH | right`` and their ranks by the hash of the key."""
+    from xxhash import xxh64_intdigest
+
+    table = ranks(path)
+    buckets: list[dict] = [{"k": [], "v": []} for _ in range(PAIR_BUCKETS)]
+    for piece, r in table.items():
+        for i in range(1, len(piece)):
+            a, b = table.get(piece[:i]), table.get(piece[i:])
+            if a is not None and b is not None:
+                key = a << WIDTH | b
+                bucket = buckets[xxh64_intdigest(key.to_bytes(8, "little"), 42) % PAIR_BUCKETS]
+                bucket["k"].append(key)
+                bucket["v"].append(r)
+    return F.from_json(F.lit(json.dumps(buckets)), "array<struct<k:array<bigint>,v:array<int>>>")
+
+
 def _rank(table: Column, piece: Column) -> Column:
-    at = (F.pmod(F.xxhash64(piece), F.lit(BUCKETS)) + 1).cast("int")
-    return F.coalesce(F.try_element_at(F.element_at(table, at), piece), F.lit(NO_RANK))
+    at = (F.xxhash64(piece).bitwiseAND(F.lit(BUCKETS - 1)) + 1).cast("int")
+    return F.try_element_at(F.element_at(table, at), piece)
+
+
+def _merged(pairs: Column, left: Column, right: Column) -> Column:
+    """The rank that two ranks merge into, in the place of a state's rank; ``NONE`` if they don't."""
+
+    def found(key: Column) -> Column:
+        at = (F.xxhash64(key).bitwiseAND(F.lit(PAIR_BUCKETS - 1)) + 1).cast("int")
+        return _let(F.element_at(pairs, at), lambda b: F.get(b["v"], F.array_position(b["k"], key).cast("int") - 1))
+
+    rank = _let(F.shiftleft(left, WIDTH).bitwiseOR(right), found)
+    return F.shiftleft(F.coalesce(rank, F.lit(NO_RANK)).cast("long"), 2 * WIDTH)
+
 
+def merge(table: Column, pairs: Column, piece: Column) -> Column:
+    """Ids, joined by commas, of a non-empty piece given as an ISO-8859-1 string.
 
-def merge(table: Column, piece: Column) -> Column:
-    """Ids, joined by commas, of a non-empty piece given as an ISO-8859-1 string."""
-    letters = F.regexp_extract_all(piece, F.lit("(?s)."), F.lit(0))
+    The state is an array with one long for each part: the rank of its merge with the next part, its first byte's
+    place, its own rank. Its least element is the leftmost pair of least rank.
+    """
     n = F.length(piece)
-    pairs = F.transform(F.sequence(F.lit(1), n), lambda i: F.when(i < n, _rank(table, F.substr(piece, i, F.lit(2)))).otherwise(F.lit(NO_RANK)))
-    start = F.struct(letters.alias("p"), pairs.alias("r"))
+    mask, low = F.lit((1 << WIDTH) - 1).cast("long"), F.lit((1 << 2 * WIDTH) - 1).cast("long")
+    none = F.lit(NO_RANK << 2 * WIDTH).cast("long")
+    part = lambda x: x.bitwiseAND(mask)
+    codes = F.transform(F.regexp_extract_all(piece, F.lit("(?s)."), F.lit(0)), lambda c: F.element_at(F.element_at(table, (F.xxhash64(c).bitwiseAND(F.lit(BUCKETS - 1)) + 1).cast("int")), c).cast("long"))
+
+    def begun(c: Column) -> Column:
+        return F.transform(c, lambda x, i: F.when(i + 1 < n, _merged(pairs, x, F.try_element_at(c, i + 2))).otherwise(none).bitwiseOR(F.shiftleft(i.cast("long"), WIDTH)).bitwiseOR(x))
 
     def join(state: Column, least: Column) -> Column:
-        p, r = state["p"], state["r"]
+        new = F.shiftright(least, 2 * WIDTH)
 
         def at(i: Column) -> Column:
-            both = F.concat(F.element_at(p, i), F.element_at(p, i + 1))
-            new_p = F.concat(F.slice(p, F.lit(1), i - 1), F.array(both), F.slice(p, i + 2, n))
-            after = F.when(i + 2 <= F.size(p), _rank(table, F.concat(both, F.try_element_at(p, i + 2)))).otherwise(F.lit(NO_RANK))
-            first = F.concat(F.array(after), F.slice(r, i + 2, n))
-            later = F.concat(F.slice(r, F.lit(1), i - 2), F.array(_rank(table, F.concat(F.element_at(p, i - 1), both)), after), F.slice(r, i + 2, n))
-            return F.struct(new_p.alias("p"), F.when(i > 1, later).otherwise(first).alias("r"))
+            after = F.coalesce(_merged(pairs, new, part(F.try_element_at(state, i + 2))), none)
+            tail = F.slice(state, i + 2, n)
+            # the place stays, the rank changes
+            fresh = after.bitwiseOR(least.bitwiseAND(low.bitwiseXOR(mask))).bitwiseOR(new)
+
+            def behind(before: Column) -> Column:
+                again = _merged(pairs, part(before), new).bitwiseOR(before.bitwiseAND(low))
+                return F.concat(F.slice(state, F.lit(1), i - 2), F.array(again, fresh), tail)
+
+            return F.when(i > 1, _let(F.element_at(state, F.greatest(i - 1, F.lit(1))), behind)).otherwise(F.concat(F.array(fresh), tail))
 
         # bound once: the place of the leftmost least rank
-        return _let(F.array_position(r, least).cast("int"), at)
+        return _let(F.array_position(state, least).cast("int"), at)
 
     def step(state: Column, _: Column) -> Column:
-        least = F.array_min(state["r"])
-        return F.when(least == NO_RANK, state).otherwise(join(state, least))
+        return _let(F.array_min(state), lambda least: F.when(least >= none, state).otherwise(join(state, least)))
 
-    folded = F.reduce(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), start, step, lambda s: F.array_join(F.transform(s["p"], lambda x: _rank(table, x).cast("string")), ","))
-    return _let(_rank(table, piece), lambda whole: F.when(whole != NO_RANK, whole.cast("string")).otherwise(folded))
+    folded = F.reduce(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), _let(codes, begun), step, lambda s: F.array_join(F.transform(s, lambda x: part(x).cast("string")), ","))
+    return _let(_rank(table, piece), lambda whole: F.when(whole.isNotNull(), whole.cast("string")).otherwise(folded))
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -139,30 +180,56 @@ def encode_long(piece: bytes, table: dict[bytes, int]) -> list[int]:
     return out
 
 
+class Dictionary:
+    """Known pieces and their ids, found by the sorted hashes of the pieces; equal hashes compare the bytes."""
+
+    def __init__(self, stream: bytes):
+        # one batch, used in place: nothing is copied or built
+        table = pa.ipc.open_stream(stream).read_all()
+        self.hashes, self.pieces, self.ids = (c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in table.columns)
+        self.hashes = self.hashes.to_numpy()
+
+    def find(self, pieces: pa.Array) -> pa.Array:
+        """Ids of each piece, joined by commas; null where it isn't known."""
+        from xxhash import xxh64_intdigest
+
+        if not len(self.hashes):
+            return pa.nulls(len(pieces), pa.string())
+        h = np.fromiter((xxh64_intdigest(t, 42) for t in common.texts(pieces)), np.uint64, len(pieces)).view(np.int64)
+        order = np.argsort(h)  # neighbouring look-ups share memory
+        at = np.empty(len(h), np.int64)
+        at[order] = np.minimum(np.searchsorted(self.hashes, h[order]), len(self.hashes) - 1)
+        same = pc.equal(self.pieces.take(pa.array(at)), pieces)
+        return self.ids.take(pc.if_else(same, pa.array(at), None))
+
+
 def _looked_up(dictionary, path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Known pieces' ids by text, with a zero character for each piece to fold; these pieces follow in a column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, ids = pa.ipc.open_stream(dictionary.value).read_all().combine_chunks().columns
-        known, ids = (x.chunk(0) if x.num_chunks else pa.array([], pa.string()) for x in (known, ids))
+        known = Dictionary(dictionary.value)
         for b in batches:
             pieces = b.column(b.num_columns - 1)
-            flat, offsets = pieces.flatten(), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(pieces), 0).to_numpy(zero_copy_only=False))])
-            got = ids.take(pc.index_in(flat, value_set=known))
-            for i in np.flatnonzero(pc.greater(pc.binary_length(flat), LONG_PIECE).to_numpy(zero_copy_only=False)).tolist():
-                parts = ",".join(map(str, encode_long(flat[i].as_py().encode(), ranks(path))))
+            offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(pieces), 0).to_numpy(zero_copy_only=False))])
+            coded = pieces.flatten().dictionary_encode()
+            distinct, code = coded.dictionary, coded.indices
+            got = known.find(distinct)
+            for i in np.flatnonzero(pc.greater(pc.binary_length(distinct), LONG_PIECE).to_numpy(zero_copy_only=False)).tolist():
+                parts = ",".join(map(str, encode_long(distinct[i].as_py().encode(), ranks(path))))
                 got = pa.concat_arrays([got.slice(0, i), pa.array([parts]), got.slice(i + 1)])
-            cold = got.is_null().to_numpy(zero_copy_only=False)
-            before = np.concatenate([[0], np.cumsum(cold)])[offsets]
-            rest = pa.array([w.encode().decode("latin-1") for w in flat.filter(pa.array(cold)).to_pylist()], pa.string())
-            text = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), got.fill_null("\x00")), ",")
+            cold = got.is_null()
+            every = cold.take(code).to_numpy(zero_copy_only=False)
+            before = np.concatenate([[0], np.cumsum(every)])[offsets]
+            letters = pa.array([None if w is None else w.encode().decode("latin-1") for w in pc.if_else(cold, distinct, None).to_pylist()], pa.string())
+            rest = letters.take(code.filter(pa.array(every)))
+            text = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), got.fill_null("\x00").take(code)), ",")
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], text, pa.ListArray.from_arrays(pa.array(before, pa.int32()), rest)], [*b.schema.names[:-1], "_known", "_cold"])
 
     return run
 
 
-def dictionary(docs: DataFrame, table: Column, most: int = DICTIONARY) -> bytes:
-    """The most frequent distinct pieces, at most ``most``, and their ids, as an Arrow stream."""
+def dictionary(docs: DataFrame, tables: Column, most: int = DICTIONARY) -> bytes:
+    """The most frequent distinct pieces, at most ``most``, and their ids, as an Arrow stream in the order of their hashes."""
     pieces = docs.select(F.explode(F.regexp_extract_all(F.col("text").cast("string"), F.lit(pattern()), F.lit(0))).alias("piece"))
     counts = common.saved(pieces.groupBy("piece").agg(F.count("*").alias("n")).where(F.octet_length("piece") <= LONGEST), "bpe-pieces")
     level = F.floor(F.log2("n") * 64).cast("int")
@@ -172,43 +239,45 @@ def dictionary(docs: DataFrame, table: Column, most: int = DICTIONARY) -> bytes:
             break
         room, least = room - r["count"], r["level"]
     chosen = counts.where(level >= least).select("piece", F.decode(F.encode("piece", "UTF-8"), "ISO-8859-1").alias("b"))
-    got = common.saved(chosen.select("piece", _let(table, lambda t: merge(t, F.col("b"))).alias("ids")), "bpe-ids").toArrow()
-    got = got.cast(pa.schema([("piece", pa.string()), ("ids", pa.string())]))
+    folded = chosen.select(F.xxhash64("piece").alias("h"), "piece", _let(tables, lambda t: merge(t["t"], t["p"], F.col("b"))).alias("ids"))
+    got = common.saved(folded, "bpe-ids").toArrow().sort_by("h").combine_chunks()
+    got = got.cast(pa.schema([("h", pa.int64()), ("piece", pa.string()), ("ids", pa.string())]))
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, got.schema) as w:
         w.write_table(got)
     return sink.getvalue().to_pybytes()
 
 
-def encoded(docs: DataFrame, path: str | None = None, most: int = DICTIONARY) -> DataFrame:
-    """The columns of ``docs`` with ``_ids``: the text's token ids, joined by commas."""
+def encoded(docs: DataFrame, path: str | None = None, most: int = DICTIONARY, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all by default) with ``_ids``: the text's token ids, joined by commas."""
+    keep = docs.columns if keep is None else keep
     spark, path = docs.sparkSession, path or vocabulary_path()
     common.bounded_batches(spark)
-    table = _rank_map(path)
-    known = spark.sparkContext.broadcast(dictionary(docs, table, most))
-    src = docs.withColumn("_pieces", F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(pattern()), F.lit(0)))
-    schema = docs.select(*docs.columns, F.lit("").alias("_known"), F.array(F.lit("")).alias("_cold")).schema
+    tables = F.struct(_rank_map(path).alias("t"), _pair_map(path).alias("p"))
+    known = spark.sparkContext.broadcast(dictionary(docs, tables, most))
+    src = docs.select(*keep, F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(pattern()), F.lit(0)).alias("_pieces"))
+    schema = docs.select(*keep, F.lit("").alias("_known"), F.array(F.lit("")).alias("_cold")).schema
     out = src.mapInArrow(_looked_up(known, path), schema)
-    folded = _let(table, lambda t: F.transform("_cold", lambda p: merge(t, p)))
+    folded = _let(tables, lambda t: F.transform("_cold", lambda p: merge(t["t"], t["p"], p)))
     whole = F.array_join(F.flatten(F.zip_with(F.split("_known", "\\x00"), folded, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    return out.select(*docs.columns, F.when(F.size("_cold") > 0, whole).otherwise(F.col("_known")).alias("_ids"))
+    return out.select(*keep, F.when(F.size("_cold") > 0, whole).otherwise(F.col("_known")).alias("_ids"))
 
 
 def decoded(ids: Column, path: str | None = None) -> Column:
-    """The bytes of an array of ids given as strings."""
+    """The bytes of an array of ids given as strings: ISO-8859-1 pieces, one character a byte, concatenated."""
     table = ranks(path or vocabulary_path())
     pieces = [""] * (max(table.values()) + 1)
     for p, r in table.items():
-        pieces[r] = p.hex()
+        pieces[r] = p.decode("latin-1")
     literal = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
-    return F.unhex(F.array_join(_let(literal, lambda t: F.transform(ids, lambda i: F.element_at(t, i.cast("int") + 1))), ""))
+    return F.encode(F.array_join(_let(literal, lambda t: F.transform(ids, lambda i: F.element_at(t, i.cast("int") + 1))), ""), "ISO-8859-1")
 
 
 def digests(docs: DataFrame, path: str | None = None, most: int = DICTIONARY) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of every row."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ids = F.filter(F.split("_ids", ","), lambda i: i != "")
-    out = encoded(src, path, most).select("doc_id", "_ids", ids.alias("ids"))
+    ids = F.when(F.col("_ids") == "", F.array().cast("array<string>")).otherwise(F.split("_ids", ","))
+    out = encoded(src, path, most, ["doc_id"]).select("doc_id", "_ids", ids.alias("ids"))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("_ids", 256).alias("ids_sha256"), F.sha2(decoded(F.col("ids"), path), 256).alias("decoded_sha256"))
 
 
