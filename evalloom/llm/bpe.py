@@ -6,11 +6,13 @@
   literal maps, hashed into small buckets, since a map look-up in Spark scans its keys. Bytes travel as ISO-8859-1
   strings, one character a byte.
 * Dictionary: distinct pieces of the whole corpus are counted, the most frequent ones up to ``DICTIONARY`` (a fixed
-  bound on what is broadcast: entries times ``LONGEST`` bytes) are folded once, and the rest are folded where they occur.
+  bound on what is broadcast: entries times ``LONGEST`` bytes) are folded once, and the rest are folded once for each block that holds them.
   Either way the ids are the same.
 * A piece of more than ``LONG_PIECE`` bytes would cost the fold its square; the same merges run there on a linked list
   with a heap, in the worker.
-* Decoding looks every id's bytes up in a literal array and concatenates them.
+* Blocks: each batch of documents becomes one row: ids, and the distinct pieces that are outside the dictionary, folded
+  once for the block. The rows are saved, so the pattern's pass isn't repeated.
+* Decoding takes every id's binary piece and concatenates them.
 
 Defined cases: null and empty texts have no ids; their digests are those of the empty string; repeated rows get equal
 rows; an empty table gives an empty result. Only doc_id and text are read.
@@ -19,6 +21,7 @@ rows; an empty table gives an empty result. Only doc_id and text are read.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import json
 from collections.abc import Callable, Iterator
@@ -29,6 +32,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from evalloom.llm import common
 
@@ -180,50 +184,128 @@ def encode_long(piece: bytes, table: dict[bytes, int]) -> list[int]:
     return out
 
 
+class Lists:
+    """Arrays of different lengths in one: values, and the end of each array."""
+
+    def __init__(self, values: np.ndarray, ends: np.ndarray):
+        self.values, self.ends = values, ends
+        self.sizes = np.diff(ends, prepend=0)
+
+    def taken(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The arrays at these places, end to end, and their ends."""
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        first = (self.ends - self.sizes)[at]
+        return self.values[np.repeat(first - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+    def replaced(self, by: dict[int, list[int]]) -> Lists:
+        """With other arrays at some places."""
+        at = np.arange(len(self.ends))
+        for k, i in enumerate(by):
+            at[i] = len(self.ends) + k
+        more = np.cumsum([len(v) for v in by.values()], dtype=np.int64) + (self.ends[-1] if len(self.ends) else 0)
+        both = Lists(np.concatenate([self.values, np.array([i for v in by.values() for i in v], self.values.dtype)]), np.concatenate([self.ends, more]))
+        return Lists(*both.taken(at))
+
+
 class Dictionary:
     """Known pieces and their ids, found by the sorted hashes of the pieces; equal hashes compare the bytes."""
 
     def __init__(self, stream: bytes):
         # one batch, used in place: nothing is copied or built
         table = pa.ipc.open_stream(stream).read_all()
-        self.hashes, self.pieces, self.ids = (c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in table.columns)
-        self.hashes = self.hashes.to_numpy()
+        hashes, self.pieces, ids = (c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in table.columns)
+        self.hashes = hashes.to_numpy()
+        self.lists = Lists(ids.values.to_numpy(), ids.offsets.to_numpy()[1:].astype(np.int64))
 
-    def find(self, pieces: pa.Array) -> pa.Array:
-        """Ids of each piece, joined by commas; null where it isn't known."""
+    def find(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, and the end of each piece's; an unknown piece has none."""
         from xxhash import xxh64_intdigest
 
         if not len(self.hashes):
-            return pa.nulls(len(pieces), pa.string())
+            return np.zeros(0, np.int32), np.zeros(len(pieces), np.int64)
         h = np.fromiter((xxh64_intdigest(t, 42) for t in common.texts(pieces)), np.uint64, len(pieces)).view(np.int64)
         order = np.argsort(h)  # neighbouring look-ups share memory
         at = np.empty(len(h), np.int64)
         at[order] = np.minimum(np.searchsorted(self.hashes, h[order]), len(self.hashes) - 1)
-        same = pc.equal(self.pieces.take(pa.array(at)), pieces)
-        return self.ids.take(pc.if_else(same, pa.array(at), None))
+        same = pc.equal(self.pieces.take(pa.array(at)), pieces).to_numpy(zero_copy_only=False)
+        values, ends = self.lists.taken(at[same])
+        return values, np.concatenate([[0], ends])[np.cumsum(same)]
+
+
+@cache
+def _bytes_of(path: str) -> pa.Array:
+    """The binary piece of each id."""
+    table = ranks(path)
+    pieces = [b""] * (max(table.values()) + 1)
+    for p, r in table.items():
+        pieces[r] = p
+    return pa.array(pieces, pa.binary())
 
 
 def _looked_up(dictionary, path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Known pieces' ids by text, with a zero character for each piece to fold; these pieces follow in a column."""
+    """A block for each batch: its rows' other columns, the ends of their ids, the ids, and the pieces yet to fold.
+
+    An id below zero stands for all ids of a distinct piece to fold: -1 for the first one of the block, and so on.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Dictionary(dictionary.value)
         for b in batches:
             pieces = b.column(b.num_columns - 1)
-            offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(pieces), 0).to_numpy(zero_copy_only=False))])
+            upto = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(pieces), 0).to_numpy(zero_copy_only=False))])
             coded = pieces.flatten().dictionary_encode()
-            distinct, code = coded.dictionary, coded.indices
-            got = known.find(distinct)
-            for i in np.flatnonzero(pc.greater(pc.binary_length(distinct), LONG_PIECE).to_numpy(zero_copy_only=False)).tolist():
-                parts = ",".join(map(str, encode_long(distinct[i].as_py().encode(), ranks(path))))
-                got = pa.concat_arrays([got.slice(0, i), pa.array([parts]), got.slice(i + 1)])
-            cold = got.is_null()
-            every = cold.take(code).to_numpy(zero_copy_only=False)
-            before = np.concatenate([[0], np.cumsum(every)])[offsets]
-            letters = pa.array([None if w is None else w.encode().decode("latin-1") for w in pc.if_else(cold, distinct, None).to_pylist()], pa.string())
-            rest = letters.take(code.filter(pa.array(every)))
-            text = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), got.fill_null("\x00").take(code)), ",")
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], text, pa.ListArray.from_arrays(pa.array(before, pa.int32()), rest)], [*b.schema.names[:-1], "_known", "_cold"])
+            distinct, code = coded.dictionary, coded.indices.to_numpy()
+            ids, ends = known.find(distinct)
+            sizes = np.diff(ends, prepend=0)
+            cold = np.flatnonzero(sizes == 0)
+            long = {}
+            for i in cold[pc.greater(pc.binary_length(distinct), LONG_PIECE).to_numpy(zero_copy_only=False)[cold]].tolist():
+                long[i] = encode_long(distinct[i].as_py().encode(), ranks(path))
+            cold = cold[~np.isin(cold, list(long))] if long else cold
+            lists = Lists(ids, ends).replaced({**long, **{int(i): [-1 - k] for k, i in enumerate(cold)}})
+            values, ends = lists.taken(code)
+            rest = [w.encode().decode("latin-1") for w in distinct.take(pa.array(cold)).to_pylist()]
+            rows = pa.StructArray.from_arrays(b.columns[:-1], b.schema.names[:-1]) if b.num_columns > 1 else pa.array([{}] * len(b), pa.struct([]))
+            ends = np.concatenate([[0], ends])[upto[1:]]
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(b)], pa.int32()), rows), pa.array([ends.tolist()], pa.list_(pa.int64())), pa.array([values.astype("<i4").tobytes()], pa.binary()), pa.array([rest], pa.list_(pa.string()))], ["rows", "ends", "ids", "cold"])
+
+    return run
+
+
+def _unpacked(path: str, digest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The rows of blocks: with their ids, or with the digests of their ids and of the bytes that these decode to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, decimal = _bytes_of(path), None
+        for b in batches:
+            for k in range(len(b)):
+                rows, ends = b.column(0)[k].values, np.array(b.column(1)[k].as_py(), np.int64)
+                ids = np.frombuffer(b.column(2)[k].as_py(), "<i4")
+                folded = [list(map(int, x.split(","))) for x in b.column(3)[k].as_py()]
+                if folded:
+                    flat = np.array([i for f in folded for i in f], np.int32)
+                    sizes = np.where(ids < 0, np.array([len(f) for f in folded])[np.clip(-1 - ids, 0, len(folded) - 1)], 1)
+                    starts = np.concatenate([[0], np.cumsum([len(f) for f in folded])])
+                    at = np.concatenate([[0], np.cumsum(sizes)])
+                    ends = at[ends]
+                    out = np.repeat(ids, sizes)
+                    nth = np.arange(len(out)) - np.repeat(at[:-1], sizes)
+                    gap = np.flatnonzero(out < 0)
+                    out[gap] = flat[starts[-1 - out[gap]] + nth[gap]]
+                    ids = out
+                bounds = np.concatenate([[0], ends])
+                columns = rows.flatten()
+                if not digest:
+                    values = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
+                    yield pa.RecordBatch.from_arrays([*columns, values], [*(f.name for f in rows.type), "ids"])
+                    continue
+                decimal = pa.array(map(str, range(len(pieces))), pa.string()) if decimal is None else decimal
+                joined = common.texts(pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), decimal.take(pa.array(ids))), ","))
+                of, data = common.buffers(pieces.take(pa.array(ids)))
+                cut = of[bounds].tolist()
+                sha = lambda x: hashlib.sha256(x).hexdigest()
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(bounds)), pa.array(list(map(sha, joined))), pa.array([sha(data[i:j]) for i, j in zip(cut, cut[1:])], pa.string())], [*(f.name for f in rows.type), "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
@@ -239,46 +321,57 @@ def dictionary(docs: DataFrame, tables: Column, most: int = DICTIONARY) -> bytes
             break
         room, least = room - r["count"], r["level"]
     chosen = counts.where(level >= least).select("piece", F.decode(F.encode("piece", "UTF-8"), "ISO-8859-1").alias("b"))
-    folded = chosen.select(F.xxhash64("piece").alias("h"), "piece", _let(tables, lambda t: merge(t["t"], t["p"], F.col("b"))).alias("ids"))
-    got = common.saved(folded, "bpe-ids").toArrow().sort_by("h").combine_chunks()
-    got = got.cast(pa.schema([("h", pa.int64()), ("piece", pa.string()), ("ids", pa.string())]))
+    ids = F.split(_let(tables, lambda t: merge(t["t"], t["p"], F.col("b"))), ",").cast("array<int>")
+    folded = chosen.select(F.xxhash64("piece").alias("h"), "piece", ids.alias("ids"))
+    got = common.saved(folded, "bpe-ids").toArrow()
+    kinds = pa.schema([("h", pa.int64()), ("piece", pa.string()), ("ids", pa.list_(pa.int32()))])
+    order = pc.sort_indices(got["h"])
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, got.schema) as w:
-        w.write_table(got)
+    with pa.ipc.new_stream(sink, kinds) as w:
+        # column by column, one chunk each: the driver holds little more than the stream
+        columns = []
+        for f in kinds:
+            columns.append(got[f.name].combine_chunks().take(order).cast(f.type))
+            got = got.drop_columns([f.name])
+        w.write_batch(pa.RecordBatch.from_arrays(columns, schema=kinds))
+        del columns
     return sink.getvalue().to_pybytes()
 
 
-def encoded(docs: DataFrame, path: str | None = None, most: int = DICTIONARY, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``docs`` (all by default) with ``_ids``: the text's token ids, joined by commas."""
-    keep = docs.columns if keep is None else keep
-    spark, path = docs.sparkSession, path or vocabulary_path()
+def _blocks(docs: DataFrame, path: str, most: int) -> DataFrame:
+    """Blocks of rows of ``docs`` (all columns but text) with their ids, the pieces outside the dictionary folded."""
+    spark = docs.sparkSession
     common.bounded_batches(spark)
     tables = F.struct(_rank_map(path).alias("t"), _pair_map(path).alias("p"))
     known = spark.sparkContext.broadcast(dictionary(docs, tables, most))
-    src = docs.select(*keep, F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(pattern()), F.lit(0)).alias("_pieces"))
-    schema = docs.select(*keep, F.lit("").alias("_known"), F.array(F.lit("")).alias("_cold")).schema
-    out = src.mapInArrow(_looked_up(known, path), schema)
-    folded = _let(tables, lambda t: F.transform("_cold", lambda p: merge(t["t"], t["p"], p)))
-    whole = F.array_join(F.flatten(F.zip_with(F.split("_known", "\\x00"), folded, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    return out.select(*keep, F.when(F.size("_cold") > 0, whole).otherwise(F.col("_known")).alias("_ids"))
+    rows = docs.drop("text")
+    src = docs.select(*rows.columns, F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(pattern()), F.lit(0)).alias("_pieces"))
+    kind = f"array<{rows.schema.simpleString()}>"
+    held = common.saved(src.mapInArrow(_looked_up(known, path), f"rows {kind}, ends array<bigint>, ids binary, cold array<string>"), "bpe-blocks")
+    known.unpersist()
+    return held.withColumn("cold", _let(tables, lambda t: F.transform("cold", lambda p: merge(t["t"], t["p"], p))))
+
+
+def encoded(docs: DataFrame, path: str | None = None, most: int = DICTIONARY) -> DataFrame:
+    """``docs`` with ``_ids``, an array of the text's token ids."""
+    path, names = path or vocabulary_path(), docs.columns
+    packed = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), F.col("text").cast("string").alias("text"))
+    out = _blocks(packed, path, most).mapInArrow(_unpacked(path, False), packed.drop("text").schema.add("ids", ArrayType(IntegerType())))
+    return out.select("row.*", F.col("ids").alias("_ids"))
 
 
 def decoded(ids: Column, path: str | None = None) -> Column:
-    """The bytes of an array of ids given as strings: ISO-8859-1 pieces, one character a byte, concatenated."""
-    table = ranks(path or vocabulary_path())
-    pieces = [""] * (max(table.values()) + 1)
-    for p, r in table.items():
-        pieces[r] = p.decode("latin-1")
+    """The bytes of an array of ids: ISO-8859-1 pieces, one character a byte, looked up in a literal and concatenated."""
+    pieces = [p.decode("latin-1") for p in _bytes_of(path or vocabulary_path()).to_pylist()]
     literal = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
     return F.encode(F.array_join(_let(literal, lambda t: F.transform(ids, lambda i: F.element_at(t, i.cast("int") + 1))), ""), "ISO-8859-1")
 
 
 def digests(docs: DataFrame, path: str | None = None, most: int = DICTIONARY) -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of every row."""
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of every row; the ids are decoded by taking their binary pieces."""
+    path = path or vocabulary_path()
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ids = F.when(F.col("_ids") == "", F.array().cast("array<string>")).otherwise(F.split("_ids", ","))
-    out = encoded(src, path, most, ["doc_id"]).select("doc_id", "_ids", ids.alias("ids"))
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("_ids", 256).alias("ids_sha256"), F.sha2(decoded(F.col("ids"), path), 256).alias("decoded_sha256"))
+    return _blocks(src, path, most).mapInArrow(_unpacked(path, True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op7_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,3 +38,15 @@ def test_like_the_library(spark, encoder, most):
 
 def test_empty(spark):
     assert bpe.digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_round_trip_keeps_columns(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, t, "kept", None) for i, t in enumerate(texts())]
+    df = spark.createDataFrame(rows, "doc_id long, text string, ids string, _ids string").drop("_ids").withColumn("rows", F.lit(1))
+    out = bpe.encoded(df, most=100)
+    assert out.columns == ["doc_id", "text", "ids", "rows", "_ids"]
+    got = out.select("doc_id", "text", "ids", bpe.decoded(F.col("_ids")).alias("b")).collect()
+    assert len(got) == len(rows)
+    assert all(bytes(r["b"]) == (r["text"] or "").encode() and r["ids"] == "kept" for r in got)
