@@ -211,7 +211,7 @@ class Lists:
 class Dictionary:
     """Known pieces and their ids, found by the sorted hashes of the pieces; equal hashes compare the bytes."""
 
-    def __init__(self, stream: bytes):
+    def __init__(self, stream: pa.Buffer):
         # one batch, used in place: nothing is copied or built
         table = pa.ipc.open_stream(stream).read_all()
         hashes, self.pieces, ids = (c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in table.columns)
@@ -310,7 +310,7 @@ def _unpacked(path: str, digest: bool) -> Callable[[Iterator[pa.RecordBatch]], I
     return run
 
 
-def dictionary(docs: DataFrame, tables: Column, most: int = DICTIONARY) -> bytes:
+def dictionary(docs: DataFrame, tables: Column, most: int = DICTIONARY) -> pa.Buffer:
     """The most frequent distinct pieces, at most ``most``, and their ids, as an Arrow stream in the order of their hashes."""
     pieces = docs.select(F.explode(F.regexp_extract_all(F.col("text").cast("string"), F.lit(pattern()), F.lit(0))).alias("piece"))
     counts = common.saved(pieces.groupBy("piece").agg(F.count("*").alias("n")).where(F.octet_length("piece") <= LONGEST), "bpe-pieces")
@@ -326,16 +326,15 @@ def dictionary(docs: DataFrame, tables: Column, most: int = DICTIONARY) -> bytes
     got = common.saved(folded, "bpe-ids").toArrow()
     kinds = pa.schema([("h", pa.int64()), ("piece", pa.string()), ("ids", pa.list_(pa.int32()))])
     order = pc.sort_indices(got["h"])
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, kinds) as w:
-        # column by column, one chunk each: the driver holds little more than the stream
-        columns = []
-        for f in kinds:
-            columns.append(got[f.name].combine_chunks().take(order).cast(f.type))
-            got = got.drop_columns([f.name])
-        w.write_batch(pa.RecordBatch.from_arrays(columns, schema=kinds))
-        del columns
-    return sink.getvalue().to_pybytes()
+    batch = pa.RecordBatch.from_arrays([got[f.name].combine_chunks().take(order).cast(f.type) for f in kinds], schema=kinds)
+    # the driver holds little more than this stream, written in place
+    del got, order
+    buffer = pa.allocate_buffer(pa.ipc.get_record_batch_size(batch) + 4096)
+    with pa.FixedSizeBufferWriter(buffer) as to, pa.ipc.new_stream(to, kinds) as w:
+        w.write_batch(batch)
+    del batch
+    pa.default_memory_pool().release_unused()
+    return buffer
 
 
 def _blocks(docs: DataFrame, path: str, most: int) -> DataFrame:
@@ -348,7 +347,7 @@ def _blocks(docs: DataFrame, path: str, most: int) -> DataFrame:
     src = docs.select(*rows.columns, F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(pattern()), F.lit(0)).alias("_pieces"))
     kind = f"array<{rows.schema.simpleString()}>"
     held = common.saved(src.mapInArrow(_looked_up(known, path), f"rows {kind}, ends array<bigint>, ids binary, cold array<string>"), "bpe-blocks")
-    known.unpersist()
+    known.destroy()
     return held.withColumn("cold", _let(tables, lambda t: F.transform("cold", lambda p: merge(t["t"], t["p"], p))))
 
 
