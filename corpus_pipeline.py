@@ -13,17 +13,29 @@ from evalloom.llm import bpe, common, mixing, quality, simhash, toxicity
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality model accepts (score 0.5 or more)."""
+    """Documents that the quality model accepts (score 0.5 or more).
+
+    Null and empty texts get the score of no features; null ids and repeated rows are scored like others; without
+    labels all documents stay (0.5); an empty table stays empty; extra columns pass through.
+    """
     return quality.accepted(docs, common.table(spark, sf_dir, "labels"))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents below the toxicity threshold (score under 0.7)."""
+    """Documents below the toxicity threshold (score under 0.7).
+
+    Null and empty texts have no hits; null ids and repeated rows are scored like others; without labels all documents
+    stay (0); an empty table stays empty; extra columns pass through.
+    """
     return toxicity.accepted(docs, common.table(spark, sf_dir, "labels"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each SimHash group: that of the smallest id, then of the smallest row hash; a null id comes last."""
+    """One row of each SimHash group: that of the smallest id, then of the smallest row hash; a null id comes last.
+
+    Rows are told apart by id and hashes of all columns, so ids that are null or repeated lose no text; null and empty
+    texts are one group (fingerprint zero); a row repeated as a whole stays once; an empty table stays empty.
+    """
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     # two hashes of the text: rows of an id whose texts differ are told apart
     hashes = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), F.xxhash64(F.lit(2), *rest).alias("h3")]
@@ -37,12 +49,21 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of the sources: documents once for each time that it takes them."""
-    return mixing.mixed(docs)
+    """The mix of the sources: documents once for each time that it takes them.
+
+    A document taken in part is cut to its words, and ``n_chars`` follows its text. Null and empty texts hold no words,
+    so no mix takes them; null ids and a null source are like others; an empty table stays empty.
+    """
+    out = mixing.mixed(docs)
+    size = F.length("text").cast(out.schema["n_chars"].dataType) if "n_chars" in out.columns else None
+    return out.select(*[size.alias(c) if c == "n_chars" else F.col(c) for c in out.columns])
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the documents."""
+    """Token counts and digests of the documents.
+
+    Null and empty texts have no tokens; repeated rows get equal rows; an empty table stays empty.
+    """
     return bpe.digests(docs)
 
 
