@@ -5,13 +5,12 @@
   with the next one; every step joins the leftmost pair of least rank, as the rank files define it. Ranks come from
   literal maps, hashed into small buckets, since a map look-up in Spark scans its keys. Bytes travel as ISO-8859-1
   strings, one character a byte.
-* Dictionary: distinct pieces of the whole corpus are counted, the most frequent ones up to ``DICTIONARY`` (a fixed
-  bound on what is broadcast: entries times ``LONGEST`` bytes) are folded once, and the rest are folded once for each block that holds them.
-  Either way the ids are the same.
+* Distinct pieces: documents are cut into blocks, one row each, saved with their distinct pieces in the order of their
+  hashes. Blocks send these, by ranges of hashes, to where each distinct piece of the corpus is folded once, and get
+  the ids back the same way. Nothing passes through the driver or is broadcast, whatever the corpus holds; a frequent
+  piece comes once a block.
 * A piece of more than ``LONG_PIECE`` bytes would cost the fold its square; the same merges run there on a linked list
   with a heap, in the worker.
-* Blocks: each batch of documents becomes one row: ids, and the distinct pieces that are outside the dictionary, folded
-  once for the block. The rows are saved, so the pattern's pass isn't repeated.
 * Decoding takes every id's binary piece and concatenates them.
 
 Defined cases: null and empty texts have no ids; their digests are those of the empty string; repeated rows get equal
@@ -32,14 +31,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 
 from evalloom.llm import common
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 BUCKETS, PAIR_BUCKETS = 1 << 15, 1 << 16
-#: Most entries of the dictionary, and the longest piece in it (bytes).
-DICTIONARY, LONGEST = 1 << 21, 48
+#: Text of a block, and distinct pieces of all blocks in a range of hashes (bytes).
+BLOCK_BYTES, PART_BYTES = 8 << 20, 4 << 20
 LONG_PIECE = 256
 #: Bits of a rank and of a place in a state; NO_RANK: two parts don't merge.
 WIDTH = 20
@@ -110,7 +108,7 @@ def _merged(pairs: Column, left: Column, right: Column) -> Column:
 
 
 def merge(table: Column, pairs: Column, piece: Column) -> Column:
-    """Ids, joined by commas, of a non-empty piece given as an ISO-8859-1 string.
+    """Ids, an array of ints, of a non-empty piece given as an ISO-8859-1 string.
 
     The state is an array with one long for each part: the rank of its merge with the next part, its first byte's
     place, its own rank. Its least element is the leftmost pair of least rank.
@@ -145,8 +143,8 @@ def merge(table: Column, pairs: Column, piece: Column) -> Column:
     def step(state: Column, _: Column) -> Column:
         return _let(F.array_min(state), lambda least: F.when(least >= none, state).otherwise(join(state, least)))
 
-    folded = F.reduce(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), _let(codes, begun), step, lambda s: F.array_join(F.transform(s, lambda x: part(x).cast("string")), ","))
-    return _let(_rank(table, piece), lambda whole: F.when(whole.isNotNull(), whole.cast("string")).otherwise(folded))
+    folded = F.reduce(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), _let(codes, begun), step, lambda s: F.transform(s, lambda x: part(x).cast("int")))
+    return _let(_rank(table, piece), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(folded))
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -184,179 +182,213 @@ def encode_long(piece: bytes, table: dict[bytes, int]) -> list[int]:
     return out
 
 
-class Lists:
-    """Arrays of different lengths in one: values, and the end of each array."""
+@cache
+def _bytes_of(path: str) -> pa.Array:
+    """The binary piece of each id."""
+    table = ranks(path)
+    pieces = [b""] * (max(table.values()) + 1)
+    for p, r in table.items():
+        pieces[r] = p
+    return pa.array(pieces, pa.binary())
 
-    def __init__(self, values: np.ndarray, ends: np.ndarray):
-        self.values, self.ends = values, ends
-        self.sizes = np.diff(ends, prepend=0)
 
-    def taken(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The arrays at these places, end to end, and their ends."""
-        sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        first = (self.ends - self.sizes)[at]
-        return self.values[np.repeat(first - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)], ends
+def taken(values: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of arrays laid end to end, those at some places, end to end, and their ends (from 0)."""
+    ends = np.concatenate([[0], np.cumsum(sizes[at])])
+    first = (np.cumsum(sizes) - sizes)[at]
+    return values[np.repeat(first - ends[:-1], sizes[at]) + np.arange(ends[-1])], ends
 
-    def replaced(self, by: dict[int, list[int]]) -> Lists:
-        """With other arrays at some places."""
-        at = np.arange(len(self.ends))
-        for k, i in enumerate(by):
-            at[i] = len(self.ends) + k
-        more = np.cumsum([len(v) for v in by.values()], dtype=np.int64) + (self.ends[-1] if len(self.ends) else 0)
-        both = Lists(np.concatenate([self.values, np.array([i for v in by.values() for i in v], self.values.dtype)]), np.concatenate([self.ends, more]))
-        return Lists(*both.taken(at))
 
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of equal type (int32) or bytes, compressed."""
+    import zstandard
 
-class Dictionary:
-    """Known pieces and their ids, found by the sorted hashes of the pieces; equal hashes compare the bytes."""
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(a.tobytes() for a in arrays))
 
-    def __init__(self, stream: pa.Buffer):
-        # one batch, used in place: nothing is copied or built
-        table = pa.ipc.open_stream(stream).read_all()
-        hashes, self.pieces, ids = (c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in table.columns)
-        self.hashes = hashes.to_numpy()
-        self.lists = Lists(ids.values.to_numpy(), ids.offsets.to_numpy()[1:].astype(np.int64))
 
-    def find(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces, and the end of each piece's; an unknown piece has none."""
-        from xxhash import xxh64_intdigest
+def unpacked(data: bytes) -> bytes:
+    import zstandard
 
-        if not len(self.hashes):
-            return np.zeros(0, np.int32), np.zeros(len(pieces), np.int64)
-        h = np.fromiter((xxh64_intdigest(t, 42) for t in common.texts(pieces)), np.uint64, len(pieces)).view(np.int64)
-        order = np.argsort(h)  # neighbouring look-ups share memory
-        at = np.empty(len(h), np.int64)
-        at[order] = np.minimum(np.searchsorted(self.hashes, h[order]), len(self.hashes) - 1)
-        same = pc.equal(self.pieces.take(pa.array(at)), pieces).to_numpy(zero_copy_only=False)
-        values, ends = self.lists.taken(at[same])
-        return values, np.concatenate([[0], ends])[np.cumsum(same)]
+    return zstandard.ZstdDecompressor().decompress(data)
 
 
-@cache
-def _bytes_of(path: str) -> pa.Array:
-    """The binary piece of each id."""
-    table = ranks(path)
-    pieces = [b""] * (max(table.values()) + 1)
-    for p, r in table.items():
-        pieces[r] = p
-    return pa.array(pieces, pa.binary())
+def hashes(pieces: pa.Array) -> np.ndarray:
+    from xxhash import xxh64_intdigest
 
+    return np.fromiter((xxh64_intdigest(t, 42) for t in common.texts(pieces)), np.uint64, len(pieces))
 
-def _looked_up(dictionary, path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A block for each batch: its rows' other columns, the ends of their ids, the ids, and the pieces yet to fold.
 
-    An id below zero stands for all ids of a distinct piece to fold: -1 for the first one of the block, and so on.
+BLOCK = "block long, rows {rows}, ends array<bigint>, codes binary, pieces array<string>, size long"
+
+
+def _cut(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks of about ``limit`` bytes of text: rows' other columns, ends of their pieces, the pieces' places among the distinct ones.
+
+    Distinct pieces are in the order of their hashes, so every range of hashes is a slice of them.
     """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        first, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def block(nth: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            pieces = pa.concat_arrays([b.column(b.num_columns - 1) for b in held])
+            ends = np.cumsum(pc.list_value_length(pieces).to_numpy(zero_copy_only=False))
+            coded = pieces.flatten().dictionary_encode()
+            h = hashes(coded.dictionary)
+            order = np.argsort(h)
+            place = np.empty(len(order), "<i4")
+            place[order] = np.arange(len(order))
+            distinct = coded.dictionary.take(pa.array(order))
+            rows = pa.concat_arrays([pa.StructArray.from_arrays(b.columns[:-1], b.schema.names[:-1]) for b in held])
+            one = pa.array([0, len(rows)], pa.int32())
+            total = pc.sum(pc.binary_length(distinct)).as_py() or 0
+            columns = [pa.array([first + nth]), pa.ListArray.from_arrays(one, rows), pa.array([ends.tolist()], pa.list_(pa.int64()))]
+            columns += [pa.array([packed(place[coded.indices.to_numpy()])], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct), pa.array([total])]
+            return pa.RecordBatch.from_arrays(columns, ["block", "rows", "ends", "codes", "pieces", "size"])
+
+        nth = 0
+        for b in batches:
+            held.append(b)
+            size += b.column(b.num_columns - 1).nbytes
+            if size >= limit:
+                yield block(nth, held)
+                held, size, nth = [], 0, nth + 1
+        if sum(map(len, held)):
+            yield block(nth, held)
+
+    return run
+
+
+def _sent(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A block's distinct pieces, one row for each range of hashes that it has some in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Dictionary(dictionary.value)
         for b in batches:
-            pieces = b.column(b.num_columns - 1)
-            upto = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(pieces), 0).to_numpy(zero_copy_only=False))])
-            coded = pieces.flatten().dictionary_encode()
-            distinct, code = coded.dictionary, coded.indices.to_numpy()
-            ids, ends = known.find(distinct)
-            sizes = np.diff(ends, prepend=0)
-            cold = np.flatnonzero(sizes == 0)
-            long = {}
-            for i in cold[pc.greater(pc.binary_length(distinct), LONG_PIECE).to_numpy(zero_copy_only=False)[cold]].tolist():
-                long[i] = encode_long(distinct[i].as_py().encode(), ranks(path))
-            cold = cold[~np.isin(cold, list(long))] if long else cold
-            lists = Lists(ids, ends).replaced({**long, **{int(i): [-1 - k] for k, i in enumerate(cold)}})
-            values, ends = lists.taken(code)
-            rest = [w.encode().decode("latin-1") for w in distinct.take(pa.array(cold)).to_pylist()]
-            rows = pa.StructArray.from_arrays(b.columns[:-1], b.schema.names[:-1]) if b.num_columns > 1 else pa.array([{}] * len(b), pa.struct([]))
-            ends = np.concatenate([[0], ends])[upto[1:]]
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(b)], pa.int32()), rows), pa.array([ends.tolist()], pa.list_(pa.int64())), pa.array([values.astype("<i4").tobytes()], pa.binary()), pa.array([rest], pa.list_(pa.string()))], ["rows", "ends", "ids", "cold"])
+            for block, pieces in zip(b.column(0).to_pylist(), b.column(1)):
+                pieces = pieces.values
+                part = (hashes(pieces) >> np.uint64(32)).astype(np.int64) * parts >> 32
+                there, starts = np.unique(part, return_index=True)
+                stops = [*starts[1:].tolist(), len(pieces)]
+                out = []
+                for i, j in zip(starts.tolist(), stops):
+                    off, data = common.buffers(pieces.slice(i, j - i))
+                    out.append(packed(np.array([j - i], "<i4"), np.diff(off).astype("<i4"), data[off[0] : off[-1]]))
+                yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array([block] * len(out), pa.int64()), pa.array(out, pa.binary())], ["part", "block", "pieces"])
 
     return run
 
 
-def _unpacked(path: str, digest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The rows of blocks: with their ids, or with the digests of their ids and of the bytes that these decode to."""
+def _distinct(sent: pa.Table) -> pa.Table:
+    """Of one range of hashes: the distinct pieces of all blocks, and each block's places among them."""
+    every = []
+    for data in map(unpacked, sent["pieces"].to_pylist()):
+        n = int(np.frombuffer(data, "<i4", 1)[0])
+        off = np.concatenate([[0], np.cumsum(np.frombuffer(data, "<i4", n, 4))]).astype(np.int32)
+        every.append(pa.StringArray.from_buffers(n, pa.py_buffer(off), pa.py_buffer(data[4 + 4 * n :])))
+    coded = pa.concat_arrays(every).dictionary_encode()
+    pieces = coded.dictionary.to_pylist()
+    long = [w for w in pieces if len(w.encode()) > LONG_PIECE]
+    fold = [None if len(w.encode()) > LONG_PIECE else w.encode().decode("latin-1") for w in pieces]
+    columns = [pa.array([fold], pa.list_(pa.string())), pa.array([long], pa.list_(pa.string())), pa.array([sent["block"].to_pylist()], pa.list_(pa.int64()))]
+    columns += [pa.array([list(map(len, every))], pa.list_(pa.int32())), pa.array([packed(coded.indices.to_numpy().astype("<i4"))], pa.binary()), sent["part"].combine_chunks()[:1]]
+    return pa.table(columns, names=["fold", "long", "blocks", "sizes", "codes", "part"])
+
+
+def _answered(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The ids of each block's pieces in one range of hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, decimal = _bytes_of(path), None
         for b in batches:
             for k in range(len(b)):
-                rows, ends = b.column(0)[k].values, np.array(b.column(1)[k].as_py(), np.int64)
-                ids = np.frombuffer(b.column(2)[k].as_py(), "<i4")
-                folded = [list(map(int, x.split(","))) for x in b.column(3)[k].as_py()]
-                if folded:
-                    flat = np.array([i for f in folded for i in f], np.int32)
-                    sizes = np.where(ids < 0, np.array([len(f) for f in folded])[np.clip(-1 - ids, 0, len(folded) - 1)], 1)
-                    starts = np.concatenate([[0], np.cumsum([len(f) for f in folded])])
-                    at = np.concatenate([[0], np.cumsum(sizes)])
-                    ends = at[ends]
-                    out = np.repeat(ids, sizes)
-                    nth = np.arange(len(out)) - np.repeat(at[:-1], sizes)
-                    gap = np.flatnonzero(out < 0)
-                    out[gap] = flat[starts[-1 - out[gap]] + nth[gap]]
-                    ids = out
-                bounds = np.concatenate([[0], ends])
-                columns = rows.flatten()
-                if not digest:
-                    values = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
-                    yield pa.RecordBatch.from_arrays([*columns, values], [*(f.name for f in rows.type), "ids"])
-                    continue
-                decimal = pa.array(map(str, range(len(pieces))), pa.string()) if decimal is None else decimal
-                joined = common.texts(pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), decimal.take(pa.array(ids))), ","))
-                of, data = common.buffers(pieces.take(pa.array(ids)))
-                cut = of[bounds].tolist()
-                sha = lambda x: hashlib.sha256(x).hexdigest()
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(bounds)), pa.array(list(map(sha, joined))), pa.array([sha(data[i:j]) for i, j in zip(cut, cut[1:])], pa.string())], [*(f.name for f in rows.type), "n_tokens", "ids_sha256", "decoded_sha256"])
+                folded, long, blocks, sizes, codes, part = (b.column(c)[k] for c in range(6))
+                folded = folded.values
+                n, ids = pc.fill_null(pc.list_value_length(folded), 0).to_numpy(zero_copy_only=False).astype(np.int64), folded.flatten().to_numpy(zero_copy_only=False)
+                gaps = np.flatnonzero(n == 0)
+                if len(gaps):  # the long pieces, in their order
+                    more = [encode_long(w.encode(), ranks(path)) for w in long.as_py()]
+                    at = np.arange(len(n))
+                    at[gaps] = len(n) + np.arange(len(gaps))
+                    both = np.concatenate([n, [len(m) for m in more]]).astype(np.int64)
+                    ids, ends = taken(np.concatenate([ids, np.array([i for m in more for i in m], ids.dtype)]), both, at)
+                    n = np.diff(ends)
+                codes, stop, out = np.frombuffer(unpacked(codes.as_py()), "<i4"), 0, []
+                for size in sizes.as_py():
+                    at = codes[stop : stop + size]
+                    stop += size
+                    out.append(packed(np.array([size], "<i4"), n[at].astype("<i4"), taken(ids, n, at)[0].astype("<i4")))
+                yield pa.RecordBatch.from_arrays([blocks.values, pa.array([part.as_py()] * len(out), pa.int32()), pa.array(out, pa.binary())], ["block", "part", "ids"])
 
     return run
 
 
-def dictionary(docs: DataFrame, tables: Column, most: int = DICTIONARY) -> pa.Buffer:
-    """The most frequent distinct pieces, at most ``most``, and their ids, as an Arrow stream in the order of their hashes."""
-    pieces = docs.select(F.explode(F.regexp_extract_all(F.col("text").cast("string"), F.lit(pattern()), F.lit(0))).alias("piece"))
-    counts = common.saved(pieces.groupBy("piece").agg(F.count("*").alias("n")).where(F.octet_length("piece") <= LONGEST), "bpe-pieces")
-    level = F.floor(F.log2("n") * 64).cast("int")
-    room, least = most, 1 << 30
-    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
-        if r["count"] > room:
-            break
-        room, least = room - r["count"], r["level"]
-    chosen = counts.where(level >= least).select("piece", F.decode(F.encode("piece", "UTF-8"), "ISO-8859-1").alias("b"))
-    ids = F.split(_let(tables, lambda t: merge(t["t"], t["p"], F.col("b"))), ",").cast("array<int>")
-    folded = chosen.select(F.xxhash64("piece").alias("h"), "piece", ids.alias("ids"))
-    got = common.saved(folded, "bpe-ids").toArrow()
-    kinds = pa.schema([("h", pa.int64()), ("piece", pa.string()), ("ids", pa.list_(pa.int32()))])
-    order = pc.sort_indices(got["h"])
-    batch = pa.RecordBatch.from_arrays([got[f.name].combine_chunks().take(order).cast(f.type) for f in kinds], schema=kinds)
-    # the driver holds little more than this stream, written in place
-    del got, order
-    buffer = pa.allocate_buffer(pa.ipc.get_record_batch_size(batch) + 4096)
-    with pa.FixedSizeBufferWriter(buffer) as to, pa.ipc.new_stream(to, kinds) as w:
-        w.write_batch(batch)
-    del batch
-    pa.default_memory_pool().release_unused()
-    return buffer
-
-
-def _blocks(docs: DataFrame, path: str, most: int) -> DataFrame:
-    """Blocks of rows of ``docs`` (all columns but text) with their ids, the pieces outside the dictionary folded."""
+#: Pieces whose ids are laid out at once when a block is put together.
+STRETCH = 1 << 20
+
+
+def _joined(path: str, digest: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Rows of a block: with their ids, or with the digests of their ids and of the bytes that these decode to."""
+
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        sizes, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for data in answers.sort_by("part")["ids"].to_pylist():
+            data = np.frombuffer(unpacked(data), "<i4")
+            sizes.append(data[1 : 1 + data[0]])
+            ids.append(data[1 + data[0] :])
+        sizes, ids = np.concatenate(sizes), np.concatenate(ids)
+        rows = blocks["rows"].combine_chunks().flatten()
+        ends = np.concatenate([[0], blocks["ends"].combine_chunks().flatten().to_numpy()])
+        codes = np.frombuffer(unpacked(blocks["codes"][0].as_py()), "<i4")
+        columns, out, i = rows.flatten(), [], 0
+        while i < len(rows):
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] + STRETCH, "right")) - 1)
+            got, stops = taken(ids, sizes, codes[ends[i] : ends[j]])
+            bounds = stops[ends[i : j + 1] - ends[i]]
+            out.append(_digested(path, got, bounds) if digest else [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(got, pa.int32()))])
+            i = j
+        names = [f.name for f in rows.type] + (["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["ids"])
+        return pa.table([*columns, *map(pa.chunked_array, zip(*out))], names=names)
+
+    return run
+
+
+def _digested(path: str, ids: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
+    """Number of ids, digest of the ids, and digest of the bytes that they decode to, between each two bounds."""
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    joined = common.texts(pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), _decimals(path).take(pa.array(ids))), ","))
+    of, data = common.buffers(_bytes_of(path).take(pa.array(ids)))
+    cut = of[bounds].tolist()
+    return [pa.array(np.diff(bounds)), pa.array(list(map(sha, joined)), pa.string()), pa.array([sha(data[i:j]) for i, j in zip(cut, cut[1:])], pa.string())]
+
+
+@cache
+def _decimals(path: str) -> pa.Array:
+    return pa.array(map(str, range(len(_bytes_of(path)))), pa.string())
+
+
+def _encoded(docs: DataFrame, path: str, digest: bool, names: str) -> DataFrame:
+    """Rows of ``docs`` (all columns but text) with their ids or their digests, as ``names`` add to the schema."""
     spark = docs.sparkSession
     common.bounded_batches(spark)
-    tables = F.struct(_rank_map(path).alias("t"), _pair_map(path).alias("p"))
-    known = spark.sparkContext.broadcast(dictionary(docs, tables, most))
     rows = docs.drop("text")
     src = docs.select(*rows.columns, F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(pattern()), F.lit(0)).alias("_pieces"))
-    kind = f"array<{rows.schema.simpleString()}>"
-    held = common.saved(src.mapInArrow(_looked_up(known, path), f"rows {kind}, ends array<bigint>, ids binary, cold array<string>"), "bpe-blocks")
-    known.destroy()
-    return held.withColumn("cold", _let(tables, lambda t: F.transform("cold", lambda p: merge(t["t"], t["p"], p))))
+    held = common.saved(src.mapInArrow(_cut(BLOCK_BYTES), BLOCK.format(rows=f"array<{rows.schema.simpleString()}>")), "bpe-blocks")
+    size = held.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES) if size > 1 << 16 else 1
+    sent = held.select("block", "pieces").mapInArrow(_sent(parts), "part int, block long, pieces binary").repartition(parts, "part")
+    found = sent.groupBy("part").applyInArrow(_distinct, "fold array<string>, long array<string>, blocks array<bigint>, sizes array<int>, codes binary, part int")
+    tables = F.struct(_rank_map(path).alias("t"), _pair_map(path).alias("p"))
+    folded = _let(tables, lambda t: F.transform("fold", lambda p: F.when(p.isNotNull(), merge(t["t"], t["p"], p))))
+    answers = found.select(folded.alias("folded"), "long", "blocks", "sizes", "codes", "part").mapInArrow(_answered(path), "block long, part int, ids binary")
+    answers = common.saved(answers, "bpe-answers")
+    whole = held.select("block", "rows", "ends", "codes").groupBy("block").cogroup(answers.groupBy("block"))
+    return whole.applyInArrow(_joined(path, digest), f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in rows.schema)}, {names}")
 
 
-def encoded(docs: DataFrame, path: str | None = None, most: int = DICTIONARY) -> DataFrame:
+def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``docs`` with ``_ids``, an array of the text's token ids."""
-    path, names = path or vocabulary_path(), docs.columns
-    packed = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), F.col("text").cast("string").alias("text"))
-    out = _blocks(packed, path, most).mapInArrow(_unpacked(path, False), packed.drop("text").schema.add("ids", ArrayType(IntegerType())))
-    return out.select("row.*", F.col("ids").alias("_ids"))
+    src = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    return _encoded(src, path or vocabulary_path(), False, "ids array<int>").select("row.*", F.col("ids").alias("_ids"))
 
 
 def decoded(ids: Column, path: str | None = None) -> Column:
@@ -366,11 +398,10 @@ def decoded(ids: Column, path: str | None = None) -> Column:
     return F.encode(F.array_join(_let(literal, lambda t: F.transform(ids, lambda i: F.element_at(t, i.cast("int") + 1))), ""), "ISO-8859-1")
 
 
-def digests(docs: DataFrame, path: str | None = None, most: int = DICTIONARY) -> DataFrame:
+def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of every row; the ids are decoded by taking their binary pieces."""
-    path = path or vocabulary_path()
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _blocks(src, path, most).mapInArrow(_unpacked(path, True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _encoded(src, path or vocabulary_path(), True, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op7_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,11 +24,12 @@ def texts():
     return out + ["".join(r.choices("abcdehtn", k=3000)), "=" * 700 + " tail", "word " * 20000]
 
 
-@pytest.mark.parametrize("most", [bpe.DICTIONARY, 0])
-def test_like_the_library(spark, encoder, most):
+@pytest.mark.parametrize("block", [bpe.BLOCK_BYTES, 500])
+def test_like_the_library(spark, encoder, block, monkeypatch):
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", block)
     rows = [(i, t, "clash") for i, t in enumerate(texts())] + [(None, "no id", "x"), (1, None, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string").repartition(2)
-    got = sorted(bpe.digests(df, most=most).collect(), key=str)
+    got = sorted(bpe.digests(df).collect(), key=str)
     want = []
     for d, t, _ in rows:
         ids = encoder.encode_ordinary(t or "")
@@ -45,7 +46,7 @@ def test_round_trip_keeps_columns(spark):
 
     rows = [(i, t, "kept", None) for i, t in enumerate(texts())]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string, _ids string").drop("_ids").withColumn("rows", F.lit(1))
-    out = bpe.encoded(df, most=100)
+    out = bpe.encoded(df)
     assert out.columns == ["doc_id", "text", "ids", "rows", "_ids"]
     got = out.select("doc_id", "text", "ids", bpe.decoded(F.col("_ids")).alias("b")).collect()
     assert len(got) == len(rows)
