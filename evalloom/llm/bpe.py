@@ -199,17 +199,17 @@ def taken(values: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.nda
     return values[np.repeat(first - ends[:-1], sizes[at]) + np.arange(ends[-1])], ends
 
 
-def packed(*arrays: np.ndarray) -> bytes:
-    """Arrays of equal type (int32) or bytes, compressed."""
+def packed(values: np.ndarray) -> bytes:
+    """Ints of 32 bits, compressed: all lowest bytes first, then the next ones, since high bytes say little."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(a.tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=1).compress(values.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
-def unpacked(data: bytes) -> bytes:
+def unpacked(data: bytes) -> np.ndarray:
     import zstandard
 
-    return zstandard.ZstdDecompressor().decompress(data)
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1).T).view("<i4").reshape(-1)
 
 
 def hashes(pieces: pa.Array) -> np.ndarray:
@@ -218,13 +218,14 @@ def hashes(pieces: pa.Array) -> np.ndarray:
     return np.fromiter((xxh64_intdigest(t, 42) for t in common.texts(pieces)), np.uint64, len(pieces))
 
 
-BLOCK = "block long, rows {rows}, ends array<bigint>, codes binary, pieces array<string>, size long"
+BLOCK = "block long, rows {rows}, ends array<bigint>, codes binary, places binary, pieces array<string>, size long"
 
 
 def _cut(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Blocks of about ``limit`` bytes of text: rows' other columns, ends of their pieces, the pieces' places among the distinct ones.
+    """Blocks of about ``limit`` bytes of text: rows' other columns, ends of their pieces, the pieces' codes among the distinct ones.
 
-    Distinct pieces are in the order of their hashes, so every range of hashes is a slice of them.
+    Distinct pieces are in the order of their hashes, so every range of hashes is a slice of them. Codes count them by
+    falling frequency, which makes most codes small; ``places`` leads from codes to the order of the hashes.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -237,15 +238,18 @@ def _cut(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
             coded = pieces.flatten().dictionary_encode()
             h = hashes(coded.dictionary)
             order = np.argsort(h)
-            place = np.empty(len(order), "<i4")
+            place, code = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
             place[order] = np.arange(len(order))
+            at = coded.indices.to_numpy()
+            often = np.argsort(-np.bincount(at, minlength=len(order)), kind="stable")
+            code[often] = np.arange(len(order))
             distinct = coded.dictionary.take(pa.array(order))
             rows = pa.concat_arrays([pa.StructArray.from_arrays(b.columns[:-1], b.schema.names[:-1]) for b in held])
             one = pa.array([0, len(rows)], pa.int32())
             total = pc.sum(pc.binary_length(distinct)).as_py() or 0
             columns = [pa.array([first + nth]), pa.ListArray.from_arrays(one, rows), pa.array([ends.tolist()], pa.list_(pa.int64()))]
-            columns += [pa.array([packed(place[coded.indices.to_numpy()])], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct), pa.array([total])]
-            return pa.RecordBatch.from_arrays(columns, ["block", "rows", "ends", "codes", "pieces", "size"])
+            columns += [pa.array([packed(code[at])], pa.binary()), pa.array([packed(place[often])], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct), pa.array([total])]
+            return pa.RecordBatch.from_arrays(columns, ["block", "rows", "ends", "codes", "places", "pieces", "size"])
 
         nth = 0
         for b in batches:
@@ -264,6 +268,9 @@ def _sent(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     """A block's distinct pieces, one row for each range of hashes that it has some in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        compress = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
             for block, pieces in zip(b.column(0).to_pylist(), b.column(1)):
                 pieces = pieces.values
@@ -273,25 +280,26 @@ def _sent(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
                 out = []
                 for i, j in zip(starts.tolist(), stops):
                     off, data = common.buffers(pieces.slice(i, j - i))
-                    out.append(packed(np.array([j - i], "<i4"), np.diff(off).astype("<i4"), data[off[0] : off[-1]]))
-                yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array([block] * len(out), pa.int64()), pa.array(out, pa.binary())], ["part", "block", "pieces"])
+                    out.append((packed(np.diff(off)), compress(data[off[0] : off[-1]].tobytes())))
+                yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array([block] * len(out), pa.int64()), *(pa.array(c, pa.binary()) for c in zip(*out))] if out else [pa.array([], t) for t in (pa.int32(), pa.int64(), pa.binary(), pa.binary())], ["part", "block", "sizes", "pieces"])
 
     return run
 
 
 def _distinct(sent: pa.Table) -> pa.Table:
     """Of one range of hashes: the distinct pieces of all blocks, and each block's places among them."""
-    every = []
-    for data in map(unpacked, sent["pieces"].to_pylist()):
-        n = int(np.frombuffer(data, "<i4", 1)[0])
-        off = np.concatenate([[0], np.cumsum(np.frombuffer(data, "<i4", n, 4))]).astype(np.int32)
-        every.append(pa.StringArray.from_buffers(n, pa.py_buffer(off), pa.py_buffer(data[4 + 4 * n :])))
+    import zstandard
+
+    expand, every = zstandard.ZstdDecompressor().decompress, []
+    for sizes, data in zip(sent["sizes"].to_pylist(), sent["pieces"].to_pylist()):
+        off = np.concatenate([[0], np.cumsum(unpacked(sizes))]).astype(np.int32)
+        every.append(pa.StringArray.from_buffers(len(off) - 1, pa.py_buffer(off), pa.py_buffer(expand(data))))
     coded = pa.concat_arrays(every).dictionary_encode()
     pieces = coded.dictionary.to_pylist()
     long = [w for w in pieces if len(w.encode()) > LONG_PIECE]
     fold = [None if len(w.encode()) > LONG_PIECE else w.encode().decode("latin-1") for w in pieces]
     columns = [pa.array([fold], pa.list_(pa.string())), pa.array([long], pa.list_(pa.string())), pa.array([sent["block"].to_pylist()], pa.list_(pa.int64()))]
-    columns += [pa.array([list(map(len, every))], pa.list_(pa.int32())), pa.array([packed(coded.indices.to_numpy().astype("<i4"))], pa.binary()), sent["part"].combine_chunks()[:1]]
+    columns += [pa.array([list(map(len, every))], pa.list_(pa.int32())), pa.array([packed(coded.indices.to_numpy())], pa.binary()), sent["part"].combine_chunks()[:1]]
     return pa.table(columns, names=["fold", "long", "blocks", "sizes", "codes", "part"])
 
 
@@ -312,12 +320,12 @@ def _answered(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                     both = np.concatenate([n, [len(m) for m in more]]).astype(np.int64)
                     ids, ends = taken(np.concatenate([ids, np.array([i for m in more for i in m], ids.dtype)]), both, at)
                     n = np.diff(ends)
-                codes, stop, out = np.frombuffer(unpacked(codes.as_py()), "<i4"), 0, []
+                codes, stop, out = unpacked(codes.as_py()), 0, []
                 for size in sizes.as_py():
                     at = codes[stop : stop + size]
                     stop += size
-                    out.append(packed(np.array([size], "<i4"), n[at].astype("<i4"), taken(ids, n, at)[0].astype("<i4")))
-                yield pa.RecordBatch.from_arrays([blocks.values, pa.array([part.as_py()] * len(out), pa.int32()), pa.array(out, pa.binary())], ["block", "part", "ids"])
+                    out.append((packed(n[at]), packed(taken(ids, n, at)[0])))
+                yield pa.RecordBatch.from_arrays([blocks.values, pa.array([part.as_py()] * len(out), pa.int32()), *(pa.array(c, pa.binary()) for c in zip(*out))], ["block", "part", "sizes", "ids"])
 
     return run
 
@@ -330,19 +338,16 @@ def _joined(path: str, digest: bool) -> Callable[[pa.Table, pa.Table], pa.Table]
     """Rows of a block: with their ids, or with the digests of their ids and of the bytes that these decode to."""
 
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        sizes, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-        for data in answers.sort_by("part")["ids"].to_pylist():
-            data = np.frombuffer(unpacked(data), "<i4")
-            sizes.append(data[1 : 1 + data[0]])
-            ids.append(data[1 + data[0] :])
-        sizes, ids = np.concatenate(sizes), np.concatenate(ids)
+        answers = answers.sort_by("part")
+        sizes = np.concatenate([np.zeros(0, np.int32), *map(unpacked, answers["sizes"].to_pylist())]).astype(np.int64)
+        ids = np.concatenate([np.zeros(0, np.int32), *map(unpacked, answers["ids"].to_pylist())])
         rows = blocks["rows"].combine_chunks().flatten()
         ends = np.concatenate([[0], blocks["ends"].combine_chunks().flatten().to_numpy()])
-        codes = np.frombuffer(unpacked(blocks["codes"][0].as_py()), "<i4")
+        codes, places = unpacked(blocks["codes"][0].as_py()), unpacked(blocks["places"][0].as_py())
         columns, out, i = rows.flatten(), [], 0
         while i < len(rows):
             j = max(i + 1, int(np.searchsorted(ends, ends[i] + STRETCH, "right")) - 1)
-            got, stops = taken(ids, sizes, codes[ends[i] : ends[j]])
+            got, stops = taken(ids, sizes, places[codes[ends[i] : ends[j]]])
             bounds = stops[ends[i : j + 1] - ends[i]]
             out.append(_digested(path, got, bounds) if digest else [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(got, pa.int32()))])
             i = j
@@ -375,13 +380,12 @@ def _encoded(docs: DataFrame, path: str, digest: bool, names: str) -> DataFrame:
     held = common.saved(src.mapInArrow(_cut(BLOCK_BYTES), BLOCK.format(rows=f"array<{rows.schema.simpleString()}>")), "bpe-blocks")
     size = held.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES) if size > 1 << 16 else 1
-    sent = held.select("block", "pieces").mapInArrow(_sent(parts), "part int, block long, pieces binary").repartition(parts, "part")
+    sent = held.select("block", "pieces").mapInArrow(_sent(parts), "part int, block long, sizes binary, pieces binary").repartition(parts, "part")
     found = sent.groupBy("part").applyInArrow(_distinct, "fold array<string>, long array<string>, blocks array<bigint>, sizes array<int>, codes binary, part int")
     tables = F.struct(_rank_map(path).alias("t"), _pair_map(path).alias("p"))
     folded = _let(tables, lambda t: F.transform("fold", lambda p: F.when(p.isNotNull(), merge(t["t"], t["p"], p))))
-    answers = found.select(folded.alias("folded"), "long", "blocks", "sizes", "codes", "part").mapInArrow(_answered(path), "block long, part int, ids binary")
-    answers = common.saved(answers, "bpe-answers")
-    whole = held.select("block", "rows", "ends", "codes").groupBy("block").cogroup(answers.groupBy("block"))
+    answers = found.select(folded.alias("folded"), "long", "blocks", "sizes", "codes", "part").mapInArrow(_answered(path), "block long, part int, sizes binary, ids binary")
+    whole = held.select("block", "rows", "ends", "codes", "places").groupBy("block").cogroup(answers.groupBy("block"))
     return whole.applyInArrow(_joined(path, digest), f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in rows.schema)}, {names}")
 
 
