@@ -5,10 +5,11 @@
   with the next one; every step joins the leftmost pair of least rank, as the rank files define it. Ranks come from
   literal maps, hashed into small buckets, since a map look-up in Spark scans its keys. Bytes travel as ISO-8859-1
   strings, one character a byte.
-* Distinct pieces: documents are cut into blocks, one row each, saved with their distinct pieces in the order of their
-  hashes. Blocks send these, by ranges of hashes, to where each distinct piece of the corpus is folded once, and get
-  the ids back the same way. Nothing passes through the driver or is broadcast, whatever the corpus holds; a frequent
-  piece comes once a block.
+* Distinct pieces: documents are cut into blocks, one row each, with their distinct pieces in the order of their hashes.
+  Blocks send these, by ranges of hashes, to where each distinct piece of the corpus is folded once, and get the ids
+  back the same way. Nothing passes through the driver or is broadcast, whatever the corpus holds; a frequent piece
+  comes once a block. Blocks are read and cut twice instead of stored; a mark of their pieces tells if both readings
+  agree, and the query fails if they don't (documents from a plan without a fixed order must be saved before).
 * A piece of more than ``LONG_PIECE`` bytes would cost the fold its square; the same merges run there on a linked list
   with a heap, in the worker.
 * Decoding takes every id's binary piece and concatenates them.
@@ -35,9 +36,9 @@ from pyspark.sql import functions as F
 from evalloom.llm import common
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-BUCKETS, PAIR_BUCKETS = 1 << 15, 1 << 16
-#: Text of a block, and distinct pieces of all blocks in a range of hashes (bytes).
-BLOCK_BYTES, PART_BYTES = 8 << 20, 4 << 20
+BUCKETS, PAIR_BUCKETS = 1 << 13, 1 << 14
+#: Text of a block, and text for each range of hashes (bytes).
+BLOCK_BYTES, PART_BYTES = 8 << 20, 16 << 20
 LONG_PIECE = 256
 #: Bits of a rank and of a place in a state; NO_RANK: two parts don't merge.
 WIDTH = 20
@@ -218,7 +219,7 @@ def hashes(pieces: pa.Array) -> np.ndarray:
     return np.fromiter((xxh64_intdigest(t, 42) for t in common.texts(pieces)), np.uint64, len(pieces))
 
 
-BLOCK = "block long, rows {rows}, ends array<bigint>, codes binary, places binary, pieces array<string>, size long"
+BLOCK = "block long, rows {rows}, ends array<bigint>, codes binary, places binary, pieces array<string>, mark long"
 
 
 def _cut(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -246,10 +247,10 @@ def _cut(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
             distinct = coded.dictionary.take(pa.array(order))
             rows = pa.concat_arrays([pa.StructArray.from_arrays(b.columns[:-1], b.schema.names[:-1]) for b in held])
             one = pa.array([0, len(rows)], pa.int32())
-            total = pc.sum(pc.binary_length(distinct)).as_py() or 0
+            mark = int(np.bitwise_xor.reduce(h[order] * np.arange(1, 2 * len(h) + 1, 2, np.uint64))) if len(h) else 0
             columns = [pa.array([first + nth]), pa.ListArray.from_arrays(one, rows), pa.array([ends.tolist()], pa.list_(pa.int64()))]
-            columns += [pa.array([packed(code[at])], pa.binary()), pa.array([packed(place[often])], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct), pa.array([total])]
-            return pa.RecordBatch.from_arrays(columns, ["block", "rows", "ends", "codes", "places", "pieces", "size"])
+            columns += [pa.array([packed(code[at])], pa.binary()), pa.array([packed(place[often])], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct), pa.array(np.array([mark], np.uint64).view(np.int64))]
+            return pa.RecordBatch.from_arrays(columns, ["block", "rows", "ends", "codes", "places", "pieces", "mark"])
 
         nth = 0
         for b in batches:
@@ -272,7 +273,7 @@ def _sent(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
 
         compress = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
-            for block, pieces in zip(b.column(0).to_pylist(), b.column(1)):
+            for block, mark, pieces in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 pieces = pieces.values
                 part = (hashes(pieces) >> np.uint64(32)).astype(np.int64) * parts >> 32
                 there, starts = np.unique(part, return_index=True)
@@ -281,51 +282,36 @@ def _sent(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
                 for i, j in zip(starts.tolist(), stops):
                     off, data = common.buffers(pieces.slice(i, j - i))
                     out.append((packed(np.diff(off)), compress(data[off[0] : off[-1]].tobytes())))
-                yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array([block] * len(out), pa.int64()), *(pa.array(c, pa.binary()) for c in zip(*out))] if out else [pa.array([], t) for t in (pa.int32(), pa.int64(), pa.binary(), pa.binary())], ["part", "block", "sizes", "pieces"])
+                yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array([block] * len(out), pa.int64()), pa.array([mark] * len(out), pa.int64()), *(pa.array(c, pa.binary()) for c in zip(*out))] if out else [pa.array([], t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())], ["part", "block", "mark", "sizes", "pieces"])
 
     return run
 
 
-def _distinct(sent: pa.Table) -> pa.Table:
-    """Of one range of hashes: the distinct pieces of all blocks, and each block's places among them."""
-    import zstandard
+DISTINCT = "part int, pieces array<struct<piece:string,ids:array<int>>>, blocks array<struct<block:bigint,mark:bigint,codes:array<int>>>"
 
-    expand, every = zstandard.ZstdDecompressor().decompress, []
-    for sizes, data in zip(sent["sizes"].to_pylist(), sent["pieces"].to_pylist()):
-        off = np.concatenate([[0], np.cumsum(unpacked(sizes))]).astype(np.int32)
-        every.append(pa.StringArray.from_buffers(len(off) - 1, pa.py_buffer(off), pa.py_buffer(expand(data))))
-    coded = pa.concat_arrays(every).dictionary_encode()
-    pieces = coded.dictionary.to_pylist()
-    long = [w for w in pieces if len(w.encode()) > LONG_PIECE]
-    fold = [None if len(w.encode()) > LONG_PIECE else w.encode().decode("latin-1") for w in pieces]
-    columns = [pa.array([fold], pa.list_(pa.string())), pa.array([long], pa.list_(pa.string())), pa.array([sent["block"].to_pylist()], pa.list_(pa.int64()))]
-    columns += [pa.array([list(map(len, every))], pa.list_(pa.int32())), pa.array([packed(coded.indices.to_numpy())], pa.binary()), sent["part"].combine_chunks()[:1]]
-    return pa.table(columns, names=["fold", "long", "blocks", "sizes", "codes", "part"])
 
+def _distinct(path: str) -> Callable[[pa.Table], pa.Table]:
+    """Of one range of hashes: the distinct pieces of all blocks, and each block's places (from 1) among them.
 
-def _answered(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The ids of each block's pieces in one range of hashes."""
+    Pieces to fold are ISO-8859-1 strings; long ones come with their ids.
+    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(len(b)):
-                folded, long, blocks, sizes, codes, part = (b.column(c)[k] for c in range(6))
-                folded = folded.values
-                n, ids = pc.fill_null(pc.list_value_length(folded), 0).to_numpy(zero_copy_only=False).astype(np.int64), folded.flatten().to_numpy(zero_copy_only=False)
-                gaps = np.flatnonzero(n == 0)
-                if len(gaps):  # the long pieces, in their order
-                    more = [encode_long(w.encode(), ranks(path)) for w in long.as_py()]
-                    at = np.arange(len(n))
-                    at[gaps] = len(n) + np.arange(len(gaps))
-                    both = np.concatenate([n, [len(m) for m in more]]).astype(np.int64)
-                    ids, ends = taken(np.concatenate([ids, np.array([i for m in more for i in m], ids.dtype)]), both, at)
-                    n = np.diff(ends)
-                codes, stop, out = unpacked(codes.as_py()), 0, []
-                for size in sizes.as_py():
-                    at = codes[stop : stop + size]
-                    stop += size
-                    out.append((packed(n[at]), packed(taken(ids, n, at)[0])))
-                yield pa.RecordBatch.from_arrays([blocks.values, pa.array([part.as_py()] * len(out), pa.int32()), *(pa.array(c, pa.binary()) for c in zip(*out))], ["block", "part", "sizes", "ids"])
+    def run(sent: pa.Table) -> pa.Table:
+        import zstandard
+
+        expand, every = zstandard.ZstdDecompressor().decompress, []
+        for sizes, data in zip(sent["sizes"].to_pylist(), sent["pieces"].to_pylist()):
+            off = np.concatenate([[0], np.cumsum(unpacked(sizes))]).astype(np.int32)
+            every.append(pa.StringArray.from_buffers(len(off) - 1, pa.py_buffer(off), pa.py_buffer(expand(data))))
+        coded = pa.concat_arrays(every).dictionary_encode()
+        bytes_ = common.texts(coded.dictionary)
+        ids = pa.array([encode_long(w, ranks(path)) if len(w) > LONG_PIECE else None for w in bytes_], pa.list_(pa.int32()))
+        pieces = pa.StructArray.from_arrays([pa.array([w.decode("latin-1") if len(w) <= LONG_PIECE else None for w in bytes_], pa.string()), ids], ["piece", "ids"])
+        off = np.concatenate([[0], np.cumsum(list(map(len, every)))])
+        codes = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(coded.indices.to_numpy() + 1, pa.int32()))
+        blocks = pa.StructArray.from_arrays([sent["block"].combine_chunks(), sent["mark"].combine_chunks(), codes], ["block", "mark", "codes"])
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        return pa.table([sent["part"].combine_chunks()[:1], one(pieces), one(blocks)], names=["part", "pieces", "blocks"])
 
     return run
 
@@ -339,8 +325,10 @@ def _joined(path: str, digest: bool) -> Callable[[pa.Table, pa.Table], pa.Table]
 
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         answers = answers.sort_by("part")
-        sizes = np.concatenate([np.zeros(0, np.int32), *map(unpacked, answers["sizes"].to_pylist())]).astype(np.int64)
-        ids = np.concatenate([np.zeros(0, np.int32), *map(unpacked, answers["ids"].to_pylist())])
+        if answers.num_rows and pc.any(pc.not_equal(answers["mark"], blocks["mark"][0])).as_py():
+            raise RuntimeError("the documents changed between two readings")
+        flat = lambda c: answers[c].combine_chunks().flatten().to_numpy()
+        sizes, ids = flat("sizes").astype(np.int64), flat("ids")
         rows = blocks["rows"].combine_chunks().flatten()
         ends = np.concatenate([[0], blocks["ends"].combine_chunks().flatten().to_numpy()])
         codes, places = unpacked(blocks["codes"][0].as_py()), unpacked(blocks["places"][0].as_py())
@@ -376,16 +364,25 @@ def _encoded(docs: DataFrame, path: str, digest: bool, names: str) -> DataFrame:
     spark = docs.sparkSession
     common.bounded_batches(spark)
     rows = docs.drop("text")
-    src = docs.select(*rows.columns, F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(pattern()), F.lit(0)).alias("_pieces"))
-    held = common.saved(src.mapInArrow(_cut(BLOCK_BYTES), BLOCK.format(rows=f"array<{rows.schema.simpleString()}>")), "bpe-blocks")
-    size = held.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    src = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    cut = src.select(*rows.columns, F.regexp_extract_all("text", F.lit(pattern()), F.lit(0)).alias("_pieces"))
+    size = common.total_bytes(src.select("text"), "text")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES) if size > 1 << 16 else 1
-    sent = held.select("block", "pieces").mapInArrow(_sent(parts), "part int, block long, sizes binary, pieces binary").repartition(parts, "part")
-    found = sent.groupBy("part").applyInArrow(_distinct, "fold array<string>, long array<string>, blocks array<bigint>, sizes array<int>, codes binary, part int")
+    held = cut.mapInArrow(_cut(BLOCK_BYTES), BLOCK.format(rows=f"array<{rows.schema.simpleString()}>"))
+    sent = held.select("block", "mark", "pieces").mapInArrow(_sent(parts), "part int, block long, mark long, sizes binary, pieces binary").repartition(parts, "part")
+    found = sent.groupBy("part").applyInArrow(_distinct(path), DISTINCT)
     tables = F.struct(_rank_map(path).alias("t"), _pair_map(path).alias("p"))
-    folded = _let(tables, lambda t: F.transform("fold", lambda p: F.when(p.isNotNull(), merge(t["t"], t["p"], p))))
-    answers = found.select(folded.alias("folded"), "long", "blocks", "sizes", "codes", "part").mapInArrow(_answered(path), "block long, part int, sizes binary, ids binary")
-    whole = held.select("block", "rows", "ends", "codes", "places").groupBy("block").cogroup(answers.groupBy("block"))
+    folded = _let(tables, lambda t: F.transform("pieces", lambda p: F.when(p["ids"].isNotNull(), p["ids"]).otherwise(merge(t["t"], t["p"], p["piece"]))))
+
+    def answer(ids: Column) -> Column:
+        def each(b: Column) -> Column:
+            mine = F.transform(b["codes"], lambda c: F.element_at(ids, c))
+            return _let(mine, lambda m: F.struct(b["block"].alias("block"), b["mark"].alias("mark"), F.transform(m, F.size).alias("sizes"), F.flatten(m).alias("ids")))
+
+        return F.transform("blocks", each)
+
+    answers = found.select("part", F.explode(_let(folded, answer)).alias("a")).select("part", "a.*")
+    whole = held.select("block", "mark", "rows", "ends", "codes", "places").groupBy("block").cogroup(answers.groupBy("block"))
     return whole.applyInArrow(_joined(path, digest), f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in rows.schema)}, {names}")
 
 
