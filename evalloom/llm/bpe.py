@@ -200,19 +200,6 @@ def taken(values: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.nda
     return values[np.repeat(first - ends[:-1], sizes[at]) + np.arange(ends[-1])], ends
 
 
-def packed(values: np.ndarray) -> bytes:
-    """Ints of 32 bits, compressed: all lowest bytes first, then the next ones, since high bytes say little."""
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=1).compress(values.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes())
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    import zstandard
-
-    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1).T).view("<i4").reshape(-1)
-
-
 def hashes(pieces: pa.Array) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
@@ -249,7 +236,7 @@ def _cut(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
             one = pa.array([0, len(rows)], pa.int32())
             mark = int(np.bitwise_xor.reduce(h[order] * np.arange(1, 2 * len(h) + 1, 2, np.uint64))) if len(h) else 0
             columns = [pa.array([first + nth]), pa.ListArray.from_arrays(one, rows), pa.array([ends.tolist()], pa.list_(pa.int64()))]
-            columns += [pa.array([packed(code[at])], pa.binary()), pa.array([packed(place[often])], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct), pa.array(np.array([mark], np.uint64).view(np.int64))]
+            columns += [pa.array([common.packed(code[at])], pa.binary()), pa.array([common.packed(place[often])], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct), pa.array(np.array([mark], np.uint64).view(np.int64))]
             return pa.RecordBatch.from_arrays(columns, ["block", "rows", "ends", "codes", "places", "pieces", "mark"])
 
         nth = 0
@@ -281,7 +268,7 @@ def _sent(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
                 out = []
                 for i, j in zip(starts.tolist(), stops):
                     off, data = common.buffers(pieces.slice(i, j - i))
-                    out.append((packed(np.diff(off)), compress(data[off[0] : off[-1]].tobytes())))
+                    out.append((common.packed(np.diff(off)), compress(data[off[0] : off[-1]].tobytes())))
                 yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array([block] * len(out), pa.int64()), pa.array([mark] * len(out), pa.int64()), *(pa.array(c, pa.binary()) for c in zip(*out))] if out else [pa.array([], t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())], ["part", "block", "mark", "sizes", "pieces"])
 
     return run
@@ -301,7 +288,7 @@ def _distinct(path: str) -> Callable[[pa.Table], pa.Table]:
 
         expand, every = zstandard.ZstdDecompressor().decompress, []
         for sizes, data in zip(sent["sizes"].to_pylist(), sent["pieces"].to_pylist()):
-            off = np.concatenate([[0], np.cumsum(unpacked(sizes))]).astype(np.int32)
+            off = np.concatenate([[0], np.cumsum(common.unpacked(sizes))]).astype(np.int32)
             every.append(pa.StringArray.from_buffers(len(off) - 1, pa.py_buffer(off), pa.py_buffer(expand(data))))
         coded = pa.concat_arrays(every).dictionary_encode()
         bytes_ = common.texts(coded.dictionary)
@@ -331,7 +318,7 @@ def _joined(path: str, digest: bool) -> Callable[[pa.Table, pa.Table], pa.Table]
         sizes, ids = flat("sizes").astype(np.int64), flat("ids")
         rows = blocks["rows"].combine_chunks().flatten()
         ends = np.concatenate([[0], blocks["ends"].combine_chunks().flatten().to_numpy()])
-        codes, places = unpacked(blocks["codes"][0].as_py()), unpacked(blocks["places"][0].as_py())
+        codes, places = common.unpacked(blocks["codes"][0].as_py()), common.unpacked(blocks["places"][0].as_py())
         columns, out, i = rows.flatten(), [], 0
         while i < len(rows):
             j = max(i + 1, int(np.searchsorted(ends, ends[i] + STRETCH, "right")) - 1)

@@ -78,6 +78,37 @@ def texts(column: pa.Array) -> list[bytes]:
     return [whole[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
 
 
+def packed(values: np.ndarray, width: int = 4) -> bytes:
+    """Ints of ``width`` bytes, compressed: all lowest bytes first, then the next ones, since high bytes say little."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(values.astype(f"<i{width}").view(np.uint8).reshape(-1, width).T.tobytes())
+
+
+def unpacked(data: bytes, width: int = 4) -> np.ndarray:
+    import zstandard
+
+    lanes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(lanes.T).view(f"<i{width}").reshape(-1)
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Increasing unsigned ints of 64 bits, compressed."""
+    return packed(np.diff(keys, prepend=np.uint64(0)).view(np.int64), 8)
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data, 8).view(np.uint64), dtype=np.uint64)
+
+
+def bucketed(df: DataFrame, key: str, buckets: int, tag: str) -> DataFrame:
+    """A table saved in the shared folder in buckets of ``key``: later groupings by it don't move its rows."""
+    spark, name = df.sparkSession, f"evalloom_{tag}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/evalloom/{name}"
+    df.write.bucketBy(buckets, key).option("compression", "zstd").option("path", path).saveAsTable(name, format="parquet")
+    return spark.table(name)
+
+
 def total_bytes(df: DataFrame, text: str) -> int:
     return df.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0
 

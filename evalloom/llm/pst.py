@@ -1,21 +1,25 @@
-"""Language-model scoring with a probabilistic suffix tree over the bytes of words.
-
-A text is a sequence of tokens: its words (A-Z lower-cased) and one end, the empty word. A word is spelled byte by byte
-between two spaces, and the tree predicts each byte, the closing space included, from the bytes before it back to the
-opening space. ``score`` is a log10 probability of the same token sequence that the unigram ``base_score`` rates.
-
-* Corpus counts: documents are dealt into blocks by hashed id; each block yields its distinct words with their training
-  counts, and their sum over blocks is the vocabulary, which grows with the corpus and is never collected.
-* Tree: level by level, contexts of up to ``DEPTH`` bytes that make up at least ``LEAST`` of all predicted bytes are
-  counted over the whole vocabulary (at most 1 / ``LEAST`` contexts a level: a bound at any corpus size). A context is
-  retained if its next-byte distribution diverges from that of its longest retained suffix by ``NATS`` in all and
-  ``NATS_EACH`` a visit. Distributions are smoothed towards the suffix's by Witten-Bell weights.
-* Words: like the base, the model rates one of V known words or one unknown symbol at each token. The unknown symbol
-  gets the Good-Turing mass (words seen once over N). A known word of count c, the tree's deepest context, gets
-  (c + K * P_tree) / (N + K) of the rest, P_tree scaled to sum to 1 over known words, as suffixes smooth contexts; K
-  maximises the leave-one-out likelihood of the counts.
-* Scoring: each distinct word is scored once, in numpy, from the longest retained suffix at each byte. Words with their
-  scores join back to the blocks that hold them, and blocks meet their documents for the sums.
+"""Language-model scoring with a probabilistic suffix tree over tokens.
+
+A text is a sequence of tokens: its words (A-Z lower-cased) and one end. The tree predicts each token from the tokens
+before it in the document, behind one start. ``score`` is a log10 probability of the same token sequence that the unigram
+``base_score`` rates: of V known words and one unknown symbol.
+
+* Root: training counts of the tokens; the unknown symbol gets the Good-Turing mass (tokens seen once over all).
+* Contexts of 1 to ``DEPTH`` tokens, counted level by level over all training rows. The number of contexts grows with the
+  corpus: a context needs two visits, a next token two occurrences in all, and each shorter part of a pair two as well.
+* Divergence test: a context of v visits is retained if its predictions gain at least ``NATS`` over its suffix's on the
+  training data, each occurrence of a next token x predicted without itself: the sum of n log(P(x | c) / P(x | suffix)).
+* Smoothing: P(x | c) = (n - ``DISCOUNT`` + (v - M) P(x | suffix of c)) / v for the n times that x followed c (a token not
+  seen there has 0 for n - ``DISCOUNT``), M being the sum of all n - ``DISCOUNT`` of the context. Each token is scored
+  from its longest retained suffix.
+
+Plan: documents are cut into blocks, one row each, saved in buckets by block, so that they never move again. Level by
+level, blocks send their distinct (context, next token) pairs, by ranges of hashes, to where these are counted and
+tested, and get the answers back the same way; a frequent pair comes once a block. A context with more than 1 / ``HOT`` of all tokens is counted
+in parts; their sums, at most ``HOT`` rows a level, are the only thing that passes through the driver.
+
+Tokens and pairs are told apart by 64-bit hashes (a pair within its context by 32 more bits): among 10**8 distinct
+words a clash is expected with odds of 1 to 3,000, and it would add the two counts.
 
 Defined cases: null and empty texts consist of the end alone; a null id counts as remainder 0 (held out); without
 training rows N and V are 0 and both scores are 0; repeated rows get equal rows; an empty table gives
@@ -24,8 +28,9 @@ an empty result. Only doc_id and text are read.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -34,200 +39,317 @@ from pyspark.sql import functions as F
 
 from evalloom.llm import common
 
-DEPTH, LEAST = 10, 5e-6
-NATS, NATS_EACH = 20.0, 0.005
-#: Text bytes of a block.
-BLOCK_BYTES = 16 << 20
-SPACE = 32
-
-
-def spelled(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All words between spaces in one buffer; of each predicted byte its place, the bytes before it, and its word."""
-    off, data = common.buffers(words)
-    data = data[off[0] : off[-1]]
-    n, lens = len(words), np.diff(off)
-    buf = np.full(len(data) + 2 * n, SPACE, np.uint8)
-    owner = np.repeat(np.arange(n), lens)
-    buf[np.arange(len(data)) + 1 + 2 * owner] = data
-    start = off[:-1] - off[0] + 2 * np.arange(n)
-    word = np.repeat(np.arange(n), lens + 1)
-    first = np.cumsum(lens + 1) - (lens + 1)
-    age = np.arange(len(word)) - first[word] + 1
-    return buf, start[word] + age, age, word
-
-
-#: Multiplier of the keys: key(s + x) = key(s) * SPREAD + x + 1 modulo 2**64, so a pair's key is the longer context's.
-SPREAD = np.uint64(0x9E3779B97F4A7C15)
-
-
-def deeper(key: np.ndarray, buf: np.ndarray, place: np.ndarray, d: int) -> np.ndarray:
-    """Keys of contexts of d bytes from those of d - 1: the farther byte counts with a higher power."""
-    return key + (buf[place - d].astype(np.uint64) + np.uint64(1)) * SPREAD ** np.uint64(d - 1)
-
-
-class SuffixTree:
-    """Retained contexts by depth: sorted keys, visits, distinct next bytes, and the counts of sorted pair keys."""
-
-    def __init__(self):
-        self.root = np.full(256, 1 / 256)
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def step(self, p: np.ndarray, d: int, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """Moves probabilities from suffixes of d - 1 bytes to retained contexts of d bytes."""
-        keys, visits, kinds, pairs, counts = self.levels[d - 1]
-        if not len(keys):
-            return p
-        i = np.minimum(np.searchsorted(keys, context), len(keys) - 1)
-        hit = np.flatnonzero(keys[i] == context)
-        i = i[hit]
-        want = context[hit] * SPREAD + symbol[hit] + np.uint64(1)
-        j = np.minimum(np.searchsorted(pairs, want), len(pairs) - 1)
-        n = np.where(pairs[j] == want, counts[j], 0)
-        p[hit] = (n + kinds[i] * p[hit]) / (visits[i] + kinds[i])
-        return p
-
-    def probability(self, buf: np.ndarray, place: np.ndarray, age: np.ndarray) -> np.ndarray:
-        """Of the bytes at ``place``, from the longest retained suffix of the ``age`` bytes before each."""
-        symbol = buf[place].astype(np.uint64)
-        p, context = self.root[buf[place]], np.zeros(len(place), np.uint64)
-        at = np.arange(len(place))
-        for d in range(1, len(self.levels) + 1):
-            at = at[age[at] >= d]
-            context[at] = deeper(context[at], buf, place[at], d)
-            p[at] = self.step(p[at], d, context[at], symbol[at])
-        return p
-
-    def add_level(self, context: np.ndarray, pairs: np.ndarray, counts: np.ndarray, shorter: np.ndarray) -> None:
-        """Takes (context key, pair key, count, probability from the suffix) of the next depth; retains what diverges."""
-        keys, at = np.unique(context, return_inverse=True)
-        counts = counts.astype(float)
-        visits, kinds = np.bincount(at, counts, len(keys)), np.bincount(at, minlength=len(keys))
-        gain = np.bincount(at, counts * np.log(counts / visits[at] / shorter), len(keys))
-        kept = (gain >= NATS) & (gain >= NATS_EACH * visits)
-        mine = np.flatnonzero(kept[at])
-        mine = mine[np.argsort(pairs[mine])]
-        self.levels.append((keys[kept], visits[kept], kinds[kept].astype(float), pairs[mine], counts[mine]))
-
-    def score(self, words: pa.Array) -> np.ndarray:
-        """log10 probability of each word."""
-        buf, place, age, word = spelled(words)
-        return np.bincount(word, np.log10(self.probability(buf, place, age)), len(words))
-
-
-def fit(vocabulary: DataFrame, depth: int = DEPTH, least: float = LEAST) -> SuffixTree:
-    """The tree of ``vocabulary(word binary, c long)``."""
-    tree = SuffixTree()
-    seen = vocabulary.where("c > 0").select("word", "c")
-
-    def counted(d: int, wanted: np.ndarray | None) -> pa.Table:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                buf, place, age, word = spelled(b.column(0))
-                at = np.flatnonzero(age >= d)
-                context = np.zeros(len(at), np.uint64)
-                for k in range(1, d + 1):
-                    context = deeper(context, buf, place[at], k)
-                if wanted is not None:
-                    i = np.minimum(np.searchsorted(wanted, context), len(wanted) - 1)
-                    hit = wanted[i] == context
-                    at, context = at[hit], context[hit]
-                pair, first, where = np.unique(context * SPREAD + buf[place[at]] + np.uint64(1), return_index=True, return_inverse=True)
-                n = np.bincount(where, b.column(1).to_numpy()[word[at]], len(pair)).astype(np.int64)
-                at, context = at[first], context[first]
-                p = tree.probability(buf, place[at], age[at])
-                yield pa.RecordBatch.from_arrays([pa.array(context.view(np.int64)), pa.array(pair.view(np.int64)), pa.array(buf[place[at]].astype(np.int32)), pa.array(n), pa.array(p)], ["context", "pair", "symbol", "n", "p"])
-
-        got = seen.mapInArrow(run, "context long, pair long, symbol int, n long, p double")
-        return got.groupBy("context", "pair", "symbol").agg(F.sum("n").alias("n"), F.max("p").alias("p")).toArrow()
-
-    key = lambda t, c: t[c].to_numpy().view(np.uint64)
-    got = counted(0, None)
-    total = got["n"].to_numpy().sum()
-    if not total:
-        return tree
-    root = np.full(256, 0.5)
-    root[got["symbol"].to_numpy()] += got["n"].to_numpy()
-    tree.root = root / root.sum()
-    for d in range(1, depth + 1):
-        # a context's visits are the count of its bytes as a pair one level up; none goes on behind a closing space
-        wanted = np.sort(key(got, "pair")[(got["n"].to_numpy() >= least * total) & ((got["symbol"].to_numpy() != SPACE) | (d == 1))])
-        if not len(wanted):
-            break
-        got = counted(d, wanted)
-        tree.add_level(key(got, "context"), key(got, "pair"), got["n"].to_numpy(), got["p"].to_numpy())
-    return tree
-
-
-def smoothed(rated: DataFrame, n: int, v: int) -> DataFrame:
-    """Replaces the tree's ``logp`` of each word by the model's (see the module)."""
-    if not n:
-        return rated.withColumn("logp", F.lit(0.0))
-    c, q = F.col("c"), F.pow(F.lit(10.0), F.col("logp"))
-    all_ = rated.where("c > 0").agg(F.sum(q).alias("s"), F.count_if(c == 1).alias("once")).first()
-    unknown = (all_["once"] + 0.5) / (n + 1.0)
-    q = q / F.lit(all_["s"])
-    grid = [v * 2.0**i for i in range(-12, 5)]
-    left_out = rated.where("c > 1").agg(*[F.sum(c * F.log((c - 1 + F.lit(k) * q) / F.lit(n - 1 + k))).alias(f"k{i}") for i, k in enumerate(grid)]).first()
-    k = grid[max(range(len(grid)), key=lambda i: left_out[i])] if left_out[0] is not None else float(v)
-    word = F.log10(F.lit(1 - unknown) * (c + F.lit(k) * q) / F.lit(n + k))
-    return rated.withColumn("logp", F.when(c > 0, word).otherwise(F.lit(float(np.log10(unknown)))))
-
-
-def _blocks(table: pa.Table) -> pa.Table:
-    """Distinct words of a block with their training counts."""
-    counts: Counter = Counter()
-    block = table["block"][0].as_py()
-    for text, train in zip((t for c in table["text"].chunks for t in common.texts(c)), table["train"].to_pylist()):
-        ws = common.words(text)
-        ws.append(b"")
-        if train:
-            counts.update(ws)
-        else:
-            counts.update(dict.fromkeys(ws, 0))
-    return pa.table({"block": pa.array([block] * len(counts), pa.int32()), "word": pa.array(list(counts), pa.binary()), "c": pa.array(list(counts.values()), pa.int64())})
+DEPTH, NATS, DISCOUNT = 3, 2.0, 0.6
+#: Text of a block, and text for each range of hashes (bytes).
+BLOCK_BYTES, PART_BYTES = 16 << 20, 16 << 20
+HOT, HOT_LEAST = 100_000, 10_000
+#: Log probabilities travel in steps of this many nats.
+STEP = 0.1
+
+_START = np.uint64(0x51A7)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def longer(context: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Hash of a context with one more token."""
+    return (context ^ (context >> np.uint64(31))) * _MIX + token
+
+
+BLOCK = "block long, ids array<bigint>, train array<boolean>, sizes array<int>, codes binary, places binary, hashes binary, counts binary"
+
+
+def _cut(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks of about ``limit`` bytes: token codes by falling frequency, and the distinct tokens' hashes in order with training counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+        from xxhash import xxh64_intdigest
+
+        first, nth = TaskContext.get().partitionId() << 32, 0
+        ids, train, parts, size, known = [], [], [], 0, defaultdict(count().__next__)
+
+        def block() -> pa.RecordBatch:
+            at = np.concatenate(parts)
+            seen = np.repeat(np.array(train, bool), [len(p) for p in parts])
+            h = np.fromiter((xxh64_intdigest(w, 7) for w in known), np.uint64, len(known))
+            order = np.argsort(h)
+            often = np.argsort(-np.bincount(at, minlength=len(h)), kind="stable")
+            place, code = np.empty(len(h), np.int64), np.empty(len(h), np.int64)
+            place[order], code[often] = np.arange(len(h)), np.arange(len(h))
+            n = np.bincount(at[seen], minlength=len(h))[order]
+            blobs = [common.packed(code[at]), common.packed(place[often]), common.packed_keys(h[order]), common.packed(n)]
+            lists = [pa.array([ids], pa.list_(pa.int64())), pa.array([train], pa.list_(pa.bool_())), pa.array([[len(p) for p in parts]], pa.list_(pa.int32()))]
+            return pa.RecordBatch.from_arrays([pa.array([first + nth]), *lists, *(pa.array([x], pa.binary()) for x in blobs)], [c.split()[0] for c in BLOCK.split(", ")])
+
+        for b in batches:
+            for doc_id, text, t in zip(b.column(0).to_pylist(), common.texts(b.column(1)), b.column(2).to_pylist()):
+                ws = common.words(text)
+                ws.append(b"")
+                parts.append(np.fromiter(map(known.__getitem__, ws), np.int32, len(ws)))
+                ids.append(doc_id)
+                train.append(bool(t))
+                size += len(text)
+                if size >= limit:
+                    yield block()
+                    nth += 1
+                    ids, train, parts, size, known = [], [], [], 0, defaultdict(count().__next__)
+        if ids:
+            yield block()
+
+    return run
+
+
+def _slices(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges that increasing hashes fall in, and where each begins (with the end)."""
+    there, starts = np.unique((keys >> np.uint64(32)).astype(np.int64) * parts >> 32, return_index=True)
+    return there, np.append(starts, len(keys))
+
+
+def _sent_tokens(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, keys, n in zip(*(c.to_pylist() for c in b.columns)):
+                keys, n = common.unpacked_keys(keys), common.unpacked(n)
+                there, at = _slices(keys, parts)
+                blobs = [(common.packed_keys(keys[i:j]), common.packed(n[i:j])) for i, j in zip(at, at[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array([block] * len(there), pa.int64()), *(pa.array([x[k] for x in blobs], pa.binary()) for k in (0, 1))], ["part", "block", "keys", "n"])
+
+    return run
+
+
+ANSWER = "block long, part int, level int, m binary, n binary, key long, sum_m double, sum_g double, tokens long, kinds long, once long"
+
+
+def _answer(rows: list[tuple]) -> pa.Table:
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+    return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[c.split()[0] for c in ANSWER.split(", ")])
+
+
+def _count_tokens(sent: pa.Table) -> pa.Table:
+    """Training counts of the tokens of a range, for each block; and the range's totals."""
+    keys, n = [common.unpacked_keys(x) for x in sent["keys"].to_pylist()], [common.unpacked(x) for x in sent["n"].to_pylist()]
+    _, at = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(at, np.concatenate(n)).astype(np.int64)
+    part, rows, i = sent["part"][0].as_py(), [], 0
+    for block, k in zip(sent["block"].to_pylist(), keys):
+        rows.append((block, part, 0, None, common.packed(total[at[i : i + len(k)]], 8), None, None, None, None, None, None))
+        i += len(k)
+    rows.append((None, part, 0, None, None, None, None, None, int(total.sum()), int((total > 0).sum()), int((total == 1).sum())))
+    return _answer(rows)
+
+
+class Model:
+    """What all blocks know: token totals, and the sums of hot contexts by level (keys in order, M, G)."""
+
+    def __init__(self, tokens: int, kinds: int, once: int):
+        self.tokens, self.kinds = tokens, kinds
+        self.unknown = (once + 0.5) / (tokens + 1.0)
+        self.hot_visits = max(HOT_LEAST, tokens // HOT)
+        self.hot: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def base(self, c: np.ndarray) -> np.ndarray:
+        return np.log10((c + 0.1) / (self.tokens + 0.1 * (self.kinds + 1))) if self.tokens else np.zeros(len(c))
+
+    def root(self, c: np.ndarray) -> np.ndarray:
+        return np.where(c > 0, (1 - self.unknown) * c / max(1, self.tokens), self.unknown) if self.tokens else np.ones(len(c))
+
+
+class Pairs:
+    """Distinct (context, next token) pairs of a level in a block, in the order in which they are sent."""
+
+    def __init__(self, context: np.ndarray, key: np.ndarray, visits: np.ndarray, logp: np.ndarray, train: np.ndarray, model: Model):
+        self.keys, first, self.at = np.unique(key, return_index=True, return_inverse=True)
+        self.n = np.bincount(self.at, train, len(self.keys)).astype(np.int64)
+        # a hot context is counted in parts
+        parts = np.maximum(1, -(-visits[first].astype(np.int64) // model.hot_visits))
+        self.context, self.visits, self.logp, self.hot = context[first], visits[first], logp[first], parts > 1
+        route = self.context + (self.keys % parts.astype(np.uint64)) * _MIX
+        self.order = np.argsort(route, kind="stable")
+        self.route, self.starts, self.sizes = np.unique(route[self.order], return_index=True, return_counts=True)
+
+    def sent(self, parts: int) -> tuple[np.ndarray, list[tuple]]:
+        """Ranges, and for each one: routes, hot contexts' keys, pairs of each route, visits, pairs, counts, log probabilities."""
+        there, at = _slices(self.route, parts)
+        o, blobs = self.order, []
+        ends = np.append(self.starts, len(o))
+        for i, j in zip(at, at[1:]):
+            a, b = ends[i], ends[j]
+            first = o[self.starts[i:j]]
+            pairs = (self.keys[o[a:b]] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            logp = np.clip(np.round(-self.logp[o[a:b]] / STEP), 0, 255).astype(np.uint8)
+            hot = np.where(self.hot[first], self.context[first], np.uint64(0)).view(np.int64)
+            blobs.append((common.packed_keys(self.route[i:j]), common.packed(hot, 8), common.packed(self.sizes[i:j]), common.packed(self.visits[first]), common.packed(pairs), common.packed(self.n[o[a:b]]), common.packed(logp.view(np.int8), 1)))
+        return there, blobs
+
+    def received(self, m: list[np.ndarray], n: list[np.ndarray], hot: tuple | None) -> tuple[np.ndarray, np.ndarray]:
+        """M (0: the context isn't retained) and n of each position's pair."""
+        total, sums = np.zeros(len(self.keys)), np.zeros(len(self.keys))
+        if len(self.keys):
+            total[self.order] = np.concatenate(n)
+            sums[self.order] = np.repeat(np.concatenate(m), self.sizes)
+        if hot is not None and len(hot[0]) and self.hot.any():
+            mine = np.flatnonzero(self.hot)
+            i = np.minimum(np.searchsorted(hot[0], self.context[mine]), len(hot[0]) - 1)
+            sums[mine] = np.where((hot[0][i] == self.context[mine]) & (hot[2][i] >= NATS), hot[1][i], 0.0)
+        return sums[self.at], total[self.at]
+
+
+PAIRS = ["routes", "hot", "sizes", "visits", "pairs", "n", "logp"]
+
+
+def _count_pairs(level: int) -> Callable[[pa.Table], pa.Table]:
+    """Counts of the pairs of a range, and M of its contexts where they pass the divergence test."""
+
+    def run(sent: pa.Table) -> pa.Table:
+        blobs = {c: sent[c].to_pylist() for c in PAIRS}
+        routes, sizes = [common.unpacked_keys(x) for x in blobs["routes"]], [common.unpacked(x) for x in blobs["sizes"]]
+        every = lambda c, width=4: np.concatenate([common.unpacked(x, width) for x in blobs[c]])
+        route, first, of = np.unique(np.concatenate(routes), return_index=True, return_inverse=True)
+        visits, hot = every("visits")[first].astype(float), every("hot", 8)[first].view(np.uint64)
+        owner = np.repeat(of, np.concatenate(sizes))
+        # one number for a pair within this range: its context's place, and the pair's 32 bits
+        pair, at0, at = np.unique(owner.astype(np.uint64) << np.uint64(32) | every("pairs").view(np.uint32).astype(np.uint64), return_index=True, return_inverse=True)
+        n = np.bincount(at, every("n")).astype(np.int64)
+        logp = -STEP * every("logp", 1).view(np.uint8)[at0].astype(float)
+        mine, seen = owner[at0], n > 0
+        weight = np.bincount(mine, np.where(seen, n - DISCOUNT, 0), len(route))
+        # a part of a hot context judges by its own share
+        own = np.where(hot > 0, np.maximum(1, np.bincount(mine, n, len(route))), visits)
+        left = ((own - weight) / own)[mine]
+        without = np.maximum(n - 1 - DISCOUNT, 0) / own[mine] + left * np.exp(logp)
+        gain = np.bincount(mine, n * (np.log(without) - logp), len(route))
+        kept = np.where((gain >= NATS) & (hot == 0), weight, 0.0).astype("<f4")
+        part, rows, i, j = sent["part"][0].as_py(), [], 0, 0
+        for block, r, s in zip(sent["block"].to_pylist(), routes, sizes):
+            k = int(s.sum())
+            rows.append((block, part, level, common.packed(kept[of[j : j + len(r)]].view("<i4")), common.packed(n[at[i : i + k]], 8), None, None, None, None, None, None))
+            i, j = i + k, j + len(r)
+        for r in np.flatnonzero((hot > 0) & (weight > 0)):
+            rows.append((None, part, level, None, None, int(hot[r].view(np.int64)), float(weight[r]), float(gain[r]), None, None, None))
+        return _answer(rows)
+
+    return run
+
+
+class Text:
+    """Positions of a block's tokens, each document behind a start, with what the levels so far say of them."""
+
+    def __init__(self, block: dict, answers: dict[int, tuple[list, list]], model: Model):
+        self.model = model
+        hashes, places = common.unpacked_keys(block["hashes"]), common.unpacked(block["places"])
+        c = np.concatenate(answers[0][1]) if len(hashes) else np.zeros(0, np.int64)
+        token = places[common.unpacked(block["codes"])]
+        sizes = np.array(block["sizes"], np.int64)
+        self.sizes, self.count = sizes, c[token]
+        self.doc = np.repeat(np.arange(len(sizes)), sizes)
+        # places of tokens among tokens and starts
+        self.place = np.arange(len(token)) + self.doc + 1
+        self.age = np.arange(len(token)) - (np.cumsum(sizes) - sizes)[self.doc] + 1
+        self.train = np.array(block["train"], bool)[self.doc]
+        whole = len(token) + len(sizes)
+        self.hash = np.full(whole, _START)
+        self.hash[self.place] = hashes[token]
+        self.p = model.root(self.count)
+        # of the longest gram ending at each place: its hash and training count
+        self.gram, self.seen = self.hash.copy(), np.zeros(whole, np.int64)
+        self.seen[self.place] = self.count
+        starts = self.place[np.cumsum(sizes) - sizes] - 1
+        # every training document has one start, and one end
+        end = np.searchsorted(hashes, _end())
+        self.seen[starts] = c[end] if len(hashes) else 0
+        self.able = np.arange(len(token))
+
+    def pairs(self, level: int) -> Pairs:
+        """The pairs of a level whose shorter parts were seen twice; ``able`` are their positions."""
+        t = np.flatnonzero(self.age >= level)
+        here, before = self.place[t], self.place[t] - 1
+        self.able = t[(self.seen[here] >= 2) & (self.seen[before] >= 2)]
+        here, before = self.place[self.able], self.place[self.able] - 1
+        self.context, self.visits = self.gram[before], self.seen[before]
+        self.key = longer(self.context, self.hash[here])
+        return Pairs(self.context, self.key, self.visits, np.log(self.p[self.able]), self.train[self.able], self.model)
+
+    def learn(self, level: int, answer: tuple[list, list]) -> None:
+        """Moves probabilities from the suffix to the retained contexts of a level."""
+        pairs = self.pairs(level)
+        m, n = pairs.received(answer[0], answer[1], self.model.hot.get(level))
+        v, p = self.visits, self.p[self.able]
+        self.p[self.able] = np.where(m > 0, (np.where(n > 0, n - DISCOUNT, 0) + (v - m) * p) / v, p)
+        here = self.place[self.able]
+        gram, seen = np.zeros(len(self.gram), np.uint64), np.zeros(len(self.seen), np.int64)
+        gram[here], seen[here] = self.key, n
+        self.gram, self.seen = gram, seen
+
+
+def _end() -> np.uint64:
+    from xxhash import xxh64_intdigest
+
+    return np.uint64(xxh64_intdigest(b"", 7))
+
+
+def _read(block: pa.Table, answers: pa.Table, model: Model, levels: int) -> Text:
+    """A block's text after the given number of levels."""
+    got: dict[int, tuple[list, list]] = {k: ([], []) for k in range(levels + 1)}
+    for a in answers.sort_by([("level", "ascending"), ("part", "ascending")]).select(["level", "m", "n"]).to_pylist():
+        if a["m"] is not None:
+            got[a["level"]][0].append(common.unpacked(a["m"]).view("<f4"))
+        got[a["level"]][1].append(common.unpacked(a["n"], 8))
+    text = Text(block.to_pylist()[0], got, model)
+    for k in range(1, levels + 1):
+        text.learn(k, got[k])
+    return text
+
+
+def _sent_pairs(model: Model, level: int, parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+        there, blobs = _read(block, answers, model, level - 1).pairs(level).sent(parts)
+        return pa.table([pa.array(there.astype(np.int32)), pa.array([block["block"][0].as_py()] * len(there), pa.int64()), *(pa.array([b[i] for b in blobs], pa.binary()) for i in range(len(PAIRS)))], names=["part", "block", *PAIRS])
+
+    return run
 
 
 SCORED = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
-def _sums(docs: pa.Table, words: pa.Table) -> pa.Table:
-    """Sums of the words' scores in each document of a block."""
-    place = {w: i for i, w in enumerate(words["word"].to_pylist())}
-    values = np.stack([words["base"].to_numpy(), words["logp"].to_numpy(), (words["c"].to_numpy() > 0).astype(float)], 1) if len(place) else np.zeros((0, 3))
-    n, out = [], np.zeros((docs.num_rows, 3))
-    for i, text in enumerate(t for c in docs["text"].chunks for t in common.texts(c)):
-        ws = common.words(text)
-        ws.append(b"")
-        out[i] = values[np.fromiter(map(place.__getitem__, ws), np.int64, len(ws))].sum(0)
-        n.append(len(ws))
-    return pa.table({"doc_id": docs["doc_id"], "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(out[:, 2].astype(np.int64)), "base_score": pa.array(out[:, 0]), "score": pa.array(out[:, 1])})
+def _scored(model: Model, levels: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+        text = _read(block, answers, model, levels)
+        sums = lambda w: np.bincount(text.doc, w, len(text.sizes))
+        known = sums((text.count > 0).astype(float)).astype(np.int64)
+        return pa.table([pa.chunked_array([block["ids"].combine_chunks().flatten()]), pa.array(text.sizes), pa.array(known), pa.array(sums(model.base(text.count))), pa.array(sums(np.log10(text.p)))], names=[c.split()[0] for c in SCORED.split(", ")])
 
+    return run
 
-def scored(docs: DataFrame, train) -> tuple[DataFrame, int]:
+
+def scored(docs: DataFrame, train, depth: int = DEPTH) -> tuple[DataFrame, int]:
     """``(doc_id, n_tokens, n_known, base_score, score)`` of every row, and the number of training tokens.
 
     ``train`` is a boolean column of ``docs``: the rows to learn from.
     """
     spark = docs.sparkSession
-    size = common.total_bytes(docs.select(F.col("text").cast("string").alias("text")), "text")
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BLOCK_BYTES) if size > 1 << 20 else 1
-    block = F.pmod(F.xxhash64(F.lit(3), "doc_id", F.octet_length("text")), F.lit(n)).cast("int")
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), train.alias("train")).withColumn("block", block)
-    held = common.saved(dealt.groupBy("block").applyInArrow(_blocks, "block int, word binary, c long"), "pst-blocks")
-    vocabulary = common.saved(held.groupBy("word").agg(F.sum("c").alias("c")), "pst-words")
-    totals = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
-    tree = fit(vocabulary)
-
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tree.score(b.column(0)))], ["word", "c", "logp"])
-
-    rated = common.saved(vocabulary.mapInArrow(rate, "word binary, c long, logp double"), "pst-rated")
-    rated = smoothed(rated, totals["n"], totals["v"])
-    rated = rated.withColumn("base", F.log10((F.col("c") + F.lit(0.1)) / F.lit(totals["n"] + 0.1 * (totals["v"] + 1))))
-    known = held.select("block", "word").join(rated, "word").select("block", "word", "c", "logp", "base")
-    out = dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_sums, SCORED)
-    return out, totals["n"]
+    common.bounded_batches(spark)
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), train.alias("train"))
+    size = common.total_bytes(src, "text")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES) if size > 1 << 20 else 1
+    blocks = common.bucketed(src.mapInArrow(_cut(BLOCK_BYTES), BLOCK), "block", parts, "pst")
+    sent = blocks.select("block", "hashes", "counts").mapInArrow(_sent_tokens(parts), "part int, block long, keys binary, n binary")
+    answers = common.saved(sent.repartition(parts, "part").groupBy("part").applyInArrow(_count_tokens, ANSWER), "pst-answers")
+    got = answers.where("tokens is not null").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "kinds", "once")]).first()
+    model = Model(got["tokens"], got["kinds"], got["once"])
+    depth = depth if model.tokens else 0
+    columns = ["block", "part", "level", "m", "n"]
+    so_far = answers.where("block is not null").select(*columns)
+    fields = ", ".join(f"{c} binary" for c in PAIRS)
+    for level in range(1, depth + 1):
+        met = blocks.drop("counts").groupBy("block").cogroup(so_far.groupBy("block"))
+        sent = met.applyInArrow(_sent_pairs(model, level, parts), f"part int, block long, {fields}")
+        answers = common.saved(sent.repartition(parts, "part").groupBy("part").applyInArrow(_count_pairs(level), ANSWER), "pst-answers")
+        # at most HOT contexts have more than 1 / HOT of all visits
+        hot = sorted((r["key"] % 2**64, r["m"], r["g"]) for r in answers.where("key is not null").groupBy("key").agg(F.sum("sum_m").alias("m"), F.sum("sum_g").alias("g")).collect())
+        model.hot[level] = tuple(np.array(c, t) for c, t in zip(zip(*hot), (np.uint64, float, float))) if hot else (np.zeros(0, np.uint64),) * 3
+        so_far = so_far.union(answers.where("block is not null").select(*columns))
+    out = blocks.drop("counts").groupBy("block").cogroup(so_far.groupBy("block")).applyInArrow(_scored(model, depth), SCORED)
+    return out, model.tokens
 
 
 def op2_suffix_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

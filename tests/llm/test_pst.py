@@ -1,66 +1,147 @@
 import random
 import zlib
-from collections import Counter
-from math import log10
+from collections import Counter, defaultdict
+from math import exp, log, log10
 
-import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 from evalloom.llm import pst
 
+START = object()
 
-def test_against_brute_force(spark, tmp_path):
+
+def tokens(text):
+    return [*(text or "").encode().lower().split(), b""]
+
+
+def held(doc_id):
+    return zlib.crc32(str(doc_id).encode()) % 10 == 0 if doc_id is not None else True
+
+
+class ByHand:
+    """The same tree from dictionaries, one document and one position at a time."""
+
+    def __init__(self, docs, depth):
+        self.c = Counter(w for d in docs for w in d)
+        self.n, self.v = sum(self.c.values()), len(self.c)
+        self.unknown = (sum(k == 1 for k in self.c.values()) + 0.5) / (self.n + 1)
+        self.seen = [{(w,): k for w, k in self.c.items()} | {(START,): len(docs)}]
+        self.kept = [{}]
+        for k in range(1, depth + 1):
+            found, p = Counter(), {}
+            for d in docs:
+                line = [START, *d]
+                for i in range(k, len(line)):
+                    gram = tuple(line[i - k : i + 1])
+                    if self.allowed(k, gram):
+                        found[gram] += 1
+                        p[gram] = p.get(gram) or self.p(k - 1, line, i)
+            nexts = defaultdict(dict)
+            for gram, n in found.items():
+                nexts[gram[:-1]][gram] = n
+            kept = {}
+            for context, grams in nexts.items():
+                v = self.seen[k - 1][context]
+                m = sum(n - pst.DISCOUNT for n in grams.values())
+                gain = 0
+                for gram, n in grams.items():
+                    q = -pst.STEP * min(255, round(-log(p[gram]) / pst.STEP))
+                    gain += n * (log(max(n - 1 - pst.DISCOUNT, 0) / v + (v - m) / v * exp(q)) - q)
+                if gain >= pst.NATS:
+                    kept[context] = m
+            self.seen.append(dict(found))
+            self.kept.append(kept)
+
+    def allowed(self, k, gram):
+        return self.seen[k - 1].get(gram[:-1], 0) >= 2 and self.seen[k - 1].get(gram[1:], 0) >= 2
+
+    def p(self, level, line, i):
+        w = line[i]
+        p = (1 - self.unknown) * self.c[w] / self.n if w in self.c else self.unknown
+        for k in range(1, min(level, i) + 1):
+            gram = tuple(line[i - k : i + 1])
+            if self.allowed(k, gram) and gram[:-1] in self.kept[k]:
+                n, v = self.seen[k].get(gram, 0), self.seen[k - 1][gram[:-1]]
+                p = (max(n - pst.DISCOUNT, 0) + (v - self.kept[k][gram[:-1]]) * p) / v
+        return p
+
+    def score(self, doc, depth):
+        line = [START, *doc]
+        return sum(log10(self.p(depth, line, i)) for i in range(1, len(line)))
+
+
+def corpus():
     r = random.Random(10)
-    parts = ["th", "ing", "er", "tion", "a", "Be", "é"]
-    word = lambda: "".join(r.choices(parts, k=r.randint(1, 4)))
-    common = [word() for _ in range(40)]
-    rows = [(i, " ".join(r.choice(common) if r.random() < 0.7 else word() for _ in range(r.randint(0, 200))), "z") for i in range(700)]
-    rows += [(900, None, "z"), (901, "", "z"), (902, "same row", "z"), (902, "same row", "z"), (None, "no id", "z"), (903, "deep\x00byte " * 9000, None)]
-    spark.createDataFrame(rows, "doc_id long, text string, word string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
-    got = pst.op2_suffix_tree_scoring(spark, str(tmp_path)).collect()
-    assert len(got) == len(rows)
-    tok = lambda t: [*(t or "").encode().lower().split(), b""]
-    held = lambda d: zlib.crc32(str(d).encode()) % 10 == 0 if d is not None else True
-    c = Counter(w for d, t, _ in rows if not held(d) for w in tok(t))
-    n, v = sum(c.values()), len(c)
+    words = ["w%d" % i for i in range(60)] + ["É", "Größe"]
+    follows = {w: r.choices(words, k=3) for w in words}
+    rows = []
+    for i in range(500):
+        w, out = r.choice(words), []
+        for _ in range(r.randint(0, 60)):
+            out.append(w)
+            w = r.choice(follows[w]) if w in follows and r.random() < 0.8 else r.choice([*words, "rare%d" % r.randrange(10**6)])
+        rows.append((i, " ".join(out), "z"))
+    return rows + [(900, None, "z"), (901, "", "z"), (902, "Same Row", "z"), (902, "Same Row", "z"), (None, "no id", "z"), (903, "deep\x00byte " * 3000, None)]
+
+
+@pytest.fixture(scope="module")
+def scored(spark, tmp_path_factory):
+    at = tmp_path_factory.mktemp("pst")
+    spark.createDataFrame(corpus(), "doc_id long, text string, block string").repartition(3).write.parquet(f"{at}/documents.parquet")
+    return pst.op2_suffix_tree_scoring(spark, str(at)).collect()
+
+
+def test_against_brute_force(scored):
+    rows = corpus()
+    assert len(scored) == len(rows)
+    model = ByHand([tokens(t) for d, t, _ in rows if not held(d)], pst.DEPTH)
+    assert all(model.kept[1:])
     text = {d: t for d, t, _ in rows}
-    for x in got:
-        ws = tok(text[x.doc_id])
-        assert x.held_out == held(x.doc_id) and x.n_tokens == len(ws) and x.n_known == sum(w in c for w in ws) and x.train_tokens == n
-        assert abs(x.base_score - sum(log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)) < 1e-6 * len(ws)
-    out = [x for x in got if x.held_out and x.n_tokens > 20]
+    for x in scored:
+        ws = tokens(text[x.doc_id])
+        assert x.held_out == held(x.doc_id) and x.n_tokens == len(ws) and x.n_known == sum(w in model.c for w in ws) and x.train_tokens == model.n
+        assert abs(x.base_score - sum(log10((model.c[w] + 0.1) / (model.n + 0.1 * (model.v + 1))) for w in ws)) < 1e-6 * len(ws)
+        assert abs(x.score - model.score(ws, pst.DEPTH)) < 1e-4 * len(ws)
+    out = [x for x in scored if x.held_out and x.n_tokens > 20]
     assert sum(x.score for x in out) > sum(x.base_score for x in out)
-    # the tree by hand: probabilities from dictionaries of the same retained contexts
-    tree = pst.fit(spark.createDataFrame([(bytearray(w), k) for w, k in c.items()], "word binary, c long"))
-
-    def key(s):
-        k = 0
-        for x in s:
-            k = (k * int(pst.SPREAD) + x + 1) % 2**64
-        return k
-
-    def by_hand(s, i):
-        q = tree.root[s[i]]
-        for d in range(1, min(i, len(tree.levels)) + 1):
-            keys, visits, kinds, pairs, counts = tree.levels[d - 1]
-            if (k := key(s[i - d : i])) in keys.tolist():
-                at = keys.tolist().index(k)
-                m = dict(zip(pairs.tolist(), counts.tolist())).get(key(s[i - d : i + 1]), 0)
-                q = (m + kinds[at] * q) / (visits[at] + kinds[at])
-        return q
-
-    for w in [b"", b"thing", b"unseen\xc3\xa9", b"ertion"]:
-        s = b" " + w + b" "
-        assert abs(tree.score(pa.array([w], pa.binary()))[0] - sum(log10(by_hand(s, i)) for i in range(1, len(s)))) < 1e-9
-    # counts of a retained context are those of the text, and distributions are proper
-    keys, visits = tree.levels[2][:2]
-    assert len(keys)
-    for w in (b"thing", b"eration"):
-        for i in range(3, len(w) + 1):
-            s = b" " + w
-            if key(s[i - 3 : i]) in keys.tolist():
-                at = keys.tolist().index(key(s[i - 3 : i]))
-                assert visits[at] == sum(m * sum((b" " + x)[j : j + 3] == s[i - 3 : i] for j in range(len(x) - 1)) for x, m in c.items())
-    assert abs(sum(by_hand(b" thin" + bytes([x]), 5) for x in range(256)) - 1) < 1e-9
+
+
+def test_distributions_are_proper():
+    model = ByHand([tokens(t) for d, t, _ in corpus() if not held(d)], pst.DEPTH)
+    some = tokens(corpus()[3][1])[:12]
+    for i in range(1, len(some)):
+        line = [START, *some[:i]]
+        total = sum(model.p(pst.DEPTH, [*line, w], i + 1) for w in model.c) + model.p(pst.DEPTH, [*line, b"never"], i + 1)
+        # a next token seen once in all isn't counted in contexts: it keeps the share of its suffix
+        assert total < 1.0001
+
+
+def test_order_of_words_counts(spark):
+    r = random.Random(3)
+    rows = [(i, t, "plain") for i, t, _ in corpus() if t]
+    mixed = [(i, " ".join(r.sample(t.split(), len(t.split()))), "mixed") for i, t, _ in rows if held(i)]
+    df = spark.createDataFrame(rows + mixed, "doc_id long, text string, kind string")
+    docs = df.select(F.when(F.col("kind") == "mixed", -F.col("doc_id") - 1).otherwise(F.col("doc_id")).alias("doc_id"), "text")
+    train = F.col("doc_id").isin([i for i, _, _ in rows if not held(i)])
+    got = {x.doc_id: x for x in pst.scored(docs, train)[0].collect()}
+    long = [i for i, _, _ in mixed if i is not None and got[i].n_tokens > 15]
+    assert long and all(got[i].n_tokens == got[-i - 1].n_tokens for i in long)
+    assert sum(got[-i - 1].score for i in long) < 1.1 * sum(got[i].score for i in long) < 0
+
+
+def test_partitions_and_hot_contexts(spark, scored, monkeypatch):
+    df = spark.createDataFrame(corpus(), "doc_id long, text string, block string")
+    train = ~F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(True))
+    before = sorted((x.doc_id or -1, round(x.score, 3)) for x in scored)
+    monkeypatch.setattr(pst, "BLOCK_BYTES", 5000)
+    monkeypatch.setattr(pst, "PART_BYTES", 5000)
+    got, n = pst.scored(df.repartition(7, "text"), train)
+    assert sorted((x.doc_id or -1, round(x.score, 3)) for x in got.collect()) == before
+    monkeypatch.setattr(pst, "HOT", 10**9)
+    monkeypatch.setattr(pst, "HOT_LEAST", 40)
+    hot = sorted((x.doc_id or -1, x.score) for x in pst.scored(df, train)[0].collect())
+    assert all(abs(a[1] - b[1]) <= 0.03 * abs(b[1]) + 0.1 for a, b in zip(hot, before))
 
 
 def test_small(spark, tmp_path):
@@ -68,4 +149,4 @@ def test_small(spark, tmp_path):
     assert pst.op2_suffix_tree_scoring(spark, f"{tmp_path}/e").count() == 0
     spark.createDataFrame([(None, "a b")], "doc_id long, text string").write.parquet(f"{tmp_path}/o/documents.parquet")
     x = pst.op2_suffix_tree_scoring(spark, f"{tmp_path}/o").first()
-    assert x.train_tokens == 0 and x.n_known == 0 and x.base_score == 0 and x.n_tokens == 3
+    assert x.train_tokens == 0 and x.n_known == 0 and x.base_score == 0 and x.score == 0 and x.n_tokens == 3
