@@ -10,7 +10,7 @@ before it in the document, behind one start. ``score`` is a log10 probability of
 * Divergence test: a context of v visits is retained if its predictions gain at least ``NATS`` over its suffix's on the
   training data, each occurrence of a next token x predicted without itself: the sum of n log(P(x | c) / P(x | suffix)).
 * Smoothing: P(x | c) = (n - ``DISCOUNT`` + (v - M) P(x | suffix of c)) / v for the n times that x followed c (a token not
-  seen there has 0 for n - ``DISCOUNT``), M being the sum of all n - ``DISCOUNT`` of the context. Each token is scored
+  counted there has 0 for n - ``DISCOUNT``), M being the sum of all n - ``DISCOUNT`` of the context. Each token is scored
   from its longest retained suffix.
 
 Plan: documents are cut into blocks, one row each, saved in buckets by block, so that they never move again. Level by
@@ -41,12 +41,13 @@ from evalloom.llm import common
 
 DEPTH, NATS, DISCOUNT = 3, 2.0, 0.6
 #: Text of a block, and text for each range of hashes (bytes).
-BLOCK_BYTES, PART_BYTES = 16 << 20, 16 << 20
+BLOCK_BYTES, PART_BYTES = 8 << 20, 16 << 20
 HOT, HOT_LEAST = 100_000, 10_000
 #: Log probabilities travel in steps of this many nats.
 STEP = 0.1
 
-_START = np.uint64(0x51A7)
+#: Hashes of the start, and of any next token that a level doesn't count.
+_START, _OTHER = np.uint64(0x51A7), np.uint64(0x07E4)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -55,6 +56,17 @@ def longer(context: np.ndarray, token: np.ndarray) -> np.ndarray:
     return (context ^ (context >> np.uint64(31))) * _MIX + token
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, a place of each one, and the number of each place's key (numpy's own sorts stably, slower)."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    at = np.empty(len(keys), np.int32)
+    at[order] = np.cumsum(new, dtype=np.int32) - 1
+    return keys[new], order[new], at
+
+
 BLOCK = "block long, ids array<bigint>, train array<boolean>, sizes array<int>, codes binary, places binary, hashes binary, counts binary"
 
 
@@ -128,7 +140,7 @@ def _answer(rows: list[tuple]) -> pa.Table:
 def _count_tokens(sent: pa.Table) -> pa.Table:
     """Training counts of the tokens of a range, for each block; and the range's totals."""
     keys, n = [common.unpacked_keys(x) for x in sent["keys"].to_pylist()], [common.unpacked(x) for x in sent["n"].to_pylist()]
-    _, at = np.unique(np.concatenate(keys), return_inverse=True)
+    _, _, at = distinct(np.concatenate(keys))
     total = np.bincount(at, np.concatenate(n)).astype(np.int64)
     part, rows, i = sent["part"][0].as_py(), [], 0
     for block, k in zip(sent["block"].to_pylist(), keys):
@@ -158,14 +170,16 @@ class Pairs:
     """Distinct (context, next token) pairs of a level in a block, in the order in which they are sent."""
 
     def __init__(self, context: np.ndarray, key: np.ndarray, visits: np.ndarray, logp: np.ndarray, train: np.ndarray, model: Model):
-        self.keys, first, self.at = np.unique(key, return_index=True, return_inverse=True)
+        self.keys, first, self.at = distinct(key)
         self.n = np.bincount(self.at, train, len(self.keys)).astype(np.int64)
         # a hot context is counted in parts
         parts = np.maximum(1, -(-visits[first].astype(np.int64) // model.hot_visits))
         self.context, self.visits, self.logp, self.hot = context[first], visits[first], logp[first], parts > 1
         route = self.context + (self.keys % parts.astype(np.uint64)) * _MIX
-        self.order = np.argsort(route, kind="stable")
-        self.route, self.starts, self.sizes = np.unique(route[self.order], return_index=True, return_counts=True)
+        self.order = np.argsort(route)
+        route = route[self.order]
+        self.starts = np.flatnonzero(np.append(True, route[1:] != route[:-1])) if len(route) else np.zeros(0, np.int64)
+        self.route, self.sizes = route[self.starts], np.diff(self.starts, append=len(route))
 
     def sent(self, parts: int) -> tuple[np.ndarray, list[tuple]]:
         """Ranges, and for each one: routes, hot contexts' keys, pairs of each route, visits, pairs, counts, log probabilities."""
@@ -204,11 +218,11 @@ def _count_pairs(level: int) -> Callable[[pa.Table], pa.Table]:
         blobs = {c: sent[c].to_pylist() for c in PAIRS}
         routes, sizes = [common.unpacked_keys(x) for x in blobs["routes"]], [common.unpacked(x) for x in blobs["sizes"]]
         every = lambda c, width=4: np.concatenate([common.unpacked(x, width) for x in blobs[c]])
-        route, first, of = np.unique(np.concatenate(routes), return_index=True, return_inverse=True)
+        route, first, of = distinct(np.concatenate(routes))
         visits, hot = every("visits")[first].astype(float), every("hot", 8)[first].view(np.uint64)
         owner = np.repeat(of, np.concatenate(sizes))
         # one number for a pair within this range: its context's place, and the pair's 32 bits
-        pair, at0, at = np.unique(owner.astype(np.uint64) << np.uint64(32) | every("pairs").view(np.uint32).astype(np.uint64), return_index=True, return_inverse=True)
+        _, at0, at = distinct(owner.astype(np.uint64) << np.uint64(32) | every("pairs").view(np.uint32).astype(np.uint64))
         n = np.bincount(at, every("n")).astype(np.int64)
         logp = -STEP * every("logp", 1).view(np.uint8)[at0].astype(float)
         mine, seen = owner[at0], n > 0
@@ -260,14 +274,16 @@ class Text:
         self.able = np.arange(len(token))
 
     def pairs(self, level: int) -> Pairs:
-        """The pairs of a level whose shorter parts were seen twice; ``able`` are their positions."""
+        """The pairs of a level; ``able`` are the positions whose context was seen twice.
+
+        A next token whose pair with the context's suffix wasn't seen twice is another one, which counts nothing.
+        """
         t = np.flatnonzero(self.age >= level)
-        here, before = self.place[t], self.place[t] - 1
-        self.able = t[(self.seen[here] >= 2) & (self.seen[before] >= 2)]
-        here, before = self.place[self.able], self.place[self.able] - 1
-        self.context, self.visits = self.gram[before], self.seen[before]
-        self.key = longer(self.context, self.hash[here])
-        return Pairs(self.context, self.key, self.visits, np.log(self.p[self.able]), self.train[self.able], self.model)
+        self.able = t[self.seen[self.place[t] - 1] >= 2]
+        here = self.place[self.able]
+        self.context, self.visits, counted = self.gram[here - 1], self.seen[here - 1], self.seen[here] >= 2
+        self.key = longer(self.context, np.where(counted, self.hash[here], _OTHER))
+        return Pairs(self.context, self.key, self.visits, np.log(self.p[self.able]), self.train[self.able] & counted, self.model)
 
     def learn(self, level: int, answer: tuple[list, list]) -> None:
         """Moves probabilities from the suffix to the retained contexts of a level."""

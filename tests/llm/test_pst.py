@@ -61,8 +61,8 @@ class ByHand:
         p = (1 - self.unknown) * self.c[w] / self.n if w in self.c else self.unknown
         for k in range(1, min(level, i) + 1):
             gram = tuple(line[i - k : i + 1])
-            if self.allowed(k, gram) and gram[:-1] in self.kept[k]:
-                n, v = self.seen[k].get(gram, 0), self.seen[k - 1][gram[:-1]]
+            if gram[:-1] in self.kept[k]:
+                n, v = self.seen[k].get(gram, 0) if self.allowed(k, gram) else 0, self.seen[k - 1][gram[:-1]]
                 p = (max(n - pst.DISCOUNT, 0) + (v - self.kept[k][gram[:-1]]) * p) / v
         return p
 
@@ -113,8 +113,7 @@ def test_distributions_are_proper():
     for i in range(1, len(some)):
         line = [START, *some[:i]]
         total = sum(model.p(pst.DEPTH, [*line, w], i + 1) for w in model.c) + model.p(pst.DEPTH, [*line, b"never"], i + 1)
-        # a next token seen once in all isn't counted in contexts: it keeps the share of its suffix
-        assert total < 1.0001
+        assert abs(total - 1) < 1e-9
 
 
 def test_order_of_words_counts(spark):
@@ -141,7 +140,8 @@ def test_partitions_and_hot_contexts(spark, scored, monkeypatch):
     monkeypatch.setattr(pst, "HOT", 10**9)
     monkeypatch.setattr(pst, "HOT_LEAST", 40)
     hot = sorted((x.doc_id or -1, x.score) for x in pst.scored(df, train)[0].collect())
-    assert all(abs(a[1] - b[1]) <= 0.03 * abs(b[1]) + 0.1 for a, b in zip(hot, before))
+    # parts of a hot context judge by their own share, so the tree may differ, but little
+    assert abs(sum(a[1] for a in hot) / sum(b[1] for b in before) - 1) < 0.02
 
 
 def test_small(spark, tmp_path):
