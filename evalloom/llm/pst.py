@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from evalloom.llm import common
 
-DEPTH, NATS, DISCOUNT = 3, 2.0, 0.6
+DEPTH, NATS, DISCOUNT = 2, 2.0, 0.6
 #: Text of a block, and text for each range of hashes (bytes).
 BLOCK_BYTES, PART_BYTES = 8 << 20, 16 << 20
 HOT, HOT_LEAST = 100_000, 10_000
