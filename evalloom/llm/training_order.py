@@ -1,8 +1,10 @@
 """Training-order materialisation: token ids packed into sequences, permuted, and written as fixed-stride shards.
 
-Documents are tokenised (uint16 or uint32 ids, an end id after each), laid end to end in the order of the input's
-partitions, and cut into sequences of ``SEQUENCE`` ids; the last one is filled up with the end id. Places follow from
-running sums kept while tokenising and from the partitions' totals, so ids move once, to their shard. A keyed Feistel network over the
+Documents are tokenised (uint16 or uint32 ids, an end id after each), laid end to end in the order of a keyed hash of id
+and text, and cut into sequences of ``SEQUENCE`` ids; the last one is filled up with the end id. The order, and so every
+record, depends on rows and key alone, not on how the input is split. Places follow from sums of the documents' lengths
+within ranges of that hash and over the ranges; ids stay in buckets by their partition, places come to them, and ids
+move once, to their shard. A keyed Feistel network over the
 smallest even number of bits that covers the number of sequences, with cycle-walking for values outside it, gives every
 sequence its global slot: a bijection that needs no sort, no shuffle buffer and no table, and that can be inverted.
 Slots are dealt to range partitions by number; each partition, sorted by slot, packs its records into shards of
@@ -10,7 +12,7 @@ Slots are dealt to range partitions by number; each partition, sorted by slot, p
 resume anywhere. A shard is one row with a binary payload, written by Spark's committer, which survives lost executors;
 ``export`` turns these rows into plain files.
 
-Defined cases: a null or empty text contributes its end id alone; a null id is an id like any other; repeated
+Defined cases: a null or empty text contributes its end id alone; a null id counts like no id in the hash; repeated
 rows are documents of their own; very long texts span sequences; an empty table has no sequences. Only doc_id and text
 are read.
 """
@@ -23,15 +25,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm import bpe, common
+from evalloom.llm import bpe, common, mixing
 
 SEQUENCE, RECORDS, KEY = 1024, 2048, 0x5EED
 FEISTEL_ROUNDS = 6
-#: Partition totals (16 bytes each) that are broadcast; more are joined by a shuffle.
-MOST_TOTALS = 1 << 20
 #: Payload bytes of a range partition.
 PART_BYTES = 16 << 20
 
@@ -74,37 +74,54 @@ def _tokenised(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
         encoder = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
         end = max(table.values()) + 1
         kind = np.uint16 if end < 2**16 else np.uint32
-        upto = 0
+        nth = 0
         for b in batches:
-            ids = [np.array([*encoder.encode_ordinary(t.decode("utf-8", "replace")), end], kind).tobytes() for t in common.texts(b.column(1))]
+            ids = [np.array([*encoder.encode_ordinary(t.decode("utf-8", "replace")), end], kind).tobytes() for t in common.texts(b.column(2))]
             n = [len(x) // kind().itemsize for x in ids]
-            places = upto + np.cumsum([0, *n])
-            upto = int(places[-1])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(places[:-1]), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["part", "place", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.arange(nth, nth + len(b))), b.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["part", "nth", "h", "n", "ids"])
+            nth += len(b)
 
     return run
 
 
-def sequences(docs: DataFrame, path: str | None = None, length: int = SEQUENCE) -> tuple[DataFrame, int, int]:
+def _pieces(length: int, width: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The documents of a partition, cut at the sequences that their places fall in."""
+
+    def run(held: pa.Table, places: pa.Table) -> pa.Table:
+        held, places = held.sort_by("nth"), places.sort_by("nth")
+        seqs, starts, out = [], [], []
+        for at, ids in zip(places["at"].to_pylist(), held["ids"].to_pylist()):
+            i, n = 0, len(ids) // width
+            while i < n:
+                seq, start = divmod(at + i, length)
+                j = min(n, i + length - start)
+                seqs.append(seq)
+                starts.append(start)
+                out.append(ids[i * width : j * width])
+                i = j
+        return pa.table({"seq": pa.array(seqs, pa.int64()), "start": pa.array(starts, pa.int32()), "ids": pa.array(out, pa.binary())})
+
+    return run
+
+
+def sequences(docs: DataFrame, path: str | None = None, length: int = SEQUENCE, key: int = KEY) -> tuple[DataFrame, int, int]:
     """Pieces ``(seq, start, ids)`` of all sequences, the number of ids, and the bytes of an id."""
     spark, path = docs.sparkSession, path or bpe.vocabulary_path()
     common.bounded_batches(spark)
     width = 2 if max(bpe.ranks(path).values()) + 1 < 2**16 else 4
-    src = docs.select(F.spark_partition_id().alias("part"), F.col("text").cast("string").alias("text"))
-    held = common.saved(src.mapInArrow(_tokenised(path), "part int, place long, n long, ids binary"), "order-ids")
-    totals = held.groupBy("part").agg(F.sum("n").alias("n"))
-    total = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    # one row a partition of the input
-    before = totals.select("part", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    # a join on the hash of the partition would move all ids: the totals go to the ids while they are few
-    if totals.count() <= MOST_TOTALS:
-        before = F.broadcast(before)
-    placed = held.join(before, "part").select((F.col("before") + F.col("place")).alias("at"), "n", "ids")
-    first, last = F.expr(f"at div {length}"), F.expr(f"(at + n - 1) div {length}")
-    rows = placed.select("at", "n", "ids", F.explode(F.sequence(first, last)).alias("seq"))
-    lo, hi = F.greatest(F.col("at"), F.col("seq") * length), F.least(F.col("at") + F.col("n"), (F.col("seq") + 1) * length)
-    cut = F.substr("ids", ((lo - F.col("at")) * width + 1).cast("int"), ((hi - lo) * width).cast("int"))
-    return rows.select("seq", (lo - F.col("seq") * length).cast("int").alias("start"), cut.alias("ids")), total, width
+    text = F.col("text").cast("string")
+    h = F.xxhash64(F.lit(key), F.col("doc_id").cast("long"), F.xxhash64(text), F.octet_length(text))
+    src = docs.select(F.spark_partition_id().alias("part"), h.alias("h"), text.alias("text"))
+    held = src.mapInArrow(_tokenised(path), "part int, nth long, h long, n long, ids binary")
+    held = common.bucketed(held, "part", max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "order")
+    sizes = held.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("ids"), F.count("*").alias("rows")).first()
+    bits = mixing.fold(sizes["rows"])
+    range_ = F.shiftrightunsigned("h", 64 - bits).cast("int") if bits else F.lit(0)
+    # equal hashes are equal documents: their places may be swapped
+    lengths = held.select(F.lit(0).alias("all"), range_.alias("range"), "h", "part", "nth", "n")
+    places = mixing.prefix(lengths, "all", "range", [F.col("h"), F.col("part"), F.col("nth")], F.col("n"), "at").select(*[F.col(c).alias(c) for c in ("part", "nth", "at")])
+    met = held.select("part", "nth", "ids").groupBy("part").cogroup(places.groupBy("part"))
+    return met.applyInArrow(_pieces(length, width), "seq long, start int, ids binary"), sizes["ids"], width
 
 
 def _packed(n: int, length: int, width: int, records: int, end: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -145,7 +162,7 @@ SHARDS = "shard long, first_slot long, records int, stride int, payload binary"
 def shards(docs: DataFrame, path: str | None = None, length: int = SEQUENCE, records: int = RECORDS, key: int = KEY) -> tuple[DataFrame, int, int]:
     """Shard rows in training order (a written table), the number of sequences and of ids."""
     spark, path = docs.sparkSession, path or bpe.vocabulary_path()
-    pieces, total, width = sequences(docs, path, length)
+    pieces, total, width = sequences(docs, path, length, key)
     n = -(-total // length)
     if not n:
         return spark.createDataFrame([], SHARDS), 0, 0

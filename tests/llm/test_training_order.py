@@ -45,5 +45,14 @@ def test_round_trip(spark, tmp_path):
     assert all(x.record_sha256 == hashlib.sha256(by_slot[x.slot].tobytes()).hexdigest() and x.byte_offset == x.slot % 16 * 64 for x in rows)
 
 
+def test_order_does_not_depend_on_partitions(spark):
+    r = random.Random(12)
+    rows = [(i if i % 7 else None, " ".join(r.choices(["alpha", "béta", "γ"], k=r.randint(0, 60)))) for i in range(300)] + [(None, "twice")] * 3
+    one = spark.createDataFrame(rows, "doc_id long, text string")
+    other = spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(7)
+    got = [sorted((x.slot, x.record_sha256) for x in t.index(d, length=32, records=16).collect()) for d in (one, other)]
+    assert got[0] == got[1] and len(got[0]) > 100
+
+
 def test_empty(spark):
     assert t.index(spark.createDataFrame([], "doc_id long, text string")).count() == 0
