@@ -10,7 +10,7 @@ Ranks and stream positions are two-level prefix sums: within ranges of about sqr
 source that holds a third of all rows is spread like any other.
 
 Defined cases: a null text has size 0 and takes 0 words; a null source is a source of its own, the last one; repeated
-rows are documents of their own; ties of the keyed order fall back to id, size and row content; an empty table gives an
+rows are documents of their own; ties of the keyed order fall back to id, size and a hash of the row; an empty table gives an
 empty result. Other columns are carried by ``mixed`` and not read.
 """
 
@@ -56,12 +56,12 @@ def targets(sizes: list[int], weights: tuple = WEIGHTS, share: float = SHARE, re
     return out
 
 
-def _fold(n: int) -> int:
+def fold(n: int) -> int:
     """Bits of an even division of n rows into about sqrt(n) / 2 ranges."""
     return max(0, (isqrt(max(1, n)) // 2).bit_length())
 
 
-def _prefix(df: DataFrame, group: str, part: str, order: list[Column], value: Column, out: str) -> DataFrame:
+def prefix(df: DataFrame, group: str, part: str, order: list[Column], value: Column, out: str) -> DataFrame:
     """Adds the sum of ``value`` over all earlier rows of the group: ``part`` orders ranges, ``order`` rows in them."""
     sums = df.groupBy(group, part).agg(F.sum(value).alias("_sum"))
     before = sums.select(group, part, F.coalesce(F.sum("_sum").over(Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
@@ -81,9 +81,9 @@ def schedule(spark: SparkSession, aims: list[int], block: int) -> DataFrame:
         cuts.append(acc / total)
     i = F.col("id")
     u = F.pmod(F.pmod(i, F.lit(2**31)) * F.lit(_PHI), F.lit(2**32)) / F.lit(float(2**32))
-    bits = max(1, _fold(m) + 1)
+    bits = max(1, fold(m) + 1)
     points = spark.range(m).select(i.alias("slot"), common.range_of(u, cuts).alias("src"), F.shiftright(i, bits).alias("part"))
-    ranked = _prefix(points, "src", "part", [F.col("slot")], F.lit(1), "rank")
+    ranked = prefix(points, "src", "part", [F.col("slot")], F.lit(1), "rank")
     wanted = F.element_at(F.array(*[F.lit(n) for n in need]), F.col("src") + 1)
     ranked = ranked.where(F.col("rank") < wanted).select("slot", "src", F.col("rank").cast("long").alias("rank"))
     # what the points leave over: a few blocks a source
@@ -96,7 +96,7 @@ def schedule(spark: SparkSession, aims: list[int], block: int) -> DataFrame:
 
 
 def mix(rows: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """Plans the mix of ``rows`` (doc_id, source, size, any payload columns), a table that can be read repeatedly.
+    """Plans the mix of ``rows`` (doc_id, source, size, th: a hash of the content, any payload columns), a table that can be read repeatedly.
 
     Returns the rows with ``src, source_size, target, at`` (first word's place in the source's stream), and the parts
     taken: ``(src, at, epoch, slot, first, words)``, joined from the schedule's slots and the documents' blocks.
@@ -108,11 +108,11 @@ def mix(rows: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> tu
     total, n = sum(r["z"] for r in per), sum(r["n"] for r in per)
     block = max(1, min(block_words, total >> 14))
     dim = spark.createDataFrame([(i, r["source"], r["z"], t, w) for i, (r, t, w) in enumerate(zip(per, aims, whole))], "src int, _name string, source_size long, target double, whole long")
-    h = F.xxhash64(F.lit(seed), "doc_id", "size")
-    bits = _fold(n)
+    h = F.xxhash64(F.lit(seed), "doc_id", "size", "th")
+    bits = fold(n)
     part = F.shiftrightunsigned(h, 64 - bits).cast("int") if bits else F.lit(0)
     named = rows.join(dim, rows["source"].eqNullSafe(dim["_name"])).drop("_name").withColumn("_h", h).withColumn("part", part)
-    placed = _prefix(named, "src", "part", [F.col("_h"), F.col("doc_id"), F.col("size")], F.col("size"), "at").drop("_h", "part")
+    placed = prefix(named, "src", "part", [F.col("_h"), F.col("doc_id"), F.col("size"), F.col("th")], F.col("size"), "at").drop("_h", "part")
     epochs = F.array(*[F.lit(e) for e in range(REPEATS)])
     spans = placed.where("size > 0").select("src", "at", "size", "source_size", "whole", F.explode(epochs).alias("epoch"))
     lo = F.col("at") + F.col("epoch") * F.col("source_size")
@@ -126,7 +126,7 @@ def mix(rows: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> tu
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix as documents: each with its columns, once for each time that it is taken; a part taken is cut to its words."""
     common.bounded_batches(docs.sparkSession)
-    src = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("_text"))
+    src = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(*docs.columns).alias("th"), F.col("text").cast("string").alias("_text"))
     schema = src.drop("_text").schema.add("size", "long")
     rows = common.saved(src.mapInArrow(_sizes, schema), "mix-rows")
     placed, taken = mix(rows)
@@ -140,8 +140,8 @@ def mixed(docs: DataFrame) -> DataFrame:
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.bounded_batches(spark)
     docs = common.table(spark, sf_dir, "documents")
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    rows = common.saved(src.mapInArrow(_sizes, "doc_id long, source string, size long"), "mix-sizes")
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
+    rows = common.saved(src.mapInArrow(_sizes, "doc_id long, source string, th long, size long"), "mix-sizes")
     placed, taken = mix(rows)
     sums = taken.groupBy("src", "at").agg(F.sum("words").alias("taken"))
     some = placed.where("size > 0").join(sums, ["src", "at"], "left")
