@@ -5,11 +5,12 @@
    are cut, along one more projection, into chunks of ``CHUNK`` nodes, which are compared within.
 3. Rounds: each node, as a pivot, gathers its list's and its reverse list's vectors (in chunks if many), compares them
    with each other and offers each the best it found; lists keep the ``K`` most similar. Rounds end when few change.
-4. Audit: nodes of a hashed sample (about ``AUDIT`` of them) are compared with all nodes of their label, in blocks;
-   the share of their links that lists hold is the recall. Below ``RECALL`` more rounds follow, from fresh drawings.
+4. Audit: nodes of a hashed sample (about ``AUDIT`` of them, up to ``AUDIT_MOST`` where links are rare) are compared with
+   all nodes of their label, in blocks; the share of their links that lists hold is the recall. Below ``RECALL`` more
+   rounds follow, from fresh drawings; if it stays below ``LEAST_RECALL``, all nodes are compared as in 5.
 5. Saturated lists (all entries reach the threshold) can't hold all links. They are first enlarged to ``ENLARGED``; nodes
-   still saturated are compared with all nodes of their label in blocks, exactly. A block pair returns link counts and a
-   spanning forest of its links, never the pairs, so a group of thousands of near copies stays linear in memory.
+   still saturated are compared with all nodes of their label in blocks, exactly. A block pair returns link counts and
+   the components of its links, never the pairs, so a group of thousands of near copies stays linear in memory.
 
 Links reach ``THRESHOLD`` by cosine in double precision. Defined cases: a null label, and a vector that is null, empty,
 zero or holds null or non-finite components, links with nothing (its own component); vectors of different lengths don't
@@ -32,7 +33,8 @@ THRESHOLD = 0.93
 K, ENLARGED = 12, 48
 STARTS, CHUNK = 6, 48
 ROUNDS, SETTLED = 8, 0.005
-AUDIT, RECALL = 400, 0.98
+#: Nodes of the first audit, most of a later one, links that an audit should meet; recall aimed at, and least one.
+AUDIT, AUDIT_MOST, AUDIT_LINKS, RECALL, LEAST_RECALL = 400, 25_600, 200, 0.98, 0.9
 #: Nodes of a block of the exact comparison.
 BLOCK = 512
 SEED = 4242
@@ -122,21 +124,21 @@ def _started(nodes: DataFrame, n: int, k: int, first: int, drawings: int) -> Dat
     return _gathered(cut.select(F.struct("d", "group", "code", "part").alias("key"), "node", "unit"), k)
 
 
-def _gathered(members: DataFrame, k: int) -> DataFrame:
-    """Compares the members ``(key, node, unit)`` of each key, in chunks of about ``CHUNK`` if there are more."""
+def _gathered(members: DataFrame, k: int, salt: int = 0) -> DataFrame:
+    """Compares the members ``(key, node, unit)`` of each key, in chunks of about ``CHUNK``, other ones for each ``salt``, if there are more."""
     sizes = members.groupBy("key").agg(F.count("*").alias("c"))
-    chunk = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("c") / CHUNK))
+    chunk = F.pmod(F.xxhash64(F.lit(salt), "node", "key"), F.ceil(F.col("c") / CHUNK))
     rows = members.join(sizes.where("c > 1"), "key").withColumn("chunk", chunk)
     groups = rows.groupBy("key", "chunk").agg(F.collect_list(F.struct("node", "unit")).alias("members"))
     return groups.select("members").mapInArrow(_offers(k), LISTS)
 
 
-def _round(nodes: DataFrame, lists: DataFrame, k: int) -> DataFrame:
+def _round(nodes: DataFrame, lists: DataFrame, k: int, salt: int) -> DataFrame:
     """One join of neighbours with neighbours' neighbours."""
     edges = lists.select("node", F.explode("list.n").alias("n"))
     both = edges.select(F.col("node").alias("pivot"), F.col("n").alias("node")).union(edges.select(F.col("n").alias("pivot"), "node")).union(lists.select(F.col("node").alias("pivot"), "node")).distinct()
     members = both.join(nodes.select("node", "unit"), "node").select(F.col("pivot").alias("key"), "node", "unit")
-    return common.saved(_best(lists.unionByName(_gathered(members, k)), k), "nnd-lists")
+    return common.saved(_best(lists.unionByName(_gathered(members, k, salt)), k), "nnd-lists")
 
 
 def _exact(query: pa.Table, base: pa.Table) -> pa.Table:
@@ -148,21 +150,16 @@ def _exact(query: pa.Table, base: pa.Table) -> pa.Table:
     hard = base["hard"].to_numpy(zero_copy_only=False)
     mine, theirs = near @ bw, (qw @ near) * ~hard  # queries count all their links; other nodes those to queries
     rows = [(int(i), None, int(w)) for i, w in zip(qi, mine) if w] + [(int(i), None, int(w)) for i, w in zip(bi, theirs) if w]
-    # a spanning forest of the links: labels spread from the queries
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for i in np.flatnonzero(near.any(1)):
-        for j in np.flatnonzero(near[i]):
-            x, y = find(int(qi[i])), find(int(bi[j]))
-            if x != y:
-                root[max(x, y)] = min(x, y)
-                rows.append((int(qi[i]), int(bi[j]), 0))
+    # components of the block's links: the smallest number spreads until nothing changes
+    a, b = qi.copy(), bi.copy()
+    most = np.iinfo(np.int64).max
+    while True:
+        low = np.minimum(a, np.where(near, b[None, :], most).min(1, initial=most))
+        back = np.minimum(b, np.where(near, low[:, None], most).min(0, initial=most))
+        if (low == a).all() and (back == b).all():
+            break
+        a, b = low, back
+    rows += [(int(i), int(r), 0) for i, r in [*zip(qi, a), *zip(bi, b)] if i != r]
     cols = list(zip(*rows)) if rows else [[], [], []]
     return pa.table({"node": pa.array(cols[0], pa.int64()), "other": pa.array(cols[1], pa.int64()), "links": pa.array(cols[2], pa.int64())})
 
@@ -187,15 +184,22 @@ def _compared(nodes: DataFrame, queries: DataFrame) -> DataFrame:
     return query.select(*cols).groupBy("group", "a", "b").cogroup(base.select(*cols).groupBy("group", "a", "b")).applyInArrow(pair, "node long, other long, links long")
 
 
-def audit(nodes: DataFrame, lists: DataFrame, n: int, k: int) -> float:
-    """Share of a sample's true links (at most as many as a list holds) that the lists hold."""
-    sample = nodes.where(F.pmod(F.xxhash64(F.lit(8), "node"), F.lit(1 << 30)) < int(min(1.0, AUDIT / n) * (1 << 30)))
-    ones = nodes.withColumn("weight", F.lit(1).cast("long"))
-    true = _compared(ones, sample).where("other is null").groupBy("node").agg(F.sum("links").alias("t"))
-    true = true.join(sample.select("node"), "node", "left_semi").select("node", F.least("t", F.lit(k)).alias("t"))
-    held = lists.select("node", F.size(F.filter("list", lambda x: x["s"] >= THRESHOLD)).alias("h"))
-    got = true.join(held, "node", "left").agg(F.sum("t").alias("t"), F.sum(F.least("t", F.coalesce("h", F.lit(0)))).alias("h")).first()
-    return got["h"] / got["t"] if got["t"] else 1.0
+def audit(nodes: DataFrame, lists: DataFrame, n: int, k: int) -> float | None:
+    """Share of a sample's true links (at most as many as a list holds) that the lists hold; None if there is none.
+
+    While a sample meets fewer than ``AUDIT_LINKS`` links, one of four times as many nodes follows.
+    """
+    size = AUDIT
+    while True:
+        sample = nodes.where(F.pmod(F.xxhash64(F.lit(8), "node"), F.lit(1 << 30)) < int(min(1.0, size / n) * (1 << 30)))
+        ones = nodes.withColumn("weight", F.lit(1).cast("long"))
+        true = _compared(ones, sample).where("other is null").groupBy("node").agg(F.sum("links").alias("t"))
+        true = true.join(sample.select("node"), "node", "left_semi").select("node", F.least("t", F.lit(k)).alias("t"))
+        held = lists.select("node", F.size(F.filter("list", lambda x: x["s"] >= THRESHOLD)).alias("h"))
+        got = true.join(held, "node", "left").agg(F.sum("t").alias("t"), F.sum(F.least("t", F.coalesce("h", F.lit(0)))).alias("h")).first()
+        if (got["t"] or 0) >= AUDIT_LINKS or size >= min(n, AUDIT_MOST):
+            return got["h"] / got["t"] if got["t"] else None
+        size *= 4
 
 
 def near_duplicates(vectors: DataFrame, measured: dict | None = None) -> DataFrame:
@@ -219,14 +223,14 @@ def near_duplicates(vectors: DataFrame, measured: dict | None = None) -> DataFra
     sum_ = lambda x: x.select(F.explode("list").alias("e")).agg(F.count("*").alias("n"), F.sum("e.s").alias("s")).first()
     for attempt in range(4):
         before = sum_(lists)
-        for _ in range(ROUNDS):
-            lists = _round(nodes, lists, K)
+        for r in range(ROUNDS):
+            lists = _round(nodes, lists, K, 1 + attempt * ROUNDS + r)
             now = sum_(lists)
             if now["n"] == before["n"] and now["s"] - before["s"] < SETTLED * max(1.0, abs(before["s"])):
                 break
             before = now
         recall = audit(nodes, lists, n, K)
-        if recall >= RECALL:
+        if recall is None or recall >= RECALL:
             break
         more = _started(nodes, n, K, drawn, 2 * STARTS)
         drawn += 2 * STARTS
@@ -239,11 +243,12 @@ def near_duplicates(vectors: DataFrame, measured: dict | None = None) -> DataFra
     hot = common.saved(hot.select("node").union(hot.select("n")).distinct(), "nnd-hot")
     if not hot.isEmpty():
         part = lists.join(hot, "node", "left_semi")
-        for _ in range(2):
-            part = _round(nodes, part, ENLARGED)
+        for r in range(2):
+            part = _round(nodes, part, ENLARGED, -1 - r)
         lists = common.saved(_best(lists.unionByName(part), ENLARGED), "nnd-lists")
     limit = F.when(F.size("list") > K, ENLARGED).otherwise(K)
-    hard = common.saved(lists.where((F.size("list") >= limit) & F.forall("list", lambda x: x["s"] >= THRESHOLD)).select("node"), "nnd-hard")
+    missed = recall is not None and recall < LEAST_RECALL
+    hard = nodes.select("node") if missed else common.saved(lists.where((F.size("list") >= limit) & F.forall("list", lambda x: x["s"] >= THRESHOLD)).select("node"), "nnd-hard")
     # links of lists without hard nodes, both ways; hard nodes' links are exact
     links = lists.join(hard, "node", "left_anti").select("node", F.explode("list").alias("e")).where(F.col("e.s") >= THRESHOLD).select("node", F.col("e.n").alias("other"))
     links = links.join(hard.withColumnRenamed("node", "other"), "other", "left_anti").select("node", "other")
