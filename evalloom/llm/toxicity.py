@@ -3,7 +3,7 @@
 * Lexicon: terms of all of the training fold's labelled texts (equal texts count once) whose document counts by label
   pass a log-likelihood ratio test; of these, terms are taken greedily while they explain toxic documents that no earlier term
   explains, so words that merely share documents with a toxic term stay out.
-* Matching: the trie of the lexicon runs together with the Levenshtein automaton of its terms (one edit from five
+* Matching: the trie of the lexicon runs together with the Levenshtein automaton of its terms (one edit from four
   letters, two from nine). The product is determinised lazily: a word costs one dictionary step a letter, and dies
   early. Words that training saw in clean documents on their own are no misspellings.
 * Context: each hit scores its term's weight, less if misspelled; it counts as quoted between quotation marks or next
@@ -34,8 +34,8 @@ from evalloom.llm.quality import TRAIN_ROWS, training_rows
 THRESHOLD, WINDOW, FEATURES = 0.7, 12, 6
 #: Nats of evidence for a candidate term, and for its share of yet unexplained documents.
 CANDIDATE, NOVEL = 9.0, 6.0
-#: Most candidate terms brought to the driver, best evidence first. Later ones explain next to nothing.
-MOST_CANDIDATES = 50_000
+#: Candidate terms that the driver takes on; more raise an error, none is dropped.
+MOST_CANDIDATES = 500_000
 #: Entries of the per-worker memory of known words and automaton states; it is emptied when full.
 MEMORY = 1_000_000
 
@@ -52,7 +52,7 @@ def tokens(text: bytes) -> list[str]:
 
 
 def edits(term: str) -> int:
-    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+    return 0 if len(term) < 4 else 1 if len(term) < 9 else 2
 
 
 class TermAutomaton:
@@ -192,7 +192,9 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple | N
     n1, n0, p = F.col("n1"), F.col("n0"), F.col("n1") / (F.col("n1") + F.col("n0"))
     llr = n1 * F.log(p / rate) + F.when(n0 > 0, n0 * F.log((1 - p) / (1 - rate))).otherwise(0.0)
     strong = counts.where((n1 >= 3) & (p > max(0.5, rate))).withColumn("llr", llr).where(F.col("llr") >= CANDIDATE)
-    strong = {r["term"]: (r["n1"], r["n0"]) for r in strong.orderBy(F.desc("llr"), "term").limit(MOST_CANDIDATES).collect()}
+    if strong.count() > MOST_CANDIDATES:
+        raise RuntimeError(f"more than {MOST_CANDIDATES} candidate terms")
+    strong = {r["term"]: (r["n1"], r["n0"]) for r in strong.collect()}
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
