@@ -38,7 +38,7 @@ from evalloom.llm import common
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 BUCKETS, PAIR_BUCKETS = 1 << 13, 1 << 14
 #: Text of a block, and text for each range of hashes (bytes).
-BLOCK_BYTES, PART_BYTES = 8 << 20, 16 << 20
+BLOCK_BYTES, PART_BYTES = 8 << 20, 8 << 20
 LONG_PIECE = 256
 #: Bits of a rank and of a place in a state; NO_RANK: two parts don't merge.
 WIDTH = 20
@@ -226,7 +226,7 @@ def _cut(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
             coded = pieces.flatten().dictionary_encode()
             h = hashes(coded.dictionary)
             order = np.argsort(h)
-            place, code = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+            place, code = np.empty(len(order), np.int32), np.empty(len(order), np.int32)
             place[order] = np.arange(len(order))
             at = coded.indices.to_numpy()
             often = np.argsort(-np.bincount(at, minlength=len(order)), kind="stable")

@@ -37,7 +37,7 @@ CANDIDATE, NOVEL = 9.0, 6.0
 #: Candidate terms that the driver takes on; more raise an error, none is dropped.
 MOST_CANDIDATES = 500_000
 #: Entries of the per-worker memory of known words and automaton states; it is emptied when full.
-MEMORY = 1_000_000
+MEMORY = 200_000
 
 #: Words of reporting near which a term counts as quoted.
 REPORTING = frozenset("said says wrote quote quoted called term word sagte schrieb wort zitat dit écrit mot dijo escribió palabra cita".split())
@@ -103,7 +103,7 @@ class TermAutomaton:
         for letter in word:
             nxt = moves.get((state, letter))
             if nxt is None:
-                if len(moves) > MEMORY // 4:
+                if len(moves) > MEMORY // 2:
                     moves.clear()
                 nxt = moves[state, letter] = self._move(state, letter)
             state = nxt
