@@ -355,8 +355,14 @@ def _encoded(docs: DataFrame, path: str, digest: bool, names: str) -> DataFrame:
     cut = src.select(*rows.columns, F.regexp_extract_all("text", F.lit(pattern()), F.lit(0)).alias("_pieces"))
     size = common.total_bytes(src.select("text"), "text")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES) if size > 1 << 16 else 1
-    held = cut.mapInArrow(_cut(BLOCK_BYTES), BLOCK.format(rows=f"array<{rows.schema.simpleString()}>"))
-    sent = held.select("block", "mark", "pieces").mapInArrow(_sent(parts), "part int, block long, mark long, sizes binary, pieces binary").repartition(parts, "part")
+    limit = BLOCK_BYTES
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # in one worker: each step of its own would take another one's memory
+        return _sent(parts)(b.select(["block", "mark", "pieces"]) for b in _cut(limit)(batches))
+
+    held = cut.mapInArrow(_cut(limit), BLOCK.format(rows=f"array<{rows.schema.simpleString()}>"))
+    sent = cut.mapInArrow(send, "part int, block long, mark long, sizes binary, pieces binary").repartition(parts, "part")
     found = sent.groupBy("part").applyInArrow(_distinct(path), DISTINCT)
     tables = F.struct(_rank_map(path).alias("t"), _pair_map(path).alias("p"))
     folded = _let(tables, lambda t: F.transform("pieces", lambda p: F.when(p["ids"].isNotNull(), p["ids"]).otherwise(merge(t["t"], t["p"], p["piece"]))))
