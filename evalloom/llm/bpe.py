@@ -40,6 +40,7 @@ BUCKETS, PAIR_BUCKETS = 1 << 13, 1 << 14
 #: Text of a block, and text for each range of hashes (bytes).
 BLOCK_BYTES, PART_BYTES = 8 << 20, 8 << 20
 LONG_PIECE = 256
+PLAN_STRINGS, MOST_PLAN_STRING = "spark.sql.maxPlanStringLength", 1 << 16
 #: Bits of a rank and of a place in a state; NO_RANK: two parts don't merge.
 WIDTH = 20
 NO_RANK = (1 << WIDTH) - 1
@@ -350,6 +351,9 @@ def _encoded(docs: DataFrame, path: str, digest: bool, names: str) -> DataFrame:
     """Rows of ``docs`` (all columns but text) with their ids or their digests, as ``names`` add to the schema."""
     spark = docs.sparkSession
     common.bounded_batches(spark)
+    # the literal maps would fill the driver with descriptions of plans
+    if int(spark.conf.get(PLAN_STRINGS)) > MOST_PLAN_STRING:
+        spark.conf.set(PLAN_STRINGS, str(MOST_PLAN_STRING))
     rows = docs.drop("text")
     src = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     cut = src.select(*rows.columns, F.regexp_extract_all("text", F.lit(pattern()), F.lit(0)).alias("_pieces"))
