@@ -352,7 +352,7 @@ def _encoded(docs: DataFrame, path: str, digest: bool, names: str) -> DataFrame:
     spark = docs.sparkSession
     common.bounded_batches(spark)
     # the literal maps would fill the driver with descriptions of plans
-    if int(spark.conf.get(PLAN_STRINGS)) > MOST_PLAN_STRING:
+    if int(spark.conf.get(PLAN_STRINGS).rstrip("b")) > MOST_PLAN_STRING:
         spark.conf.set(PLAN_STRINGS, str(MOST_PLAN_STRING))
     rows = docs.drop("text")
     src = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
