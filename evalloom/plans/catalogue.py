@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.functions import scalars, textops
-from evalloom.operators import constraints, labels, paired, resample, sequence, stats, strata
+from evalloom.functions import prompts, scalars, textops
+from evalloom.operators import constraints, labels, paired, records, resample, sequence, stats, strata
+from evalloom.plans import evaluate
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -432,3 +433,211 @@ def greedy_buckets(spark, d):
 @query("""SELECT i::BIGINT AS step, round(CASE WHEN i < 60 THEN i / 60.0::DOUBLE ELSE 0.1::DOUBLE + 0.9::DOUBLE * 0.5::DOUBLE * (1 + cos(pi() * least(1.0::DOUBLE, (i - 60) / 540.0::DOUBLE))) END, 6) AS multiplier FROM range(600) t(i)""")
 def learning_rate_schedule(spark, d):
     return spark.range(600).select(F.col("id").alias("step"), r6(sequence.warmup_cosine(F.col("id"), 600, 60, 0.1)).alias("multiplier"))
+
+
+# Text and tool operators on texts put together from the tables.
+
+
+@query("""SELECT p_partkey, (p_partkey % 3) * 1000000 + p_size * 1000 + p_partkey % 7 >= 1010000 AND (p_partkey % 3) * 1000000 + p_size * 1000 + p_partkey % 7 < 2005003 AS supported FROM part""")
+def version_ranges(spark, d):
+    text = F.concat(F.lit("tool v"), F.concat_ws(".", (F.col("p_partkey") % 3).cast("string"), F.col("p_size").cast("string"), (F.col("p_partkey") % 7).cast("string")), F.lit(" linux"))
+    return table(spark, d, "part").select("p_partkey", scalars.version_between(text, (1, 10, 0), (2, 5, 3)).alias("supported"))
+
+
+@query("""SELECT l_orderkey, 'check' || l_returnflag AS "check", l_partkey::BIGINT AS line, l_linenumber::BIGINT AS "column" FROM lineitem WHERE l_returnflag IN ('A', 'R')""")
+def tool_findings(spark, d):
+    li = table(spark, d, "lineitem")
+    text = F.format_string("# pkg\na/b.go:%d:%d: check%s: found\na/b.go:1:1: other: not asked\n", F.col("l_partkey").cast("long"), F.col("l_linenumber").cast("long"), F.col("l_returnflag"))
+    rows = li.select("l_orderkey", F.explode(scalars.findings(text, ["checkA", "checkR"])).alias("f"))
+    return rounded(rows.select("l_orderkey", "f.*"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'OK' WHEN contains(lower(text), 'http') OR contains(lower(text), 'copyright') THEN 'NA' ELSE 'FAIL' END AS status FROM documents""")
+def build_statuses(spark, d):
+    return table(spark, d, "documents").select("doc_id", scalars.build_status(F.col("doc_id") % 3 == 0, F.col("text"), ["http", "copyright"]).alias("status"))
+
+
+@query("""SELECT p_partkey, repeat('`', greatest(3, p_size % 6 + 1)) || 'go' || chr(10) || repeat('`', p_size % 6) || ' x ``' || chr(10) || repeat('`', greatest(3, p_size % 6 + 1)) AS fenced FROM part""")
+def fence_lengths(spark, d):
+    text = F.concat(F.repeat(F.lit("`"), (F.col("p_size") % 6).cast("int")), F.lit(" x ``"))
+    return table(spark, d, "part").select("p_partkey", scalars.fenced(text, "go").alias("fenced"))
+
+
+@query("""SELECT p_partkey, p_size % 3 <> 2 AS directive, CASE WHEN p_size % 2 = 0 THEN 'body ' || p_partkey ELSE 'no header ' || p_partkey END AS body FROM part""")
+def directives_headers(spark, d):
+    line = F.concat(F.lit("lint:ignore"), F.when(F.col("p_size") % 3 == 0, "").when(F.col("p_size") % 3 == 1, "\tall").otherwise("d"))
+    text = F.concat(F.when(F.col("p_size") % 2 == 0, "x <|assistant|> body ").otherwise(" no header "), F.col("p_partkey").cast("string"))
+    return table(spark, d, "part").select("p_partkey", scalars.is_directive(line, "lint:ignore").alias("directive"), scalars.after_header(text, "<|assistant|>").alias("body"))
+
+
+@query("""SELECT doc_id, md5(trim(regexp_replace(text, '[\\s\\x{0B}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g'))) AS text_md5 FROM documents""")
+def one_space(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(scalars.one_space(F.col("text"))).alias("text_md5"))
+
+
+@query("""SELECT o_orderkey, count(*)::BIGINT AS n, sum(l_quantity)::BIGINT AS total FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_returnflag = 'A' GROUP BY 1""")
+def map_prefix(spark, d):
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.concat_ws(":", "l_returnflag", F.uuid()).alias("k"), F.col("l_quantity").cast("long").alias("v"))
+    m = li.groupBy("o_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
+    mine = m.join(table(spark, d, "orders"), "o_orderkey", "left_semi").select("o_orderkey", scalars.entries_of(F.col("m"), "A").alias("m")).where(F.size("m") > 0)
+    return rounded(mine.select("o_orderkey", F.size("m").alias("n"), F.aggregate(F.map_values("m"), F.lit(0).cast("long"), lambda a, x: a + x).alias("total")))
+
+
+@query("""SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'file' WHEN 1 THEN 'decl' ELSE 'stmt' END AS strategy, md5(CASE p_size % 3 WHEN 0 THEN 'package q' || chr(10) || 'var x = ' || p_partkey
+WHEN 1 THEN 'package p' || chr(10) || chr(10) || 'var x = ' || p_partkey || chr(10)
+ELSE 'package p' || chr(10) || chr(10) || 'func _gocheck_body() {' || chr(10) || chr(9) || 'x := 1' || chr(10) || chr(9) || 'y := ' || p_partkey || chr(10) || '}' || chr(10) END) AS source_md5 FROM part""")
+def fixture_sources(spark, d):
+    k = F.col("p_partkey").cast("string")
+    code = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("package q\nvar x = "), k)).when(F.col("p_size") % 3 == 1, F.concat(F.lit("var x = "), k)).otherwise(F.concat(F.lit("x := 1 y := "), k))
+    got = table(spark, d, "part").select("p_partkey", textops.fixture(code).alias("f"))
+    return got.select("p_partkey", F.col("f.strategy").alias("strategy"), F.md5("f.source").alias("source_md5"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'fix part ' || p_partkey || ': ' || p_brand ELSE 'name ' || p_brand END AS prompt,
+length(CASE WHEN p_size % 2 = 0 THEN 'fix part ' || p_partkey || ': ' || p_brand ELSE 'name ' || p_brand END)::BIGINT AS prompt_len,
+(length(CASE WHEN p_size % 2 = 0 THEN 'fix part ' || p_partkey || ': ' || p_brand ELSE 'name ' || p_brand END) + length(p_brand))::BIGINT AS total_len FROM part""")
+def prompt_registry(spark, d):
+    p = table(spark, d, "part").withColumn("task", F.when(F.col("p_size") % 2 == 0, "fix").otherwise("name"))
+    text = prompts.by_task(F.col("task"), {"fix": "fix part {id}: {brand}", "name": "name {brand}"}, {"id": F.col("p_partkey"), "brand": F.col("p_brand")})
+    p = p.withColumn("prompt", text)
+    return p.select("p_partkey", "prompt", prompts.lengths(F.col("prompt"), F.col("p_brand"), F.length).alias("n")).select("p_partkey", "prompt", "n.*")
+
+
+# Integrity rules.
+
+
+@query("SELECT o_custkey FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderstatus) > 1")
+def uniform_values(spark, d):
+    return constraints.uniform(table(spark, d, "orders"), ["o_custkey"], "o_orderstatus").select("o_custkey")
+
+
+@query("SELECT p_partkey FROM part WHERE (p_size = 7) <> (p_size % 10 = 7)")
+def both_or_neither(spark, d):
+    p = table(spark, d, "part").select("p_partkey", F.expr("nullif(p_size, 7)").alias("a"), F.expr("nullif(p_size % 10, 7)").alias("b"))
+    return constraints.both_or_neither(p, "a", "b").select("p_partkey")
+
+
+@query("""SELECT * FROM (SELECT 'finished' AS rule, (count(*) FILTER (o_orderstatus = 'F'))::BIGINT AS found, 10::BIGINT AS expected FROM orders UNION ALL SELECT 'odd', (count(*) FILTER (o_orderstatus = 'X'))::BIGINT, 0 FROM orders) WHERE found <> expected""")
+def cardinalities(spark, d):
+    return constraints.cardinalities(table(spark, d, "orders"), {"finished": (F.col("o_orderstatus") == "F", 10), "odd": (F.col("o_orderstatus") == "X", 0)})
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber <= 3")
+def finite_guard(spark, d):
+    odd = F.when(F.col("l_linenumber") == 1, float("nan")).when(F.col("l_linenumber") == 2, float("inf")).when(F.col("l_linenumber") > 3, F.col("l_tax"))
+    return table(spark, d, "lineitem").where(~constraints.finite(odd)).select("l_orderkey", "l_linenumber")
+
+
+@query("""SELECT coalesce(a.k, b.k) AS o_orderkey, CASE WHEN b.k IS NULL THEN 'missing right' WHEN a.k IS NULL THEN 'missing left' ELSE 'different' END AS problem
+FROM (SELECT o_orderkey AS k, o_orderstatus AS s FROM orders WHERE o_totalprice < 200000) a FULL JOIN (SELECT o_orderkey AS k, CASE WHEN o_orderpriority LIKE '1%' THEN 'X' ELSE o_orderstatus END AS s FROM orders WHERE o_totalprice > 50000) b ON a.k = b.k
+WHERE a.k IS NULL OR b.k IS NULL OR a.s <> b.s""")
+def join_agreement(spark, d):
+    o = table(spark, d, "orders")
+    right = o.where("o_totalprice > 50000").select("o_orderkey", F.when(F.col("o_orderpriority").startswith("1"), "X").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"))
+    return constraints.mismatches(o.where("o_totalprice < 200000").select("o_orderkey", "o_orderstatus"), right, ["o_orderkey"], ["o_orderstatus"])
+
+
+@query("SELECT l_orderkey, l_linenumber, l_linenumber / 2.0::DOUBLE AS value FROM lineitem WHERE l_linenumber <> 2")
+def binary_guard(spark, d):
+    li = table(spark, d, "lineitem").withColumn("value", F.col("l_linenumber") / 2.0)
+    return rounded(records.not_binary(li, ["l_orderkey", "l_linenumber"], "value"))
+
+
+@query("SELECT p_partkey AS k, 'small' AS side FROM part WHERE p_size < 20 UNION ALL SELECT p_partkey, 'large' FROM part WHERE p_size >= 20")
+def disjoint_union(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("k"), "p_size")
+    return records.disjoint_union([p.where("p_size < 20").select("k", F.lit("small").alias("side")), p.where("p_size >= 20").select("k", F.lit("large").alias("side"))], ["k"])
+
+
+# Records: partners, positions, steps, totals.
+
+
+@query(f"""WITH {_cells_sql()} SELECT a.u AS l_partkey, a.s AS l_linestatus, round(a.v, 6) AS outcome, round(b.v, 6) AS partner_outcome FROM c a LEFT JOIN c b ON a.u = b.u AND a.s = b.s AND b.f = 'N' WHERE a.f = 'A'""")
+def partner_lookup(spark, d):
+    c = cells(spark, d)
+    mine, other = (c.where(F.col("l_returnflag") == f).drop("l_returnflag") for f in "AN")
+    return rounded(records.partner(mine, other, ["l_partkey", "l_linestatus"], ["outcome"]))
+
+
+@query(_SETS + """, k AS (SELECT user_id, d, row_number() OVER (PARTITION BY user_id, d ORDER BY t) AS i, t FROM s)
+SELECT user_id, d::VARCHAR AS day, t AS first, upper(t) AS second FROM k""")
+def positional_zip(spark, d):
+    s = table(spark, d, "events").groupBy("user_id", F.to_date("ts").cast("string").alias("day")).agg(F.sort_array(F.collect_set("event_type")).alias("a"))
+    pairs = records.zipped(F.col("a"), F.transform("a", F.upper))
+    return s.select("user_id", "day", F.explode(pairs).alias("z")).select("user_id", "day", "z.*")
+
+
+@query(_SETS + """, gs AS (SELECT user_id, d, list(t) AS l FROM g GROUP BY 1, 2), qs AS (SELECT user_id, d, list(t) AS l FROM q GROUP BY 1, 2)
+SELECT user_id, d::VARCHAR AS day, array_to_string(list_sort(qs.l), ',') AS found FROM gs JOIN qs USING (user_id, d)""")
+def detected_sets(spark, d):
+    s = label_sets(spark, d)
+    got = records.detected(F.col("gold"), F.array_except("gold", "pred"), F.array_except("pred", "gold"))
+    return s.select("user_id", F.col("day").cast("string").alias("day"), F.array_join(got, ",").alias("found"))
+
+
+@query("""WITH c AS (SELECT l_returnflag, l_linestatus, l_linenumber, count(*) FILTER (l_quantity > 40) AS h, count(*) AS n FROM lineitem GROUP BY 1, 2, 3),
+r AS (SELECT *, h * 100.0::DOUBLE / n AS p, row_number() OVER (PARTITION BY l_returnflag ORDER BY h DESC, h * 100.0::DOUBLE / n DESC) AS k FROM c) SELECT l_returnflag, h::BIGINT AS count, round(p, 6) AS percent FROM r WHERE k = 1""")
+def greatest_cell(spark, d):
+    return rounded(records.greatest_cell(table(spark, d, "lineitem"), ["l_returnflag"], ["l_linestatus", "l_linenumber"], F.col("l_quantity") > 40))
+
+
+@query("""WITH m AS (SELECT l_returnflag AS f, l_linenumber AS s, sum(l_quantity)::DOUBLE AS v FROM lineitem GROUP BY 1, 2), z AS (SELECT a.f, (a.v - b.v) * 100 / b.v AS x FROM m a JOIN m b ON a.s = b.s AND b.f = 'A' WHERE a.f <> 'A')
+SELECT f AS l_returnflag, round(min(x), 6) AS low, round(max(x), 6) AS high, round(max(abs(x)), 6) AS most FROM z GROUP BY 1""")
+def repeat_deviation(spark, d):
+    m = table(spark, d, "lineitem").groupBy("l_returnflag", "l_linenumber").agg(F.sum("l_quantity").cast("double").alias("v"))
+    return rounded(records.repeat_deviation(m, "l_returnflag", "l_linenumber", "v", "A"))
+
+
+@query("""WITH n AS (SELECT l_orderkey, l_suppkey % 3 AS step, count(*) AS n FROM lineitem GROUP BY 1, 2)
+SELECT l_orderkey, step::BIGINT AS step, n::BIGINT AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY n DESC, step) = 1 AS usual, count(*) OVER (PARTITION BY l_orderkey) = 2 AS one_alternate FROM n""")
+def step_histogram(spark, d):
+    return rounded(records.step_histogram(table(spark, d, "lineitem").withColumn("step", F.col("l_suppkey") % 3), ["l_orderkey"], "step"))
+
+
+@query("SELECT o_orderkey, round(sum(o_totalprice) OVER w, 2) AS total, count(*) OVER w AS steps FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)")
+def running_totals(spark, d):
+    o = table(spark, d, "orders").withColumn("step", F.lit(1).cast("long"))
+    got = records.running_totals(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], ["o_totalprice", "step"])
+    return got.select("o_orderkey", F.round("total_o_totalprice", 2).alias("total"), F.col("total_step").alias("steps"))
+
+
+@query("""WITH e AS (SELECT l_orderkey, l_linenumber AS place, 1 AS late, 'node ' || l_partkey AS t FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 0, 'comment ' || l_suppkey FROM lineitem WHERE l_returnflag = 'R')
+SELECT l_orderkey, string_agg(t, ';' ORDER BY place, late, t) AS merged FROM e GROUP BY 1""")
+def merged_by_place(spark, d):
+    one = lambda text: F.struct(F.col("l_linenumber").alias("at"), text.alias("text"))
+    node, comment = one(F.concat(F.lit("node "), F.col("l_partkey").cast("string"))), one(F.concat(F.lit("comment "), F.col("l_suppkey").cast("string")))
+    g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(node)).alias("n"), F.sort_array(F.collect_list(F.when(F.col("l_returnflag") == "R", comment))).alias("c"))
+    return g.select("l_orderkey", F.array_join(records.merged_by_place(F.col("n"), F.col("c")), ";").alias("merged"))
+
+
+@query("""SELECT l_returnflag, CASE l_returnflag WHEN 'R' THEN 'returned' WHEN 'A' THEN 'accepted' ELSE 'none' END AS name, (CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END)::BIGINT AS ordinal, count(*)::BIGINT AS n FROM lineitem GROUP BY 1""")
+def declared_order(spark, d):
+    n = table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"))
+    return records.named(n, "l_returnflag", {"R": "returned", "A": "accepted", "N": "none"})
+
+
+@query("""SELECT i::BIGINT AS draw, ('0x' || substr(md5('42:' || i), 1, 12))::BIGINT % (SELECT count(*) FROM part) AS place FROM range(1000) t(i)""")
+def seeded_draw(spark, d):
+    n = table(spark, d, "part").count()
+    return spark.range(1000).select(F.col("id").alias("draw"), records.drawn(n, 42, F.col("id")).alias("place"))
+
+
+@query("""WITH v AS (SELECT l_orderkey, l_linenumber, l_quantity * l_extendedprice AS v FROM lineitem) SELECT l_orderkey, l_linenumber, round(round_even(v / pow(10.0::DOUBLE, floor(log10(v)) - 1), 0) * pow(10.0::DOUBLE, floor(log10(v)) - 1), 6) AS rounded FROM v""")
+def two_digits(spark, d):
+    v = (F.col("l_quantity") * F.col("l_extendedprice")).cast("double")
+    return rounded(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", stats.two_significant(v).alias("rounded")))
+
+
+@query("""SELECT doc_id FROM labels WHERE quality = 0 UNION SELECT doc_id FROM labels WHERE toxic = 1""")
+def exclusion_ids(spark, d):
+    lab = table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.lit("test").alias("split"), "quality", "toxic")
+    adjudged = lab.select("id", "split", F.when(F.col("toxic") == 1, "exclude").otherwise("keep").alias("resolution"))
+    return evaluate.exclusions(lab.where("quality = 0"), adjudged, "test").withColumnRenamed("id", "doc_id")
+
+
+@query("""SELECT doc_id, quality FROM labels WHERE quality = 1 AND toxic = 0""")
+def selected_population(spark, d):
+    lab = table(spark, d, "labels")
+    bad = lab.where("quality = 0 or toxic = 1").select(F.col("doc_id").alias("id"))
+    ids = evaluate.without(lab.select("doc_id"), bad, "doc_id").select(F.col("doc_id").alias("id"))
+    return rounded(evaluate.selected(lab.select("doc_id", "quality"), ids, "doc_id"))

@@ -1,4 +1,4 @@
-"""Record ingestion as a stream: the line scan of the batch readers, one micro-batch at a time."""
+"""Record ingestion as a stream of typed JSON lines. The strict rules (repeated keys, unknown fields) are the batch readers' alone."""
 
 from __future__ import annotations
 
