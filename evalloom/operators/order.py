@@ -5,17 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Range buckets of a group.
-BUCKETS = 256
+#: Range buckets of a group, and the rows that a bucket may hold before it is split.
+BUCKETS, MOST_ROWS = 256, 1 << 18
 
 
-def _bucketed(df: DataFrame, by: list[str], value: str, buckets: int) -> DataFrame:
-    """Adds ``_b``, a bucket that grows with ``value`` within its group."""
+def _bucketed(df: DataFrame, by: list[str], value: str, buckets: int, most: int = MOST_ROWS) -> DataFrame:
+    """Adds ``_b``, a bucket that grows with ``value`` within its group.
+
+    Buckets have equal widths; one with more than ``most`` rows is split between its own extremes into as many as its
+    rows ask for, so neither an outlier nor a larger table makes the window of one bucket grow without bound. Rows of
+    one value stay together.
+    """
     ends = df.groupBy(*by).agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))
     joined = df.join(ends, by) if by else df.crossJoin(F.broadcast(ends))  # one row of extremes
-    width = F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-300))
-    at = F.floor((F.col(value).cast("double") - F.col("_lo")) / width * (buckets - 1))
-    return joined.withColumn("_b", at.cast("int")).drop("_lo", "_hi")
+
+    def place(n: Column) -> Column:
+        width = F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-300))
+        return F.floor((F.col(value).cast("double") - F.col("_lo")) / width * n)
+
+    rows = joined.withColumn("_b", place(F.lit(buckets - 1)).cast("int")).drop("_lo", "_hi")
+    held = rows.groupBy(*by, "_b").agg(F.count("*").alias("_n"), F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))
+    held = held.where(F.col("_n") > most)
+    split = rows.join(held, [*by, "_b"], "left")
+    inner = F.when(F.col("_n").isNull(), F.lit(0)).otherwise(place(F.ceil(F.col("_n") / most) * 2))
+    return split.withColumn("_b", F.shiftleft(F.col("_b").cast("long"), 32) + inner).drop("_n", "_lo", "_hi")
 
 
 def running_total(df: DataFrame, by: list[str], value: str, weight: Column, out: str, ties: list[Column] | None = None, buckets: int = BUCKETS) -> DataFrame:

@@ -162,3 +162,17 @@ def test_mixed_model_finds_the_interaction(spark):
     df = spark.createDataFrame(rows, "u int, c int, t int, y int")
     got = mixed.interaction(df, "u", "c", "t", "y", (0, 1), (0, 1))
     assert got["low"] < 1.0 < got["high"] and 0.4 < got["intercept_sd"] < 1.2
+
+
+def test_an_outlier_does_not_put_all_rows_in_one_bucket(spark):
+    from evalloom.operators import order
+
+    df = spark.range(4000).select(F.when(F.col("id") == 0, 1e12).otherwise(F.col("id").cast("double")).alias("v"), (F.col("id") % 2).alias("g"))
+    for by in ([], ["g"]):
+        got = order._bucketed(df, by, "v", 16, 100)
+        assert got.count() == 4000
+        assert max(r["count"] for r in got.groupBy(*by, "_b").count().collect()) <= 200
+        lows = got.groupBy(*by, "_b").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy(*by, "_b").collect()
+        assert all(a.hi < b.lo for a, b in zip(lows, lows[1:]) if not by or a.g == b.g)
+    at = {r.v: r.pos for r in order.positions(df, "v", []).collect()}
+    assert at[1e12] == 3999 and at[1.0] == 0 and at[2500.0] == 2499
