@@ -2,7 +2,7 @@
 
 * Lexicon: terms of all of the training fold's labelled texts (equal texts count once) whose document counts by label
   pass a log-likelihood ratio test; of these, terms are taken greedily while they explain toxic documents that no earlier term
-  explains, so words that merely share documents with a toxic term stay out.
+  explains (``cover``, by rounds of counts over all toxic texts, which stay on the executors), so words that merely share documents with a toxic term stay out.
 * Matching: the trie of the lexicon runs together with the Levenshtein automaton of its terms (one edit from four
   letters, two from nine). The product is determinised lazily: a word costs one dictionary step a letter, and dies
   early. Words that training saw in clean documents on their own are no misspellings.
@@ -18,7 +18,7 @@ doc_id, text and the label are read.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Callable, Iterator
 from math import log
 
@@ -179,6 +179,35 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([c[t] for t in terms], pa.int64()) for c in (by[1], by[0]))], ["term", "n1", "n0"])
 
 
+def cover(held: DataFrame, enough: Callable[[np.ndarray], np.ndarray], terms: int) -> np.ndarray:
+    """Which of the ranked ``terms`` a greedy cover takes: term after term, each one that ``enough`` finds to hold enough fresh documents.
+
+    ``held(at, n)``: increasing ranks of the terms of n documents. Fresh documents of a term hold none taken before it.
+    A round counts them by the terms that the last round took, beginning with all. Its first k terms are right after k
+    rounds, and a round that changes nothing has found the cover; what comes to the driver is one count a term.
+    """
+    taken = np.ones(terms, bool)
+    while True:
+        known = taken
+
+        def credited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                fresh: Counter = Counter()
+                for at, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    for t in at:
+                        fresh[t] += n
+                        if known[t]:
+                            break
+                yield pa.RecordBatch.from_arrays([pa.array(list(fresh), pa.int32()), pa.array(list(fresh.values()), pa.int64())], ["t", "n"])
+
+        fresh = np.zeros(terms, np.int64)
+        for r in held.mapInArrow(credited, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect():
+            fresh[r["t"]] = r["n"]
+        taken = enough(fresh)
+        if (taken == known).all():
+            return taken
+
+
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple | None:
     """(lexicon with counts, usual words near it, additive model), or None without training rows."""
     common.bounded_batches(docs.sparkSession)
@@ -196,21 +225,17 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple | N
         raise RuntimeError(f"more than {MOST_CANDIDATES} candidate terms")
     strong = {r["term"]: (r["n1"], r["n0"]) for r in strong.collect()}
 
+    ranked = sorted(strong, key=lambda t: (-evidence(*strong[t], rate), t))
+    rank = {t: i for i, t in enumerate(ranked)}
+
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([sorted(strong.keys() & set(tokens(t))) for t in common.texts(b.column(0))], pa.list_(pa.string()))], ["terms"])
-
-    holders = defaultdict(set)
-    toxic = sorted(tuple(r["terms"]) for r in rows.where("y >= 0.5").select("text").mapInArrow(found, "terms array<string>").collect())
-    for d, terms in enumerate(toxic):
-        for t in terms:
-            holders[t].add(d)
-    lexicon, explained = {}, set()
-    for t in sorted(strong, key=lambda t: (-evidence(*strong[t], rate), t)):
-        fresh = len(holders[t] - explained)
-        if fresh >= 2 and evidence(fresh, strong[t][1], rate) >= NOVEL:
-            lexicon[t] = strong[t]
-            explained |= holders[t]
+            yield pa.RecordBatch.from_arrays([pa.array([sorted(rank[t] for t in rank.keys() & set(tokens(t_))) for t_ in common.texts(b.column(0))], pa.list_(pa.int32()))], ["at"])
+
+    held = rows.where("y >= 0.5").select("text").mapInArrow(found, "at array<int>").where(F.size("at") > 0)
+    held = common.saved(held.groupBy("at").agg(F.count("*").alias("n")), "toxic-held")
+    enough = lambda fresh: np.array([n >= 2 and evidence(n, strong[t][1], rate) >= NOVEL for t, n in zip(ranked, fresh.tolist())], bool)
+    lexicon = {ranked[i]: strong[ranked[i]] for i in np.flatnonzero(cover(held, enough, len(ranked))).tolist()}
     # words within an edit of a term that clean documents use: no misspellings. Only words near a term come back.
     near = TermAutomaton(sorted(lexicon))
 

@@ -85,3 +85,21 @@ def test_own_label_is_left_out_of_exact_hits_only():
 def test_empty(spark):
     docs, labels = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.learn(docs, labels) is None and toxicity.accepted(docs, labels).count() == 0
+
+
+def test_cover_is_greedy(spark):
+    r = random.Random(4)
+    terms, rows = 120, []
+    for _ in range(900):
+        rows.append((sorted({min(terms - 1, int(r.expovariate(0.05))) for _ in range(r.randint(1, 9))}), r.randint(1, 3)))
+    # a chain, in which each term's fate hangs on the one before it
+    rows += [([i, i + 1], 40) for i in range(90, 110)]
+    want, explained = np.zeros(terms, bool), set()
+    for t in range(terms):
+        holds = {d for d, (at, _) in enumerate(rows) if t in at}
+        want[t] = sum(rows[d][1] for d in holds - explained) >= 30
+        if want[t]:
+            explained |= holds
+    held = spark.createDataFrame(rows, "at array<int>, n long")
+    assert (toxicity.cover(held, lambda fresh: fresh >= 30, terms) == want).all() and 0 < want.sum() < terms
+    assert toxicity.cover(held.limit(0), lambda fresh: fresh >= 30, 0).size == 0
