@@ -1,11 +1,12 @@
 """Quality classifier: a pairwise additive model (``gam``) over counts of the whole text.
 
 Features are numpy sums over each text's bytes, words and lines. Labels are learned from rows of the training fold
-only, at most about ``TRAIN_ROWS`` of them (the rows of smallest hashed id); the model is a few lookup tables.
+only, from at most about ``TRAIN_ROWS`` ids (those of smallest hash) and ``PER_ID`` texts of each, so that neither
+repeated ids nor repeated rows make the sample grow; the model is a few lookup tables.
 
 Defined cases: null and empty texts have all-zero features and get the model's score for these; null labels are not
-learned from; a document with several label rows counts with each; without any training row every score is 0.5;
-repeated rows get equal scores; an empty table gives an empty result. Only doc_id, text and the label are read.
+learned from; an id with several label rows counts once, with the greatest of its labels; rows of one id and text
+count once; without any training row every score is 0.5; repeated rows get equal scores; an empty table gives an empty result. Only doc_id, text and the label are read.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from evalloom.llm.gam import PairwiseGam
 
 #: Bound of the sample of labelled rows that the model is fitted on.
 TRAIN_ROWS = 40_000
+#: Texts of one id in the sample, about.
+PER_ID = 4
 THRESHOLD = 0.5
 
 _CLASSES = (b"|", b"!", b"?", b".", b",", b"\n", b"#$%&*@^~=+<>{}[]\\_", b"\"'()-:;/")
@@ -72,8 +75,12 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int | None = TRAIN_ROWS) -> DataFrame:
-    """``(text, y)`` of the training fold's labelled rows, thinned by hashed id to about ``most`` (text columns stay whole); all if None."""
+    """``(text, y)`` of the training fold's labelled rows, one label an id; all rows if ``most`` is None.
+
+    Else from about ``most`` ids by their hash, at most about ``PER_ID`` texts of each by theirs; texts stay whole.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("double").alias("y")).where("_id is not null and y is not null").where(common.remainder("_id", 3) != 1)
+    known = known.groupBy("_id").agg(F.max("y").alias("y"))
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
     if most is None:
         # labels grow with the documents: no broadcast at any size; texts of the other fold don't move
@@ -81,8 +88,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int | No
     n = known.count()
     if n > most:
         known = known.where(F.pmod(F.xxhash64(F.lit(9), "_id"), F.lit(1 << 40)) < int(most / n * (1 << 40)))
-    # at most about TRAIN_ROWS ids: a bounded side
-    return rows.join(F.broadcast(known), "_id").select("text", "y")
+    # at most about TRAIN_ROWS ids: a bounded side, as are the ids of many rows among them
+    sampled = rows.join(F.broadcast(known), "_id")
+    many = sampled.groupBy("_id").agg(F.approx_count_distinct(F.xxhash64("text")).alias("_n")).where(F.col("_n") > PER_ID)
+    kept = F.pmod(F.xxhash64(F.lit(10), "text"), F.lit(1 << 40)) < F.lit(float(PER_ID << 40)) / F.col("_n")
+    texts = sampled.join(F.broadcast(many), "_id", "left").where(F.col("_n").isNull() | kept)
+    return texts.groupBy("_id", "text").agg(F.max("y").alias("y")).select("text", "y")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> PairwiseGam | None:

@@ -54,3 +54,14 @@ def test_interactions_are_learned():
     y = ((x[:, 0] > 0.5) ^ (x[:, 2] > 0.5)).astype(float)
     m = PairwiseGam().fit(x, y)
     assert (0, 2) in m.pairs and np.mean((m.score(x) > 0.5) == y) > 0.9
+
+
+def test_sample_of_repeated_ids(spark):
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(i, f"text {i}") for i in ids] + [(ids[0], f"other {k}") for k in range(3000)] + [(ids[1], f"text {ids[1]}")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k) for i in ids for k in (0, 1, None)] + [(None, 1)], "doc_id long, quality int")
+    got = quality.training_rows(docs, labels, "quality").collect()
+    assert {x.y for x in got} == {1.0} and len({x.text for x in got}) == len(got)
+    some = [x.text for x in got if x.text.startswith("other") or x.text == f"text {ids[0]}"]
+    assert len(some) < 30 and sorted(x.text for x in got if x.text not in some) == sorted(f"text {i}" for i in ids[1:])
