@@ -2,7 +2,9 @@
 
 Whole texts are cut into windows of ``WINDOW`` bytes; the network labels every position from both sides, and a
 document's probability of a language is the mean over all its letter positions. The network is trained on windows from
-at most about ``PER_LANGUAGE`` training documents of each language, ``WINDOWS`` from each, spread over the whole text.
+at most about ``PER_LANGUAGE`` distinct training documents of each language and ``IN_ALL`` of all, ``WINDOWS`` from each,
+spread over the whole text. It learns the ``LANGUAGES`` languages of most training documents (then by name), so stray
+values of lang make neither the sample nor the network grow.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; a null lang is not learned from; without
 training rows every text is ``und``; repeated rows get equal answers; an empty table gives an empty result. Only
@@ -22,7 +24,7 @@ from evalloom.llm import common
 from evalloom.llm.bigru import WINDOW, BiGru
 
 #: Bounds of the training sample.
-PER_LANGUAGE, WINDOWS = 1500, 4
+PER_LANGUAGE, IN_ALL, LANGUAGES, WINDOWS = 1500, 48_000, 256, 4
 #: Windows that run side by side.
 BESIDE = 2048
 
@@ -57,12 +59,14 @@ def learn(docs: DataFrame) -> tuple[list[str], BiGru] | None:
     common.bounded_batches(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     src = src.where(F.col("lang").isNotNull() & (common.remainder("doc_id", 3) != 1))
-    counts = {r["lang"]: r["n"] for r in src.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = src.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("doc_id", "text")).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return None
-    most = 1 << 40
-    share = F.element_at(F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(most, int(PER_LANGUAGE / n * most))))]), F.col("lang"))
-    got = src.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(most)) < share).select("text", "lang").mapInArrow(_sampled, "w binary, lang string").toArrow()
+    most, each = 1 << 40, min(PER_LANGUAGE, IN_ALL // len(counts))
+    share = docs.sparkSession.createDataFrame([(r["lang"], min(most, int(each / r["n"] * most))) for r in counts], "lang string, share long")
+    # the text counts too: rows of one id are thinned like others, and repeated rows are one
+    thin = src.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64(F.lit(5), "doc_id", "text"), F.lit(most)) < F.col("share"))
+    got = thin.groupBy("lang", "doc_id", "text").agg(F.lit(1)).select("text", "lang").mapInArrow(_sampled, "w binary, lang string").toArrow()
     pairs = sorted(zip(got["lang"].to_pylist(), got["w"].to_pylist()))
     if not pairs:
         return None

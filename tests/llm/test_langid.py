@@ -54,3 +54,20 @@ def test_held_out(spark, tmp_path):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert langid.learn(docs) is None and langid.predicted(docs, None).count() == 0
+
+
+def test_stray_languages_and_repeats_keep_the_sample_bounded(spark, monkeypatch):
+    seen = {}
+
+    def fit(self, x, y):
+        seen["windows"], seen["languages"] = len(x), len(set(y.tolist()))
+        return self
+
+    monkeypatch.setattr(langid.BiGru, "fit", fit)
+    monkeypatch.setattr(langid, "PER_LANGUAGE", 50)
+    monkeypatch.setattr(langid, "IN_ALL", 90)
+    monkeypatch.setattr(langid, "LANGUAGES", 3)
+    rows = [(i, f"word{i}", k) for i in range(900) for k in ("aa", "bb")]
+    rows += [(i, f"stray{i}", f"x{i}") for i in range(300)] + [(7, "again and again", "cc")] * 500 + [(None, f"null {i}", "cc") for i in range(500)]
+    names, _ = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert names == ["aa", "bb", "cc"] and seen["languages"] == 3 and 30 <= seen["windows"] <= 180
