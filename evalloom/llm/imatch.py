@@ -2,8 +2,9 @@
 
 The lexicon holds the terms (words, A-Z lower-cased) whose document frequency lies in a band: at least ``RAREST`` and at
 most ``COMMONEST`` of all documents, counted over all of them. A term needs ``RAREST * N`` documents, so the lexicon has
-at most (mean distinct terms of a document) / ``RAREST`` entries at any corpus size; that bound is what makes it fit a
-broadcast, and it is checked against the size collected. Each of ``SUBSETS`` keyed random subsets keeps a fixed share of
+at most (mean distinct terms of a document) / ``RAREST`` entries at any corpus size; that is what makes it fit a
+broadcast. Documents of very many or very long terms could still make it large, so the bytes of its terms are counted
+before they are collected, and more than ``LEXICON_BYTES`` of them raise an error. Each of ``SUBSETS`` keyed random subsets keeps a fixed share of
 the lexicon, from 1/8 to 1/4096. A document's distinct band terms in a subset, sorted, are hashed: one part of the
 fingerprint per subset (24 bits, 6 hex digits; no term: zeros). Thin subsets survive edits, thick ones tell texts apart.
 
@@ -33,6 +34,8 @@ RAREST, COMMONEST = 1 / 2000, 1 / 5
 RATES = tuple(2.0**-p for p in range(3, 13) for _ in range(4))
 SUBSETS = len(RATES)
 SEED = 77
+#: Most bytes of the lexicon's terms, each counted with ``TERM_BYTES`` more.
+LEXICON_BYTES, TERM_BYTES = 1 << 29, 64
 #: Text bytes per range of the order, and most ranges.
 RANGE_BYTES, MOST_RANGES = 4 << 20, 1 << 13
 
@@ -58,10 +61,10 @@ def lexicon(docs: DataFrame, text: str = "text", rarest: float = RAREST, commone
         return [], 0, 0
     n = all_["n"]
     band = df.where((F.octet_length("term") > 0) & (F.col("n") >= max(1.0, rarest * n)) & (F.col("n") <= max(1.0, commonest * n)))
-    held = df.where(F.octet_length("term") > 0).agg(F.sum("n").alias("s")).first()["s"] or 0
+    held = band.agg(F.sum(F.octet_length("term") + TERM_BYTES).alias("b")).first()["b"] or 0
+    if held > LEXICON_BYTES:
+        raise RuntimeError(f"the lexicon takes {held} bytes, more than its bound of {LEXICON_BYTES}")
     terms = sorted(bytes(t) for t in band.select("term").toArrow()["term"].to_pylist())
-    if len(terms) > held / max(1.0, rarest * n):
-        raise RuntimeError("the lexicon exceeds its bound")
     return terms, n, all_["size"]
 
 

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import pytest
+
 from evalloom.llm import imatch
 
 
@@ -44,3 +46,11 @@ def test_small_tables(spark, tmp_path):
     spark.createDataFrame([(None, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/n/documents.parquet")
     got = imatch.op10_imatch_fingerprints(spark, f"{tmp_path}/n").collect()
     assert len(got) == 1 and got[0].n_chars == 0
+
+
+def test_lexicon_over_its_bound_is_refused(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"term{i} {'x' * 300}{i % 50}") for i in range(100)], "doc_id long, text string")
+    assert len(imatch.lexicon(docs)[0]) == 150
+    monkeypatch.setattr(imatch, "LEXICON_BYTES", 10_000)
+    with pytest.raises(RuntimeError, match="bound"):
+        imatch.lexicon(docs)
