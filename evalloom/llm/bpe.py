@@ -3,8 +3,10 @@
 * Pieces: the pattern cuts each text in the JVM (``\\s`` takes Unicode white space, as the tokenizer's own regex does).
 * Merges: ``merge`` folds over the bytes of a piece. Its state is an array of parts, each with the rank of its merge
   with the next one; every step joins the leftmost pair of least rank, as the rank files define it. Ranks come from
-  literal maps, hashed into small buckets, since a map look-up in Spark scans its keys. Bytes travel as ISO-8859-1
-  strings, one character a byte.
+  literal maps, hashed into small buckets, since a map look-up in Spark scans its keys. The maps are an inline table of
+  one row that every range of pieces is joined with, a broadcast of the vocabulary's size: as literals within the fold
+  they would be written out in each description of the plan that the driver keeps. Bytes travel as ISO-8859-1 strings,
+  one character a byte.
 * Distinct pieces: documents are cut into blocks, one row each, with their distinct pieces in the order of their hashes.
   Blocks send these, by ranges of hashes, to where each distinct piece of the corpus is folded once, and get the ids
   back the same way. Nothing passes through the driver or is broadcast, whatever the corpus holds; a frequent piece
@@ -40,7 +42,6 @@ BUCKETS, PAIR_BUCKETS = 1 << 13, 1 << 14
 #: Text of a block, and text for each range of hashes (bytes).
 BLOCK_BYTES, PART_BYTES = 8 << 20, 8 << 20
 LONG_PIECE = 256
-PLAN_STRINGS, MOST_PLAN_STRING = "spark.sql.maxPlanStringLength", 1 << 16
 #: Bits of a rank and of a place in a state; NO_RANK: two parts don't merge.
 WIDTH = 20
 NO_RANK = (1 << WIDTH) - 1
@@ -65,19 +66,19 @@ def pattern() -> str:
     return "(?U)" + public_tokenizers.PATTERN
 
 
-def _rank_map(path: str) -> Column:
-    """The rank map as one literal: ranks by the hash of their piece. Spark folds the constant."""
+def _rank_map(path: str) -> list[dict]:
+    """The rank map: ranks by the hash of their piece."""
     from xxhash import xxh64_intdigest
 
     maps: list[dict] = [{} for _ in range(BUCKETS)]
     for piece, r in ranks(path).items():
         p = piece.decode("latin-1")
         maps[xxh64_intdigest(p.encode(), 42) % BUCKETS][p] = r
-    return F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
+    return maps
 
 
-def _pair_map(path: str) -> Column:
-    """What two ranks merge into, as one literal: keys ``left << WIDTH | right`` and their ranks by the hash of the key."""
+def _pair_map(path: str) -> list[dict]:
+    """What two ranks merge into: keys ``left << WIDTH | right`` and their ranks by the hash of the key."""
     from xxhash import xxh64_intdigest
 
     table = ranks(path)
@@ -90,7 +91,14 @@ def _pair_map(path: str) -> Column:
                 bucket = buckets[xxh64_intdigest(key.to_bytes(8, "little"), 42) % PAIR_BUCKETS]
                 bucket["k"].append(key)
                 bucket["v"].append(r)
-    return F.from_json(F.lit(json.dumps(buckets)), "array<struct<k:array<bigint>,v:array<int>>>")
+    return buckets
+
+
+def maps(spark: SparkSession, path: str) -> DataFrame:
+    """One row ``(t, p)``, inline: the rank map and the map of pairs."""
+    whole = pa.array([[list(m.items()) for m in _rank_map(path)]], pa.list_(pa.map_(pa.string(), pa.int32())))
+    pairs = pa.array([_pair_map(path)], pa.list_(pa.struct([("k", pa.list_(pa.int64())), ("v", pa.list_(pa.int32()))])))
+    return spark.createDataFrame(pa.table([whole, pairs], names=["t", "p"]))
 
 
 def _rank(table: Column, piece: Column) -> Column:
@@ -351,9 +359,6 @@ def _encoded(docs: DataFrame, path: str, digest: bool, names: str) -> DataFrame:
     """Rows of ``docs`` (all columns but text) with their ids or their digests, as ``names`` add to the schema."""
     spark = docs.sparkSession
     common.bounded_batches(spark)
-    # the literal maps would fill the driver with descriptions of plans
-    if int(spark.conf.get(PLAN_STRINGS).rstrip("b")) > MOST_PLAN_STRING:
-        spark.conf.set(PLAN_STRINGS, str(MOST_PLAN_STRING))
     rows = docs.drop("text")
     src = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     cut = src.select(*rows.columns, F.regexp_extract_all("text", F.lit(pattern()), F.lit(0)).alias("_pieces"))
@@ -368,8 +373,9 @@ def _encoded(docs: DataFrame, path: str, digest: bool, names: str) -> DataFrame:
     held = cut.mapInArrow(_cut(limit), BLOCK.format(rows=f"array<{rows.schema.simpleString()}>"))
     sent = cut.mapInArrow(send, "part int, block long, mark long, sizes binary, pieces binary").repartition(parts, "part")
     found = sent.groupBy("part").applyInArrow(_distinct(path), DISTINCT)
-    tables = F.struct(_rank_map(path).alias("t"), _pair_map(path).alias("p"))
-    folded = _let(tables, lambda t: F.transform("pieces", lambda p: F.when(p["ids"].isNotNull(), p["ids"]).otherwise(merge(t["t"], t["p"], p["piece"]))))
+    # one row of a fixed size; a key, since each range meets it once
+    found = found.join(F.broadcast(maps(spark, path).withColumn("_k", F.size("t") * 0)), F.col("part") * 0 == F.col("_k"))
+    folded = F.transform("pieces", lambda p: F.when(p["ids"].isNotNull(), p["ids"]).otherwise(merge(F.col("t"), F.col("p"), p["piece"])))
 
     def answer(ids: Column) -> Column:
         def each(b: Column) -> Column:
