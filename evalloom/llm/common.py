@@ -111,6 +111,18 @@ def bucketed(df: DataFrame, key: str, buckets: int, tag: str) -> DataFrame:
     return spark.table(name)
 
 
+def finite(vector: Column) -> Column:
+    """Whether a vector has components, none of them null, NaN or infinite (never null)."""
+    return F.coalesce((F.size(vector) > 0) & F.forall(vector, lambda c: F.coalesce(F.abs(c) < F.lit(float("inf")), F.lit(False))), F.lit(False))
+
+
+def matrix(column: pa.Array | pa.ChunkedArray, kind: type = np.float64) -> np.ndarray:
+    """Vectors of one length, one a row."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(column), -1)
+
+
 def total_bytes(df: DataFrame, text: str) -> int:
     return df.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from evalloom.llm import bpe, imatch, langid, mixing, nndescent, pst, quality, simhash, toxicity, training_order
+from evalloom.llm import bpe, imatch, langid, mixing, negatives, nndescent, pst, pstable, quality, simhash, toxicity, training_order, whitening
 
 
 def queries() -> dict:
@@ -18,10 +18,13 @@ def queries() -> dict:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_language_bigru": langid.op9_language_bigru,
         "op10_imatch_fingerprints": imatch.op10_imatch_fingerprints,
+        "op11_norm_bucket_negatives": negatives.op11_norm_bucket_negatives,
+        "op12_multiprobe_neighbours": pstable.op12_multiprobe_neighbours,
+        "op13_embedding_whitening": whitening.op13_embedding_whitening,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    known = {"op4_embedding_near_dedup": nndescent.OP4_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    known = {"op4_embedding_near_dedup": nndescent.OP4_SQL, "op11_norm_bucket_negatives": negatives.OP11_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
     return {name: sql for name, sql in known.items() if sql}
