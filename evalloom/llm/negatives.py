@@ -159,7 +159,8 @@ def hard_negatives(rows: DataFrame, is_anchor: Column, positives: int = POSITIVE
         anchors = common.saved(own.where("asks").select("row", "label", "x", "norm", wants.alias("wants")), "hard-anchors")
         near = _searched(candidates, anchors, positives, True, visited)
         near = near.select("anchor", F.col("place").alias("want"), F.col("score").alias("positive_score"), F.nullif("id", F.lit(MAX)).alias("positive_id"))
-        window = F.struct("want", F.expr(f"(positive_score * {low} + {unit - 1}) div {unit}").alias("floor"), F.expr(f"(positive_score * {high}) div {unit}").alias("ceil"))
+        scaled = lambda by, more: F.expr(f"cast((cast(positive_score as decimal(28,0)) * {by} + {more}) div {unit} as long)")  # noqa: E731  products may pass a long
+        window = F.struct("want", scaled(low, unit - 1).alias("floor"), scaled(high, 0).alias("ceil"))
         windows = near.where("positive_score >= 0").groupBy(F.col("anchor").alias("row")).agg(F.collect_list(window).alias("wants"))
         anchors = common.saved(anchors.drop("wants").join(windows, "row"), "hard-windows")
         far = _searched(candidates, anchors, negatives, False, visited)
