@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalloom.operators import constraints
+from evalloom.operators import constraints, ranged
 
 
 def not_binary(df: DataFrame, key: list[str], value: str) -> DataFrame:
@@ -62,9 +62,8 @@ def step_histogram(df: DataFrame, by: list[str], step: str) -> DataFrame:
 
 
 def running_totals(df: DataFrame, by: list[str], order: list[str], values: list[str]) -> DataFrame:
-    """Adds ``total_`` columns: sums of a group's values up to and with each row. Groups are single runs, not tables."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.select("*", *[F.sum(v).over(w).alias(f"total_{v}") for v in values])
+    """Adds ``total_`` columns: sums of a group's values up to and with each row. Groups may be of any size."""
+    return ranged.running(ranged.ranged(df, by, order), by, values).drop("_part", "_row")
 
 
 def disjoint_union(frames: list[DataFrame], key: list[str]) -> DataFrame:

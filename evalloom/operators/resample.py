@@ -1,7 +1,13 @@
-"""Cluster-bootstrap intervals, exact in their draws: one seeded generator a contrast, in lexicographic unit order.
+"""Cluster-bootstrap intervals.
 
-Units of one contrast are one row each (a study's snippets), so a contrast fits a task; contrasts run in parallel.
-Draws are made in blocks, which gives the same stream as drawing one replicate at a time.
+``intervals`` draws by a counter: the draw at a place of a replicate is a hash of (seed, range, replicate, place), so any
+task can make any draw. Units are numbered in lexicographic order and stay cut into ranges of ``RANGE``; how many of a
+replicate's draws fall into a range comes from a tree of binomials, keyed the same way for every task. A task sums the
+drawn units' statistics over one range for one block of replicates; the sums of ranges merge, and the statistic is taken
+of the merged sums. Work grows with units times draws in as many more tasks; no task and no group holds all units.
+
+``stream_intervals`` makes the draws of one sequential generator instead, as published intervals did: a contrast's units
+are then one task's, at most ``STREAM_UNITS`` of them.
 """
 
 from __future__ import annotations
@@ -10,15 +16,158 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from evalloom.operators import ranged
+from evalloom.operators.constraints import ConstraintError
+from evalloom.sources.landing import landed
 
-#: Drawn indices held at once.
+#: Units of a range, replicates of a block, draws held at once.
+RANGE, REPLICATES, DRAWS = 1 << 14, 512, 1 << 21
+STREAM_UNITS = 1 << 17
+#: Drawn indices held at once by the sequential stream.
 BLOCK = 4_000_000
+# Multipliers of the 32-bit mixing function.
+MULTIPLIERS = (0x7FEB352D, 0x2C1B3C6D)
+LOW32 = np.uint64(0xFFFFFFFF)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 32-bit words (held in 64 bits) whose values look random."""
+    x = x & LOW32
+    x = ((x ^ (x >> np.uint64(16))) * np.uint64(MULTIPLIERS[0])) & LOW32
+    x = ((x ^ (x >> np.uint64(15))) * np.uint64(MULTIPLIERS[1])) & LOW32
+    return x ^ (x >> np.uint64(16))
+
+
+def root(seed: int, at: int) -> np.ndarray:
+    """The word that a seed gives a range."""
+    return mixed(mixed(np.uint64([seed & 0xFFFFFFFF])) + np.uint64(at))
+
+
+def fallen(seed: int, units: int, at: int, block: int, replicates: int) -> np.ndarray:
+    """How many of the ``units`` draws of each replicate of a block fall into range ``at``: down a tree of binomials."""
+    low, high = 0, -(-units // RANGE)
+    count = np.full(replicates, units, np.int64)
+    while high - low > 1:
+        mid = (low + high) // 2
+        whole, left = min(units, high * RANGE) - low * RANGE, (mid - low) * RANGE
+        rng = np.random.Generator(np.random.Philox(np.random.SeedSequence((seed & 0xFFFFFFFF, block, low, high))))
+        first = rng.binomial(count, left / whole)
+        count, low, high = (first, low, mid) if at < mid else (count - first, mid, high)
+    return count
+
+
+def _sums(x: np.ndarray, seed: int, units: int, at: int, block: int, draws: int) -> tuple[np.ndarray, np.ndarray]:
+    """Replicates of a block and the sums of the drawn rows of ``x``, the statistics of range ``at``."""
+    replicates = np.arange(block * REPLICATES, min(draws, (block + 1) * REPLICATES))
+    counts, own = fallen(seed, units, at, block, len(replicates)), len(x)
+    roots = mixed(root(seed, at) + replicates.astype(np.uint64))
+    out, step = np.zeros((len(replicates), x.shape[1])), max(1, DRAWS // max(1, int(counts.max(initial=0)), own))
+    for s in range(0, len(replicates), step):
+        n = counts[s : s + step]
+        of = np.repeat(np.arange(len(n)), n)
+        place = (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint64)
+        unit = (mixed(roots[s : s + step][of] + place) * np.uint64(own)) >> np.uint64(32)
+        weights = np.bincount(of * own + unit.astype(np.int64), minlength=len(n) * own).reshape(len(n), own)
+        out[s : s + step] = weights @ x
+    return replicates, out
+
+
+SCHEMA = "point double, low double, high double, p_value double, n_units long, excludes_zero boolean"
+
+
+def intervals(units: DataFrame, by: list[str], unit: str, values: list[Column], statistic: Callable[[list[Column], Column], Column], draws: int = 10_000, seed: int = 42, alpha: float = 0.05) -> DataFrame:
+    """``(*by, point, low, high, p_value, n_units, excludes_zero)`` of each contrast of ``units`` (one row a unit).
+
+    ``statistic`` maps the sums of ``values`` over the (drawn) units and their number to a value. A column ``seed`` in
+    ``by`` sets a contrast's seed. Null values count as zero.
+    """
+    seeds = F.col("seed").cast("long") if "seed" in by else F.lit(seed).cast("long")
+    cells = F.array(*[F.coalesce(v.cast("double"), F.lit(0.0)) for v in values])
+    rows = units.select(*by, F.col(unit).cast("string").alias("_unit"), cells.alias("_x"), seeds.alias("_seed"))
+    rows = landed(ranged.numbered(ranged.ranged(rows, by, ["_unit"]), by).drop("_part", "_row"), "bootstrap")
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("_n"), *[F.sum(F.col("_x")[i]).alias(f"_s{i}") for i in range(len(values))])
+    work = ranged.joined(rows, sizes.select(*by, "_n"), by) if by else rows.crossJoin(sizes.select("_n"))  # one row
+    work = work.withColumn("_range", F.floor(F.col("_at") / RANGE).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-draws // REPLICATES) - 1)))))
+    kept = work.select(*by, "_range", "_block", "_at", "_x", "_n", "_seed")
+    kind = to_arrow_schema(kept.select(*by).schema) if by else pa.schema([])
+
+    def part(t: pa.Table) -> pa.Table:
+        t = t.sort_by("_at")
+        one = {c: t[c][0].as_py() for c in ("_seed", "_n", "_range", "_block")}
+        x = t["_x"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+        replicates, sums = _sums(x, one["_seed"], one["_n"], one["_range"], one["_block"], draws)
+        keys = [pa.array([t[c][0].as_py()] * len(replicates), kind.field(c).type) for c in by]
+        return pa.Table.from_arrays([*keys, pa.array(replicates), pa.array(list(sums), pa.list_(pa.float64()))], [*by, "_r", "_sums"])
+
+    shape = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.select(*by).schema) if by else ""
+    parts = kept.groupBy(*by, "_range", "_block").applyInArrow(part, f"{shape}_r long, _sums array<double>")
+    merged = parts.groupBy(*by, "_r").agg(*[F.sum(F.col("_sums")[i]).alias(f"_s{i}") for i in range(len(values))])
+    merged = ranged.joined(merged, sizes.select(*by, "_n"), by) if by else merged.crossJoin(sizes.select("_n"))
+    taken = lambda: statistic([F.col(f"_s{i}") for i in range(len(values))], F.col("_n"))
+    drawn = merged.select(*by, taken().alias("_v")).groupBy(*by).agg(
+        F.percentile("_v", F.lit(alpha / 2)).alias("low"),
+        F.percentile("_v", F.lit(1 - alpha / 2)).alias("high"),
+        F.least(F.lit(1.0), 2 * F.least(F.avg((F.col("_v") <= 0).cast("double")), F.avg((F.col("_v") >= 0).cast("double")))).alias("p_value"),
+    )
+    points = sizes.select(*by, taken().alias("point"), F.col("_n").alias("n_units"))
+    both = ranged.joined(points, drawn, by) if by else points.crossJoin(drawn)
+    return both.select(*by, "point", "low", "high", "p_value", "n_units", ((F.col("low") > 0) | (F.col("high") < 0)).alias("excludes_zero"))
+
+
+def mean_intervals(differences: DataFrame, by: list[str], unit: str, value: str, draws: int = 10_000, seed: int = 42, alpha: float = 0.05) -> DataFrame:
+    """Interval of the mean of unit values, for every contrast."""
+    return intervals(differences, by, unit, [F.col(value)], lambda sums, n: sums[0] / n, draws, seed, alpha)
+
+
+def macro_f1_interval(df: DataFrame, unit: str, repeat: str, condition: str, a: str, b: str, pred: str, gold: str, classes: list[str], draws: int = 10_000, seed: int = 45, alpha: float = 0.05) -> DataFrame:
+    """Interval of macro-F1(a) - macro-F1(b), recomputed on each resample of units and averaged over repeats (a few, a dimension)."""
+    rows = df.where(F.col(condition).isin(a, b))
+    repeats = sorted((r[0] for r in rows.select(repeat).distinct().limit(1001).collect()), key=str)
+    if len(repeats) > 1000:
+        raise ConstraintError("repeats are a dimension of at most 1,000 values")
+    has = lambda c, k: F.array_contains(c, k)
+    cells = []
+    for r in repeats:
+        for c in (a, b):
+            here = F.col(repeat).eqNullSafe(F.lit(r)) & (F.col(condition) == c)
+            for k in classes:
+                cells += [F.count_if(here & hit) for hit in (has(pred, k) & has(gold, k), has(pred, k) & ~has(gold, k), ~has(pred, k) & has(gold, k))]
+    units = rows.groupBy(unit).agg(*[c.alias(f"_c{i}") for i, c in enumerate(cells)])
+
+    def statistic(sums: list[Column], n: Column) -> Column:
+        def f1(at: int) -> Column:
+            tp, fp, fn = sums[at : at + 3]
+            return F.coalesce(F.try_divide(2 * tp, 2 * tp + fp + fn), F.lit(0.0))
+
+        macro = [sum((f1(3 * (i * len(classes) + j)) for j in range(len(classes))), F.lit(0.0)) / len(classes) for i in range(2 * len(repeats))]
+        return sum((macro[2 * i] - macro[2 * i + 1] for i in range(len(repeats))), F.lit(0.0)) / max(1, len(repeats))
+
+    return intervals(units, [], unit, [F.col(f"_c{i}") for i in range(len(cells))], statistic, draws, seed, alpha)
+
+
+def sql_mixed(rel: str, value: str, out: str) -> str:
+    """SQL: the relation with the mixed word of a value."""
+    cut = lambda x: f"({x}) & 4294967295"
+    return (
+        f"SELECT * EXCLUDE ({out}0, {out}1, {out}2) FROM (SELECT *, {cut(f'({value})::UBIGINT')} AS {out}0, {cut(f'xor({out}0, {out}0 >> 16) * {MULTIPLIERS[0]}')} AS {out}1, "
+        f"{cut(f'xor({out}1, {out}1 >> 15) * {MULTIPLIERS[1]}')} AS {out}2, xor({out}2, {out}2 >> 16) AS {out} FROM {rel})"
+    )
+
+
+def sql_drawn(seed: int, draws: int, units: str) -> str:
+    """SQL: (r, spot) of every draw among the units counted by a query, of one range."""
+    words = sql_mixed(f"range({draws}) t(r)", f"{int(root(seed, 0)[0])} + r", "w")
+    each = f"(SELECT r, w, k, n FROM ({words}), ({units}) c(n), LATERAL range(n) s(k))"
+    return f"SELECT r, ((v * n::UBIGINT) >> 32)::BIGINT AS spot FROM ({sql_mixed(each, 'w + k::UBIGINT', 'v')})"
 
 
 def bootstrap(n_units: int, statistic: Callable[[np.ndarray], np.ndarray], draws: int, seed: int, alpha: float = 0.05) -> tuple[float, float, float]:
-    """(low, high, p) from ``statistic``, which maps (replicates, units) indices to values."""
+    """(low, high, p) from ``statistic``, which maps (replicates, units) indices of the sequential stream to values."""
     rng, out, at = np.random.default_rng(seed), np.empty(draws), 0
     rows = max(1, BLOCK // max(1, n_units))
     while at < draws:
@@ -30,11 +179,11 @@ def bootstrap(n_units: int, statistic: Callable[[np.ndarray], np.ndarray], draws
     return float(low), float(high), float(p)
 
 
-SCHEMA = "point double, low double, high double, p_value double, n_units long, excludes_zero boolean"
-
-
-def mean_intervals(differences: DataFrame, by: list[str], unit: str, value: str, draws: int = 10_000, seed: int = 42, alpha: float = 0.05) -> DataFrame:
-    """Bootstrap interval of the mean of unit values, for every contrast. A column ``seed`` in ``by`` sets its seed."""
+def stream_intervals(differences: DataFrame, by: list[str], unit: str, value: str, draws: int = 10_000, seed: int = 42, alpha: float = 0.05) -> DataFrame:
+    """As ``mean_intervals``, by the sequential stream that the study's published intervals used."""
+    most = differences.groupBy(*by).count().agg(F.max("count").alias("n")).first()["n"] or 0
+    if most > STREAM_UNITS:
+        raise ConstraintError(f"a contrast has {most} units; the sequential stream takes at most {STREAM_UNITS}, use mean_intervals")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         v = pdf.sort_values(unit, key=lambda s: s.astype(str), kind="stable")[value].to_numpy(float)
@@ -45,42 +194,3 @@ def mean_intervals(differences: DataFrame, by: list[str], unit: str, value: str,
     keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in differences.schema if f.name in by)
     ordered = ", ".join(k for b in by for k in keys.split(", ") if k.split()[0] == b)
     return differences.select(*by, unit, value).groupBy(*by).applyInPandas(one, f"{ordered}, {SCHEMA}" if by else SCHEMA)
-
-
-def macro_f1(tp: np.ndarray, fp: np.ndarray, fn: np.ndarray) -> np.ndarray:
-    """Mean over the last axis of F1 from counts, 0 where there are none."""
-    d = 2 * tp + fp + fn
-    return np.where(d > 0, 2 * tp / np.where(d > 0, d, 1), 0.0).mean(-1)
-
-
-def macro_f1_interval(df: DataFrame, unit: str, repeat: str, condition: str, a: str, b: str, pred: str, gold: str, classes: list[str], draws: int = 10_000, seed: int = 45, alpha: float = 0.05) -> DataFrame:
-    """Interval of macro-F1(a) - macro-F1(b), recomputed on each resample of units and averaged over repeats."""
-    has = lambda c, k: F.array_contains(c, k)
-    cells = []
-    for k in classes:
-        cells += [F.sum((has(pred, k) & has(gold, k)).cast("int")), F.sum((has(pred, k) & ~has(gold, k)).cast("int")), F.sum((~has(pred, k) & has(gold, k)).cast("int"))]
-    rows = df.where(F.col(condition).isin(a, b)).groupBy(unit, repeat, condition).agg(F.array(*cells).alias("counts"))
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        units = sorted(pdf[unit].unique(), key=str)
-        repeats = sorted(pdf[repeat].unique(), key=str)
-        at, rt = {u: i for i, u in enumerate(units)}, {r: i for i, r in enumerate(repeats)}
-        x = np.zeros((len(units), len(repeats), 2, len(classes), 3))
-        for u, r, c, v in zip(pdf[unit], pdf[repeat], pdf[condition], pdf["counts"]):
-            x[at[u], rt[r], 0 if c == a else 1] = np.asarray(v).reshape(-1, 3)
-
-        def f1(sums: np.ndarray) -> np.ndarray:
-            m = macro_f1(sums[..., 0], sums[..., 1], sums[..., 2])
-            return (m[..., 0] - m[..., 1]).mean(-1)
-
-        flat = x.reshape(len(units), -1)
-
-        def statistic(ix: np.ndarray) -> np.ndarray:
-            w = np.stack([np.bincount(row, minlength=len(units)) for row in ix])
-            return f1((w @ flat).reshape(len(ix), *x.shape[1:]))
-
-        point = float(f1(x.sum(0)))
-        low, high, p = bootstrap(len(units), statistic, draws, seed, alpha)
-        return pd.DataFrame({"point": [point], "low": [low], "high": [high], "p_value": [p], "n_units": [len(units)], "excludes_zero": [low > 0 or high < 0]})
-
-    return rows.groupBy().applyInPandas(one, SCHEMA)

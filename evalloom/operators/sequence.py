@@ -5,20 +5,19 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from evalloom.operators import permute, ranged
 from evalloom.operators.order import positions
+from evalloom.sources.landing import landed
 
 
 def run_lengths(df: DataFrame, by: list[str], order: list[str], key: list[str]) -> DataFrame:
-    """Maximal runs of equal keys in order: first position, length."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    within = Window.partitionBy(*by, *key).orderBy(*order)
-    rows = df.withColumn("_p", F.row_number().over(w)).withColumn("_i", F.col("_p") - F.row_number().over(within))
-    return rows.groupBy(*by, *key, "_i").agg(F.min("_p").alias("first_pos"), F.count("*").alias("run_length")).drop("_i")
+    """Maximal runs of equal keys in order: first position, length. Runs are stitched across ranges of the order, so a group may be of any size."""
+    return ranged.runs(ranged.ranged(df.select(*dict.fromkeys([*by, *order, *key])), by, order), by, key)
 
 
 def compress_lines(lines: Column) -> Column:
@@ -44,16 +43,9 @@ def interleave(spark: SparkSession, total: int, ratio: float) -> DataFrame:
 
 
 def mixture_stream(spark: SparkSession, n_main: int, n_aux: int, ratio: float, total: int, seed: int) -> DataFrame:
-    """A deterministic stream: each pool is drawn without replacement, epoch after epoch, in a keyed random order."""
-    stream = interleave(spark, total, ratio if n_aux > 0 else 0.0)
-    size = F.when(F.col("pool") == "aux", F.lit(max(1, n_aux))).otherwise(F.lit(n_main))
-    stream = stream.withColumn("epoch", F.floor(F.col("ordinal") / size)).withColumn("draw", F.col("ordinal") % size)
-    need = stream.select("pool", "epoch").distinct()
-    sizes = spark.createDataFrame([("main", n_main), ("aux", n_aux)], "pool string, size long").where("size > 0")
-    deck = need.join(sizes, "pool").select("pool", "epoch", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("index"))
-    w = Window.partitionBy("pool", "epoch").orderBy(F.xxhash64(F.lit(seed), "pool", "epoch", "index"), "index")
-    deck = deck.withColumn("draw", F.row_number().over(w) - 1)
-    return stream.join(deck, ["pool", "epoch", "draw"]).select("position", "pool", "index")
+    """A deterministic stream: each pool is drawn without replacement, epoch after epoch, in a keyed random order, with neither shuffle nor window."""
+    positions_ = spark.range(total).select(F.col("id").alias("position"))
+    return permute.mixture(positions_, n_main, n_aux, ratio, seed).select("position", "pool", "index")
 
 
 def nearest(left: DataFrame, value: str, right: DataFrame, other: str, key: str) -> DataFrame:
@@ -103,20 +95,85 @@ def supervised_tokens(batched: DataFrame, total: str, prompt: str, cap: int) ->
     return batched.join(width, "batch").agg(F.sum(F.greatest(F.lit(0), F.least(F.col(total), F.col("_w")) - F.col(prompt))).alias("tokens"))
 
 
-def greedy_buckets(df: DataFrame, by: list[str], length: str, key: str, batch: int = 16, cap: int = 32_768) -> DataFrame:
-    """Buckets by length: a new one where the count passes ``batch`` or count times the longest passes ``cap``."""
+def _next_starts(lengths: np.ndarray, group: np.ndarray, batch: int, cap: int) -> np.ndarray:
+    """Of rows in order, the first row that a bucket starting at each row leaves out; rows past the end count as one more group.
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([length, key], kind="stable").reset_index(drop=True)
-        bucket, held, out = 0, 0, []
-        for n in pdf[length]:
-            if held and (held + 1 > batch or (held + 1) * n > cap):
-                bucket, held = bucket + 1, 0
-            held += 1
-            out.append(bucket)
-        return pdf.assign(bucket=out)
-
-    return df.groupBy(*by).applyInPandas(one, T.StructType([*df.schema.fields, T.StructField("bucket", T.LongType())]))
+    The cost (count times longest) rises with every row, so a bucket ends at most ``batch`` rows on and at the first row that
+    breaks a rule: each distance is looked at for all rows at once.
+    """
+    n = len(lengths)
+    out = np.minimum(np.arange(n) + batch, n)
+    for step in range(min(batch, n) - 1, 0, -1):
+        here, there = slice(0, n - step), slice(step, n)
+        breaks = (group[there] != group[here]) | ((step + 1) * lengths[there] > cap)
+        out[here] = np.where(breaks, np.arange(n - step) + step, out[here])
+    return out
+
+
+def _walk(n: int, nexts: np.ndarray, entries: int) -> tuple[list[int], list[int]]:
+    """From each of the first rows of a range: buckets that start in it, and how far past its end the next one starts."""
+    count, past = [0] * n, [0] * n
+    to = nexts.tolist()
+    for i in range(n - 1, -1, -1):
+        count[i], past[i] = (1, to[i] - n) if to[i] >= n else (count[to[i]] + 1, past[to[i]])
+    return count[:entries], past[:entries]
+
+
+def greedy_buckets(df: DataFrame, by: list[str], length: str, key: str, batch: int = 16, cap: int = 32_768, rows: int | None = None) -> DataFrame:
+    """Adds ``bucket``, in order of length (then key): a new one where the count passes ``batch`` or count times the longest passes ``cap``.
+
+    Where a bucket starts decides where the next one does, but it starts at most ``batch`` rows on. So each range of the
+    order answers for every one of its first ``batch`` rows how many buckets start in it if one starts there, and how far
+    into the next range the following one starts. Folding these answers, ``batch`` pairs of numbers a range, gives the
+    row at which each range is entered; then each range numbers its rows. Ranges see the ``batch`` rows that follow them.
+    """
+    size = max(rows or ranged.ROWS, batch)
+    ordered = ranged.numbered(ranged.ranged(df, by, [length, key], size), [], "_place")
+    # ranges of exactly so many rows, so that none but the last is shorter than a bucket
+    ordered = landed(ordered.withColumn("_part", F.floor(F.col("_place") / size).cast("int")).withColumn("_row", F.col("_place") % size).drop("_place"), "buckets")
+    names = F.struct(*[F.col(c) for c in by]) if by else F.lit(0)
+    cells = ordered.select("_part", "_row", F.coalesce(F.col(length).cast("long"), F.lit(0)).alias("_len"), F.to_json(F.struct(names.alias("g")), {"ignoreNullFields": "false"}).alias("_group"))
+    first = cells.where(F.col("_row") < batch).select((F.col("_part") - 1).alias("_part"), (F.col("_row") + (1 << 33)).alias("_row"), "_len", "_group").where("_part >= 0")
+    halo = cells.unionByName(first)
+
+    def arrays(t: pa.Table) -> tuple[np.ndarray, np.ndarray, int]:
+        t = t.sort_by("_row")
+        row = t["_row"].to_numpy()
+        own = int((row < 1 << 33).sum())
+        group = t["_group"].combine_chunks().dictionary_encode().indices.to_numpy()
+        return row[:own], _next_starts(t["_len"].to_numpy(), group, batch, cap)[:own], own
+
+    def answer(t: pa.Table) -> pa.Table:
+        _, nexts, own = arrays(t)
+        count, past = _walk(own, nexts, min(own, batch))
+        return pa.table({"_part": t["_part"][:1], "_count": pa.array([count], pa.list_(pa.int64())), "_past": pa.array([past], pa.list_(pa.int64()))})
+
+    answers = halo.groupBy("_part").applyInArrow(answer, "_part int, _count array<long>, _past array<long>")
+    # the fold: two short arrays a range, in order
+    steps = F.array_sort(F.collect_list(F.struct("_part", "_count", "_past")))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("n"), F.expr("cast(array() as array<struct<_part:int,_enter:bigint,_bucket:bigint>>)").alias("out"))
+
+    def enter(s: Column, x: Column) -> Column:
+        place = s["at"].cast("int")
+        row = F.array(F.struct(x["_part"].alias("_part"), s["at"].alias("_enter"), s["n"].alias("_bucket")))
+        return F.struct(F.get(x["_past"], place).alias("at"), (s["n"] + F.get(x["_count"], place)).alias("n"), F.concat(s["out"], row).alias("out"))
+
+    entered = landed(answers.agg(F.aggregate(steps, start, enter)["out"].alias("o")).select(F.explode("o").alias("o")).select("o.*"), "entered")
+
+    def number(t: pa.Table, e: pa.Table) -> pa.Table:
+        row, nexts, own = arrays(t)
+        at, bucket = e["_enter"][0].as_py(), e["_bucket"][0].as_py()
+        starts = np.zeros(own, np.int64)
+        while at < own:
+            starts[at] = 1
+            at = int(nexts[at])
+        return pa.table({"_part": pa.array([e["_part"][0].as_py()] * own, pa.int32()), "_row": row, "_bucket": bucket - 1 + np.cumsum(starts)})
+
+    numbers = halo.groupBy("_part").cogroup(entered.groupBy("_part")).applyInArrow(number, "_part int, _row long, _bucket long")
+    got = ordered.join(numbers, ["_part", "_row"]).drop("_part", "_row")
+    low = got.groupBy(*by).agg(F.min("_bucket").alias("_low"))
+    got = ranged.joined(got, low, by) if by else got.crossJoin(low)  # one row
+    return got.withColumn("bucket", F.col("_bucket") - F.col("_low")).drop("_bucket", "_low")
 
 
 def render(lines: Column) -> Column:

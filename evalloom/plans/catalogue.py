@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalloom.functions import prompts, scalars, textops
-from evalloom.operators import constraints, labels, paired, records, resample, sequence, stats, strata
+from evalloom.operators import constraints, labels, paired, permute, ranged, records, resample, sequence, stats, strata
 from evalloom.plans import evaluate
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -194,12 +194,35 @@ def interleave(spark, d):
     return rounded(sequence.interleave(spark, table(spark, d, "orders").count(), 0.2))
 
 
-@query()
+def _stream_sql(total: str, ratio: str, seed: int) -> str:
+    """Rows (position, pool, ordinal, n, y): parts are the main pool, suppliers the auxiliary one."""
+    rows = f"""SELECT position, pool, ordinal, n, ordinal % n AS x, '{seed}:' || pool || ':' || (ordinal // n) AS key FROM
+ (SELECT i::BIGINT AS position, CASE WHEN floor((i + 1) * {ratio}::DOUBLE) > floor(i * {ratio}::DOUBLE) THEN 'aux' ELSE 'main' END AS pool, floor(i * {ratio}::DOUBLE)::BIGINT AS aux,
+ (CASE WHEN pool = 'aux' THEN aux ELSE i - aux END)::BIGINT AS ordinal FROM range(({total})::BIGINT) t(i)) JOIN (SELECT 'main' AS pool, count(*) AS n FROM part UNION ALL SELECT 'aux', count(*) FROM supplier) USING (pool)"""
+    return permute.sql_permuted(rows)
+
+
+@query(f"SELECT position, pool, y AS index FROM ({_stream_sql('SELECT 3 * count(*) FROM part', '0.2', 42)})")
 def mixture_stream(spark, d):
     n, m = table(spark, d, "part").count(), table(spark, d, "supplier").count()
     return sequence.mixture_stream(spark, n, m, 0.2, 3 * n, 42)
 
 
+_ITEMS = """m AS (SELECT 'main' AS pool, row_number() OVER (ORDER BY p_partkey) - 1 AS y, p_name AS item, NULL AS other FROM part),
+a AS (SELECT 'aux' AS pool, row_number() OVER (ORDER BY s_suppkey) - 1 AS y, s_name AS item, CASE WHEN s_acctbal < 5000 THEN 'control of ' || s_name END AS other FROM supplier)"""
+
+
+@query(f"""WITH st AS ({_stream_sql("SELECT count(*) FROM lineitem", "0.125", 11)}), {_ITEMS}
+SELECT position, pool, y AS index, CASE WHEN other IS NOT NULL AND ordinal >= 100 + y THEN other ELSE item END AS item FROM st JOIN (FROM m UNION ALL FROM a) USING (pool, y)""")
+def condition_stream(spark, d):
+    """A stream as long as lineitem over parts and suppliers; poor suppliers' items give way to a control from an ordinal on."""
+    part = ranged.numbered(ranged.ranged(table(spark, d, "part").select("p_partkey", "p_name"), [], ["p_partkey"]), [], "index").select("index", F.col("p_name").alias("item"))
+    sup = ranged.numbered(ranged.ranged(table(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal"), [], ["s_suppkey"]), [], "index")
+    other = sup.where("s_acctbal < 5000").select((F.lit(100) + F.col("index")).alias("from_ordinal"), "index", F.concat(F.lit("control of "), "s_name").alias("item"))
+    mixed = permute.mixture(spark.range(table(spark, d, "lineitem").count()).select(F.col("id").alias("position")), part.count(), sup.count(), 0.125, 11)
+    return permute.condition_stream(mixed, part, sup.select("index", F.col("s_name").alias("item")), other).select("position", "pool", "index", "item")
+
+
 @query(f"""WITH {_cells_sql()}, z AS (SELECT a > 0 AS x, n > 0 AS y FROM w WHERE s = 'F'),
 t AS (SELECT count(*) FILTER (x AND y) AS b, count(*) FILTER (NOT x AND NOT y) AS ne, count(*) FILTER (NOT x AND y) AS g, count(*) FILTER (x AND NOT y) AS l, count(*) AS n FROM z)
 SELECT b::BIGINT AS both, ne::BIGINT AS neither, g::BIGINT AS gained, l::BIGINT AS lost, n::BIGINT AS n, (g - l)::BIGINT AS net, round((g - l) * 100.0::DOUBLE / n, 6) AS net_percent FROM t""")
@@ -253,16 +276,41 @@ def bootstrap_point(spark, d):
     return bootstrap_ci(spark, d).select("point", "n_units")
 
 
-@query()
-def bootstrap_ci(spark, d):
-    diff = paired.unit_differences(grid(spark, d), "l_partkey", "A", "N")
-    return rounded(resample.mean_intervals(diff, [], "l_partkey", "difference", draws=1000))
+_INTERVAL = """quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, round(least(1.0::DOUBLE, 2 * least(avg((v <= 0)::INT), avg((v >= 0)::INT))), 6) AS p_value"""
 
 
-@query()
+@query(f"""WITH {_cells_sql()}, u AS (SELECT row_number() OVER (ORDER BY u::VARCHAR) - 1 AS spot, x FROM (SELECT u, avg(a - n) AS x FROM w GROUP BY u)),
+draws AS ({resample.sql_drawn(42, 10_000, "SELECT count(*) FROM u")}), m AS (SELECT r, avg(x) AS v FROM draws JOIN u USING (spot) GROUP BY r),
+i AS (SELECT round({_INTERVAL} FROM m) SELECT (SELECT round(avg(x), 6) FROM u) AS point, low, high, p_value, (SELECT count(*) FROM u)::BIGINT AS n_units, low > 0 OR high < 0 AS excludes_zero FROM i""")
+def bootstrap_ci(spark, d):
+    diff = paired.unit_differences(grid(spark, d), "l_partkey", "A", "N")
+    return rounded(resample.mean_intervals(diff, [], "l_partkey", "difference", draws=10_000))
+
+
+@query(f"""WITH o AS (SELECT o_custkey, o_orderpriority AS g, avg(o_totalprice) - 150000 AS x FROM orders GROUP BY 1, 2),
+u AS (SELECT g, row_number() OVER (PARTITION BY g ORDER BY o_custkey::VARCHAR) - 1 AS spot, count(*) OVER (PARTITION BY g) AS size, x FROM o),
+draws AS (SELECT g, r, ((v * size::UBIGINT) >> 32)::BIGINT AS spot FROM ({resample.sql_mixed(f"(SELECT g, size, r, w, k FROM ({resample.sql_mixed('range(300) t(r)', f'{int(resample.root(7, 0)[0])} + r', 'w')}), (SELECT DISTINCT g, size FROM u), LATERAL range(size) s(k))", "w + k::UBIGINT", "v")})),
+m AS (SELECT g, r, avg(x) AS v FROM draws JOIN u USING (g, spot) GROUP BY g, r),
+i AS (SELECT g, round({_INTERVAL} FROM m GROUP BY g), q AS (SELECT g, round(avg(x), 6) AS point, count(*)::BIGINT AS n_units FROM u GROUP BY g)
+SELECT g AS o_orderpriority, point, low, high, p_value, n_units, low > 0 OR high < 0 AS excludes_zero FROM i JOIN q USING (g)""")
+def bootstrap_groups(spark, d):
+    """Customers' mean order price against 150,000 within each priority: contrasts of thousands of units."""
+    units = table(spark, d, "orders").groupBy("o_custkey", "o_orderpriority").agg((F.avg("o_totalprice") - 150_000).alias("x"))
+    return rounded(resample.mean_intervals(units, ["o_orderpriority"], "o_custkey", "x", draws=300, seed=7))
+
+
+@query(_SETS + f""", side AS (SELECT user_id, d, CASE WHEN day(d) <= 15 THEN 'b' ELSE 'a' END AS c FROM p),
+u AS (SELECT user_id, row_number() OVER (ORDER BY user_id::VARCHAR) - 1 AS spot FROM (SELECT DISTINCT user_id FROM p)),
+f AS (SELECT user_id, d, t, 2 AS tp2, 0 AS one FROM hit UNION ALL SELECT user_id, d, t, 0, 1 FROM g UNION ALL SELECT user_id, d, t, 0, 1 FROM q),
+cell AS (SELECT spot, c, t, sum(tp2) AS tp2, sum(one) AS n FROM f JOIN side USING (user_id, d) JOIN u USING (user_id) GROUP BY 1, 2, 3),
+draws AS ({resample.sql_drawn(45, 2_000, "SELECT count(*) FROM u")}), k AS (SELECT r, spot, count(*) AS k FROM draws GROUP BY 1, 2),
+fs AS (SELECT r, c, t, sum(k * tp2) / sum(k * n) AS f1 FROM k JOIN cell USING (spot) GROUP BY 1, 2, 3),
+m AS (SELECT r, coalesce(sum(f1) FILTER (c = 'a'), 0) / 5.0::DOUBLE - coalesce(sum(f1) FILTER (c = 'b'), 0) / 5.0::DOUBLE AS v FROM fs GROUP BY r),
+point AS (SELECT round(sum(CASE WHEN c = 'a' THEN f1 ELSE -f1 END) / 5.0::DOUBLE, 6) AS point FROM (SELECT c, t, sum(tp2) / sum(n) AS f1 FROM cell GROUP BY 1, 2)),
+i AS (SELECT round({_INTERVAL} FROM m) SELECT (SELECT point FROM point) AS point, low, high, p_value, (SELECT count(*) FROM u)::BIGINT AS n_units, low > 0 OR high < 0 AS excludes_zero FROM i""")
 def macro_f1_bootstrap(spark, d):
     sets = label_sets(spark, d).withColumn("half", F.when(F.dayofmonth("day") <= 15, "first").otherwise("second")).withColumn("one", F.lit(1))
-    return rounded(resample.macro_f1_interval(sets, "user_id", "one", "half", "second", "first", "pred", "gold", CLASSES, draws=1000))
+    return rounded(resample.macro_f1_interval(sets, "user_id", "one", "half", "second", "first", "pred", "gold", CLASSES, draws=2_000))
 
 
 @query("""SELECT lang, (count(*) FILTER (doc_id IN (SELECT doc_id FROM labels)))::BIGINT AS labelled, (count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM labels)))::BIGINT AS unlabelled FROM documents GROUP BY 1""")
@@ -424,10 +472,28 @@ def failing_checks(spark, d):
     return constraints.failing(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], {"quantity": F.col("l_quantity") < 50, "tax": F.col("l_tax") <= 0.07})
 
 
-@query()
+def _greedy_sql(by: str, key: str) -> str:
+    """Starts of buckets by recursion: the next one is the first row, at most 16 on, that would pass the count or the cap."""
+    return f"""WITH RECURSIVE l AS (SELECT {by} AS g, l_quantity::BIGINT AS len, row_number() OVER (PARTITION BY {by} ORDER BY l_quantity, {key}) - 1 AS i, count(*) OVER (PARTITION BY {by}) AS n FROM lineitem),
+lead16 AS (SELECT g, i, n, list(len) OVER (PARTITION BY g ORDER BY i ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS ahead FROM l),
+nx AS (SELECT g, i, n, i + coalesce(list_min(list_filter(range(1, len(ahead)::BIGINT), lambda k: (k + 1) * ahead[k + 1] > 400)), len(ahead)) AS nxt FROM lead16),
+b AS (SELECT g, i, nxt, n, 0 AS bucket FROM nx WHERE i = 0 UNION ALL SELECT nx.g, nx.i, nx.nxt, nx.n, b.bucket + 1 FROM b JOIN nx ON nx.g = b.g AND nx.i = b.nxt)
+SELECT b.g, b.bucket::BIGINT AS bucket, (b.nxt - b.i)::BIGINT AS n, l.len AS longest FROM b JOIN l ON l.g = b.g AND l.i = b.nxt - 1"""
+
+
+def _bucketed_lines(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select("l_suppkey", F.col("l_quantity").cast("long").alias("len"), F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("key"))
+
+
+@query("SELECT g AS l_suppkey, bucket, n, longest FROM (" + _greedy_sql("l_suppkey", "l_orderkey, l_linenumber, l_partkey") + ")")
 def greedy_buckets(spark, d):
-    c = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("len"), F.xxhash64("l_orderkey", "l_linenumber", "l_partkey").alias("key"))
-    return sequence.greedy_buckets(c, ["l_suppkey"], "len", "key", 16, 400).groupBy("l_suppkey", "bucket").agg(F.count("*").alias("n"), F.max("len").alias("longest"))
+    return sequence.greedy_buckets(_bucketed_lines(spark, d), ["l_suppkey"], "len", "key", 16, 400).groupBy("l_suppkey", "bucket").agg(F.count("*").alias("n"), F.max("len").alias("longest"))
+
+
+@query("SELECT bucket, n, longest FROM (" + _greedy_sql("0", "l_orderkey, l_linenumber, l_partkey") + ")")
+def greedy_buckets_whole(spark, d):
+    """One group: all of lineitem."""
+    return sequence.greedy_buckets(_bucketed_lines(spark, d), [], "len", "key", 16, 400).groupBy("bucket").agg(F.count("*").alias("n"), F.max("len").alias("longest"))
 
 
 @query("""SELECT i::BIGINT AS step, round(CASE WHEN i < 60 THEN i / 60.0::DOUBLE ELSE 0.1::DOUBLE + 0.9::DOUBLE * 0.5::DOUBLE * (1 + cos(pi() * least(1.0::DOUBLE, (i - 60) / 540.0::DOUBLE))) END, 6) AS multiplier FROM range(600) t(i)""")

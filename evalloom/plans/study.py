@@ -135,7 +135,7 @@ def task_differences(records: DataFrame, by: list[str] | None = None) -> DataFra
 
 def table_8_3(records: DataFrame, draws: int = 10_000) -> DataFrame:
     """Paired contrasts with 95 % intervals."""
-    out = resample.mean_intervals(task_differences(records), ["task_type", "against", "seed"], "base_snippet_id", "difference", draws)
+    out = resample.stream_intervals(task_differences(records), ["task_type", "against", "seed"], "base_snippet_id", "difference", draws)
     return out.select("task_type", "against", *[(F.col(c) * 100).alias(c) for c in ("point", "low", "high")], "p_value", "n_units")
 
 
@@ -191,7 +191,7 @@ def table_8_8(records: DataFrame, rows: DataFrame, draws: int = 10_000) -> DataF
     two = records.where(F.col("task_type").isin("rule_identification", "joint")).join(where, "base_snippet_id")
     base = success(two.where("condition = 'C0'")).groupBy("stratum", "task_type", "base_snippet_id").agg(F.avg("success").alias("m")).groupBy("stratum", "task_type").agg((F.avg("m") * 100).alias("baseline"))
     diff = task_differences(two, ["stratum"]).withColumn("seed", F.lit(42))
-    out = resample.mean_intervals(diff, ["stratum", "task_type", "against", "seed"], "base_snippet_id", "difference", draws)
+    out = resample.stream_intervals(diff, ["stratum", "task_type", "against", "seed"], "base_snippet_id", "difference", draws)
     return out.join(base, ["stratum", "task_type"]).select("stratum", "task_type", "against", "baseline", *[(F.col(c) * 100).alias(c) for c in ("point", "low", "high")], "n_units")
 
 
@@ -210,7 +210,7 @@ def rq3_contrasts(records: DataFrame, draws: int = 10_000) -> DataFrame:
     """The joint task's effect of C1 less that of each single task, by unit."""
     diff = task_differences(records).where("against = 'C1'").groupBy("base_snippet_id").pivot("task_type", TASKS[:3]).agg(F.max("difference"))
     long = diff.select("base_snippet_id", (F.col("joint") - F.col("rule_identification")).alias("rule_identification"), (F.col("joint") - F.col("correction")).alias("correction")).unpivot(["base_snippet_id"], ["rule_identification", "correction"], "reference", "difference")
-    out = resample.mean_intervals(long, ["reference"], "base_snippet_id", "difference", draws, seed=42)
+    out = resample.stream_intervals(long, ["reference"], "base_snippet_id", "difference", draws, seed=42)
     return out.withColumn("reject", F.col("low") > 0)
 
 

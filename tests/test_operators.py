@@ -54,7 +54,7 @@ def test_bootstrap_is_the_sequential_stream(spark):
     rng = np.random.default_rng(42)
     seq = np.array([np.mean(v[rng.integers(0, 25, size=25)]) for _ in range(300)])
     df = spark.createDataFrame([(f"u{i:02d}", float(x)) for i, x in reversed(list(enumerate(v)))], "u string, d double")
-    got = resample.mean_intervals(df, [], "u", "d", 300).first()
+    got = resample.stream_intervals(df, [], "u", "d", 300).first()
     assert got.low == np.quantile(seq, 0.025) and got.high == np.quantile(seq, 0.975)
 
 
