@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalloom.operators import ranged
+
+#: Ids of a leaf of a checksum.
+CHECKSUM_ROWS = 1 << 16
+
 
 class ConstraintError(ValueError):
     """A named rule is violated."""
@@ -98,10 +104,32 @@ def cardinalities(df: DataFrame, expected: dict[str, tuple[Column, int]]) -> Dat
     return one.withColumn("expected", want[F.col("rule")]).where("found <> expected")
 
 
-def id_checksum(df: DataFrame, by: list[str], key: str) -> DataFrame:
-    """SHA-256 of each group's sorted distinct ids, one a line. For id sets of a study, not for tables of rows."""
-    ids = F.array_join(F.sort_array(F.collect_set(F.col(key).cast("string"))), "\n")
-    return df.groupBy(*by).agg(F.sha2(ids, 256).alias("checksum"), F.count_distinct(key).alias("n"))
+def id_checksum(df: DataFrame, by: list[str], key: str, rows: int | None = None) -> DataFrame:
+    """SHA-256 over each group's sorted distinct ids, as a tree: ``(*by, checksum, n)``.
+
+    Leaves are the digests of ``rows`` ids in order, one a line; a group's checksum is the digest of its leaves' digests in
+    order, one a line, or the leaf's own digest where there is one leaf. So a group of up to ``rows`` ids has the plain
+    digest of its lines, and no task ever holds more than ``rows`` ids, or one digest for each ``rows``.
+    """
+    size = rows or CHECKSUM_ROWS
+    ids = df.select(*by, F.col(key).cast("string").alias("_id")).where("_id is not null").distinct()
+    placed = ranged.numbered(ranged.ranged(ids, by, ["_id"]), by)
+    lines = lambda x, at: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, x))), lambda s: s[x]), "\n"), 256)
+    leaves = placed.withColumn("_leaf", F.floor(F.col("_at") / size)).groupBy(*by, "_leaf").agg(lines("_id", "_at").alias("_digest"), F.count("*").alias("_n"))
+    top = leaves.groupBy(*by).agg(lines("_digest", "_leaf").alias("_tree"), F.any_value("_digest").alias("_one"), F.count("*").alias("_k"), F.sum("_n").alias("n"))
+    return top.select(*by, F.when(F.col("_k") == 1, F.col("_one")).otherwise(F.col("_tree")).alias("checksum"), "n")
+
+
+def multiset_digest(df: DataFrame, by: list[str], key: str) -> DataFrame:
+    """``(*by, n, digest)``: an order-free digest of a group's rows, repeats included, that merges like a sum.
+
+    Each SHA-256 is cut into eight words of 32 bits, and the words are added up apart; the sums, kept to 63 bits, are the digest.
+    """
+    hashed = df.select(*by, F.sha2(F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("null")), 256).alias("_h"))
+    word = lambda i: F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("decimal(38,0)")
+    sums = hashed.groupBy(*by).agg(F.count("*").alias("n"), *[F.sum(word(i)).alias(f"_w{i}") for i in range(8)])
+    text = [F.lpad(F.lower(F.hex((F.col(f"_w{i}") % F.lit(Decimal(1 << 63))).cast("long"))), 16, "0") for i in range(8)]
+    return sums.select(*by, "n", F.concat(*text).alias("digest"))
 
 
 def finite(c: Column) -> Column:

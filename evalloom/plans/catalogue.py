@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from evalloom.functions import prompts, scalars, textops
 from evalloom.operators import constraints, labels, paired, permute, ranged, records, resample, sequence, stats, strata
-from evalloom.plans import evaluate
+from evalloom.plans import bundle, evaluate, study
+from evalloom.sources import landing, publish
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -501,6 +502,54 @@ def learning_rate_schedule(spark, d):
     return spark.range(600).select(F.col("id").alias("step"), r6(sequence.warmup_cosine(F.col("id"), 600, 60, 0.1)).alias("multiplier"))
 
 
+# A run bundle made from parts: published by executors, read once, checked, then queried.
+
+_BUNDLE_CONDITIONS = {c: {"kind": "fine_tuned", "path": c.lower(), "seeds": [42, 43], "configuration_id": f"parts-{c.lower()}"} for c in ("C0", "C1")}
+_BUNDLE = bundle.Study(_BUNDLE_CONDITIONS, "parts", "none", {"fine_tuned": "0" * 40}, {"main": {}}, tasks=["rule_identification", "explanation"])
+
+
+def published_parts(spark: SparkSession, d: str) -> str:
+    """Publishes four runs over all parts and returns their root: a part's label is its size's, an answer's depends on condition and seed."""
+    part, names = table(spark, d, "part"), F.array(*map(F.lit, study.CHECKS))
+    dims = spark.createDataFrame([(c, p, s) for c, p, s, _, _ in _BUNDLE.runs()], "condition string, path string, seed long")
+    rows = part.crossJoin(F.broadcast(dims)).withColumn("task_type", F.explode(F.array(*map(F.lit, _BUNDLE.tasks))))  # four runs
+    rule = F.col("task_type") == "rule_identification"
+    shift = F.when((F.col("p_partkey") + F.col("seed")) % F.when(F.col("condition") == "C0", 3).otherwise(5) == 0, 1).otherwise(0)
+    gold, pred = (F.when(rule, F.array(F.get(names, ((F.col("p_size") + x) % 8).cast("int")))) for x in (F.lit(0), shift))
+    records_ = rows.select(
+        "path", F.col("seed").alias("run_seed"), F.concat(F.lit("sha256:"), F.sha2(F.col("p_partkey").cast("string"), 256)).alias("base_snippet_id"), "condition", "seed", "task_type", gold.alias("gold"), pred.alias("pred"),
+        gold.alias("target_checks"), F.lit("present").alias("summary_status"), F.col("p_size").cast("long").alias("prompt_tokens"), F.lit(1).cast("long").alias("retokenized_response_token_proxy"), (F.col("p_retailprice") / 100 + F.col("seed")).alias("latency_ms"),
+        F.when(rule, F.lit(0).cast("long")).alias("rejected_label_count"), F.when(rule, gold == pred).alias("exact_match"), F.when(rule, F.lit(1).cast("long")).alias("n_emitted"), F.when(rule, F.lit("recognized_array")).alias("normalization_status"),
+    ).withColumn("target_checks", F.coalesce("target_checks", F.array(F.lit("elseif"))))
+    tokens = int(part.agg(F.sum("p_size")).first()[0] or 0)
+    metrics = {"rule_id_macro_f1": 0.5, "correction_fix_rate": 0.25, "joint_fix_rate": 0.125}
+
+    def documents(c: str, p: str, s: int) -> dict:
+        who = {"historical_run_id": f"parts-{p}-{s}", "condition": c, "seed": s, "profile": "main"}
+        compute = {"optimizer_steps": 600, "examples_seen": 1, "total_tokens": tokens + s, "supervised_tokens": 1, "peak_allocated_gpu_memory_gib": 1.0, "wall_clock_train_s": 1.0, "wall_clock_total_s": 2.0}
+        origin = {"dataset_revision": "parts", "model_identifier": "none", "data_fraction": 1.0, "historical_source_commit": "0" * 40, "run_kind": "fine_tuned"}
+        return {
+            "results.yaml": who | {"metrics": {"checkpoint_selection": {"selected_step": 480, "best_composite": s / 64, **metrics}, "compute": compute, "length": {"allowed_max_length": 1, "realized_truncation": 0}, "provenance": origin}},
+            "manifest.yaml": who | {"dataset_revision": "parts", "historical_source_commit": "0" * 40, "configuration_id": f"parts-{p}"},
+            "selection_trace.json": [{"step": k, "validation_loss": 1.0, "composite_score": s / 64 if k == 480 else 0.1, **metrics} for k in _BUNDLE.steps],
+        }
+
+    root = landing.fresh(spark, "runs")
+    publish.publish_runs(records_, {(p, s): documents(c, p, s) for c, p, s, _, _ in _BUNDLE.runs()}, {(p, s): c for c, p, s, _, _ in _BUNDLE.runs()}, root, ["historical_run_id", "profile"])
+    return root
+
+
+@query("""WITH r AS (SELECT c, s, p_size, p_retailprice, (p_partkey + s) % (CASE WHEN c = 'C0' THEN 3 ELSE 5 END) <> 0 AS exact FROM part, (VALUES ('C0'), ('C1')) t(c), (VALUES (42), (43)) u(s))
+SELECT c AS condition, s::BIGINT AS seed, 2 * count(*)::BIGINT AS records, round(avg(exact::INT), 6) AS exact_match, round(avg(p_retailprice / 100 + s), 6) AS latency, (sum(p_size) + s)::BIGINT AS total_tokens, s / 64.0::DOUBLE AS best, 480::BIGINT AS step FROM r GROUP BY c, s""")
+def run_bundle(spark, d):
+    ids = table(spark, d, "part").select(F.concat(F.lit("sha256:"), F.sha2(F.col("p_partkey").cast("string"), 256)).alias("base_snippet_id"))
+    _, recs, results, _, traces = bundle.load_runs(spark, published_parts(spark, d), _BUNDLE, ids)
+    by = ["condition", "seed"]
+    got = recs.groupBy(*by).agg(F.count("*").alias("records"), r6(F.avg(F.col("exact_match").cast("double"))).alias("exact_match"), r6(F.avg("latency_ms")).alias("latency"))
+    tokens = results.select(*by, F.col("metrics.compute.total_tokens").alias("total_tokens"), F.col("metrics.checkpoint_selection.best_composite").alias("best"))
+    return got.join(tokens, by).join(study.selected_steps(traces).select(*by, F.col("best_step").alias("step")), by)
+
+
 # Text and tool operators on texts put together from the tables.
 
 
