@@ -1,12 +1,14 @@
 """Corpus pipeline: quality, toxicity, near copies, source mix, byte-level BPE; each stage is one corpus operator.
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on what the stage before it kept; its result is written as Parquet
-and read again as the next one's documents. All but the last return the columns of ``documents``.
+and read again as the next one's documents. All but the last return the columns of ``documents``. In every stage, columns of
+any other name and type (dots and back quotes in names, names that the stages use themselves, maps) pass through as they are,
+very long texts are read whole, and ties of scores fall to neither side of a threshold.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalloom.llm import bpe, common, mixing, quality, simhash, toxicity
@@ -38,14 +40,14 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     # two hashes of the text: rows of an id whose texts differ are told apart
-    hashes = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), F.xxhash64(F.lit(2), *rest).alias("h3")]
+    hashes = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), F.xxhash64(F.lit(2), *common.hashable(docs, rest)).alias("h3")]
     key = ["doc_id", "h1", "h2", "h3"]
     best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), *key)).alias("best")
     kept = simhash.grouped(docs, more=hashes).groupBy("root").agg(best).select(*[F.col(f"best.{c}").alias(f"_{c}") for c in key])
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), *hashes)
+    rows = docs.select(common.whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), *hashes)
     rows = rows.join(kept, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key], "left_semi")
-    # a row repeated as a whole stays once
-    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))).where("nth = 1").select("row.*")
+    # a row repeated as a whole stays once: copies fold before they move
+    return rows.groupBy(*key).agg(F.any_value("row").alias("row")).select("row.*")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +58,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """
     out = mixing.mixed(docs)
     size = F.length("text").cast(out.schema["n_chars"].dataType) if "n_chars" in out.columns else None
-    return out.select(*[size.alias(c) if c == "n_chars" else F.col(c) for c in out.columns])
+    return out.select(*[size.alias(c) if c == "n_chars" else common.named(c) for c in out.columns])
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

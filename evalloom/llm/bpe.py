@@ -391,7 +391,7 @@ def _encoded(docs: DataFrame, path: str, digest: bool, names: str) -> DataFrame:
 
 def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``docs`` with ``_ids``, an array of the text's token ids."""
-    src = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    src = docs.select(common.whole_row(docs).alias("row"), F.col("text").cast("string").alias("text"))
     return _encoded(src, path or vocabulary_path(), False, "ids array<int>").select("row.*", F.col("ids").alias("_ids"))
 
 

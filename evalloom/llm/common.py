@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 #: ASCII white space: space and 0x09 to 0x0D. ``bytes.split()`` splits on exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -106,6 +107,7 @@ def unpacked_keys(data: bytes) -> np.ndarray:
 def bucketed(df: DataFrame, key: str, buckets: int, tag: str) -> DataFrame:
     """A table saved in the shared folder in buckets of ``key``: later groupings by it don't move its rows."""
     spark, name = df.sparkSession, f"evalloom_{tag}_{uuid.uuid4().hex}"
+    buckets = min(buckets, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")))
     path = f"{shared_dir(spark)}/evalloom/{name}"
     df.write.bucketBy(buckets, key).option("compression", "zstd").option("path", path).saveAsTable(name, format="parquet")
     return spark.table(name)
@@ -123,6 +125,27 @@ def matrix(column: pa.Array | pa.ChunkedArray, kind: type = np.float64) -> np.nd
     return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(column), -1)
 
 
+def named(column: str) -> Column:
+    """A column by its exact name, dots and back quotes included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, named as they are."""
+    return F.struct(*[named(c) for c in df.columns])
+
+
+def _mapped(kind: DataType) -> bool:
+    if isinstance(kind, StructType):
+        return any(_mapped(f.dataType) for f in kind.fields)
+    return isinstance(kind, MapType) or isinstance(kind, ArrayType) and _mapped(kind.elementType)
+
+
+def hashable(df: DataFrame, columns: list[str] | None = None) -> list[Column]:
+    """Columns in a form that can be hashed: what holds a map stands as JSON."""
+    return [F.to_json(named(f.name), {"ignoreNullFields": "false"}) if _mapped(f.dataType) else named(f.name) for f in df.schema if columns is None or f.name in columns]
+
+
 def total_bytes(df: DataFrame, text: str) -> int:
     return df.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0
 

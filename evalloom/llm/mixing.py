@@ -126,7 +126,7 @@ def mix(rows: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> tu
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix as documents: each with its columns, once for each time that it is taken; a part taken is cut to its words."""
     common.bounded_batches(docs.sparkSession)
-    src = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(*docs.columns).alias("th"), F.col("text").cast("string").alias("_text"))
+    src = docs.select(common.whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(*common.hashable(docs)).alias("th"), F.col("text").cast("string").alias("_text"))
     schema = src.drop("_text").schema.add("size", "long")
     rows = common.saved(src.mapInArrow(_sizes, schema), "mix-rows")
     placed, taken = mix(rows)

@@ -119,7 +119,7 @@ def _scorer(model: PairwiseGam | None) -> Callable[[Iterator[pa.RecordBatch]], I
 
 def scored(docs: DataFrame, model: PairwiseGam | None) -> DataFrame:
     """``(row struct of all columns, doc_id, score)``."""
-    src = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("_text"))
+    src = docs.select(common.whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("_text"))
     return src.mapInArrow(_scorer(model), src.drop("_text").schema.add("score", "double"))
 
 

@@ -274,7 +274,7 @@ def _scorer(model: tuple | None) -> Callable[[Iterator[pa.RecordBatch]], Iterato
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose score stays below the threshold, with their columns."""
-    src = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("_text"))
+    src = docs.select(common.whole_row(docs).alias("row"), F.col("text").cast("string").alias("_text"))
     out = src.mapInArrow(_scorer(learn(docs, labels)), src.drop("_text").schema.add("score", "double"))
     return out.where(F.col("score") < threshold).select("row.*")
 

@@ -42,3 +42,13 @@ def test_buffers_of_slices_and_nulls():
 def test_saved_tables(spark):
     df = common.saved(spark.range(5).toDF("x"), "t")
     assert df.count() == 5 and df.schema["x"].dataType.simpleString() == "bigint"
+
+
+def test_buckets_stay_within_the_session_limit(spark):
+    before = spark.conf.get("spark.sql.sources.bucketing.maxBuckets")
+    spark.conf.set("spark.sql.sources.bucketing.maxBuckets", "5")
+    try:
+        got = common.bucketed(spark.range(40).withColumnRenamed("id", "k"), "k", 2_000_000, "limit")
+        assert got.groupBy("k").count().count() == 40
+    finally:
+        spark.conf.set("spark.sql.sources.bucketing.maxBuckets", before)

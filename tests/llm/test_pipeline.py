@@ -32,6 +32,25 @@ def corpus(spark, folder, n=400):
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
 
 
+def test_columns_with_dots_and_maps(spark, tmp_path):
+    """Names with dots and quotes, maps inside columns, and names that clash with the stages' own pass through every stage."""
+    folder = str(tmp_path)
+    corpus(spark, folder, 60)
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    odd = docs.select("*", F.create_map(F.lit("k"), F.col("doc_id")).alias("a.b"), F.array(F.create_map(F.lit("m"), F.lit(1))).alias("best"), F.struct(F.lit(2).alias("x.y")).alias("h1"), F.lit(3).alias("q`t"))
+    for name, stage in corpus_pipeline.STAGES:
+        odd = stage(spark, odd, folder)
+        if name != "encoding":
+            assert odd.columns == [*docs.columns, "a.b", "best", "h1", "q`t"]
+            odd.write.parquet(f"{folder}/odd-{name}")
+            odd = spark.read.parquet(f"{folder}/odd-{name}")
+            r = odd.where("doc_id is not null").first()
+            assert r["a.b"] == {"k": r["doc_id"]} and r["best"] == [{"m": 1}] and r["q`t"] == 3 and r["h1"]["x.y"] == 2
+    assert odd.count() > 0
+
+
 @pytest.fixture(scope="module")
 def stages(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("corpus"))
