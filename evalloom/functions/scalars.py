@@ -34,11 +34,15 @@ def fenced(x: Column, language: str) -> Column:
     return F.concat(fence(body), F.lit(f"{language}\n"), body, fence(body))
 
 
+# Fence lines and comments, which aren't code.
+NOT_CODE = [r"(?m)^\s*`{3,}(?:\w+)?\s*$", r"(?s)/\*.*?\*/", r"//[^\n]*"]
+
+
 def has_code(x: Column) -> Column:
     """Whether text is left without fence lines and comments."""
-    bare = F.regexp_replace(x, r"(?m)^\s*`{3,}(?:\w+)?\s*$", "")
-    bare = F.regexp_replace(F.regexp_replace(bare, r"(?s)/\*.*?\*/", ""), r"//[^\n]*", "")
-    return bare.rlike(r"(?U)\S")
+    for p in NOT_CODE:
+        x = F.regexp_replace(x, p, "")
+    return x.rlike(r"(?U)\S")
 
 
 def is_directive(x: Column, name: str) -> Column:

@@ -1,7 +1,8 @@
 """Summary lines of source code: closed vocabulary, construct flags, provenance segments, and the parser's interface.
 
 Lines come from a parser of the source language, which Spark doesn't have: ``summarised`` runs an external program that
-prints them as JSON, and raises if it isn't installed. What follows from lines is done in columns.
+prints them as JSON, and raises if it isn't installed. What follows from lines is done in columns; flags and text without
+comments come from ``scanner``.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalloom.functions.scalars import one_space
+from evalloom.functions.scanner import construct_flags, verbatim  # noqa: F401
 from evalloom.functions.tools import checked
 
 OUTPUT_DDL = "struct<id:string,ok:boolean,parse_strategy:string,lines:array<struct<tier:int,depth:int,text:string,segments:array<map<string,string>>>>,excluded_constructs:array<string>,parse_error:string>"
@@ -31,23 +32,6 @@ def unknown_words(segments: Column, allowed: list[str]) -> Column:
     return F.array_except(tokens, F.array(*map(F.lit, allowed)))
 
 
-def verbatim(code: Column) -> Column:
-    """Source text without comments, white space as single spaces."""
-    return one_space(F.regexp_replace(F.regexp_replace(code, r"(?s)/\*.*?\*/", " "), r"//[^\n]*", " "))
-
-
-def construct_flags(code: Column) -> Column:
-    """Sorted flags that directives and imports show: an approximation by pattern, without a syntax tree."""
-    rules = {
-        "build_tags": r"(?m)^//(go:build|\s*\+build)\b",
-        "cgo": r'(?m)^\s*import\s+(\(\s*)?"C"',
-        "generics": r"(?m)^\s*(func|type)\s+\w+\[\s*\w+(\s*,\s*\w+)*\s+[^\]]+\]",
-        "go:embed": r"(?m)^//go:embed([ \t].*)?$",
-        "unsafe_ptr": r"\bunsafe\.Pointer\b",
-    }
-    return F.array_compact(F.array(*[F.when(code.rlike(p), F.lit(k)) for k, p in rules.items()]))
-
-
 def failure_is_empty(summary: Column) -> Column:
     """A successful summary names a strategy and no error; a failed one has no lines and says why."""
     good = summary["parse_strategy"].isNotNull() & summary["parse_error"].isNull()

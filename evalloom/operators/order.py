@@ -1,46 +1,26 @@
-"""Global order without a global sort in one task: positions, running sums and exact percentiles by range buckets."""
+"""Global order without a global sort in one task: positions and running sums of any weight, over ranges of one order."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Range buckets of a group, and the rows that a bucket may hold before it is split.
-BUCKETS, MOST_ROWS = 256, 1 << 18
+from evalloom.operators import ranged
 
 
-def _bucketed(df: DataFrame, by: list[str], value: str, buckets: int, most: int = MOST_ROWS) -> DataFrame:
-    """Adds ``_b``, a bucket that grows with ``value`` within its group.
+def _ordered(df: DataFrame, by: list[str], value: str, ties: list[Column]) -> DataFrame:
+    """Ranges of the order of ``value`` and ``ties``; equal rows follow a number of their own, so one value may fill many ranges."""
+    rows = df.withColumns({f"_t{i}": t for i, t in enumerate(ties)}).withColumn("_id", F.monotonically_increasing_id())
+    keys = [value, *[f"_t{i}" for i in range(len(ties))], "_id"]
+    return ranged.ranged(rows, by, keys).drop(*keys[1:])
 
-    Buckets have equal widths; one with more than ``most`` rows is split between its own extremes into as many as its
-    rows ask for, so neither an outlier nor a larger table makes the window of one bucket grow without bound. Rows of
-    one value stay together.
-    """
-    ends = df.groupBy(*by).agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))
-    joined = df.join(ends, by) if by else df.crossJoin(F.broadcast(ends))  # one row of extremes
 
-    def place(n: Column) -> Column:
-        width = F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-300))
-        return F.floor((F.col(value).cast("double") - F.col("_lo")) / width * n)
-
-    rows = joined.withColumn("_b", place(F.lit(buckets - 1)).cast("int")).drop("_lo", "_hi")
-    held = rows.groupBy(*by, "_b").agg(F.count("*").alias("_n"), F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))
-    held = held.where(F.col("_n") > most)
-    split = rows.join(held, [*by, "_b"], "left")
-    inner = F.when(F.col("_n").isNull(), F.lit(0)).otherwise(place(F.ceil(F.col("_n") / most) * 2))
-    return split.withColumn("_b", F.shiftleft(F.col("_b").cast("long"), 32) + inner).drop("_n", "_lo", "_hi")
-
-
-def running_total(df: DataFrame, by: list[str], value: str, weight: Column, out: str, ties: list[Column] | None = None, buckets: int = BUCKETS) -> DataFrame:
+def running_total(df: DataFrame, by: list[str], value: str, weight: Column, out: str, ties: list[Column] | None = None) -> DataFrame:
     """Adds the inclusive running sum of ``weight`` in the order of ``value`` (then ``ties``) within each group."""
-    rows = _bucketed(df, by, value, buckets).withColumn("_w", weight)
-    inner = Window.partitionBy(*by, "_b").orderBy(F.col(value), *(ties or [])).rowsBetween(Window.unboundedPreceding, 0)
-    sums = rows.groupBy(*by, "_b").agg(F.sum("_w").alias("_s"))
-    outer = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select(*by, "_b", F.coalesce(F.sum("_s").over(outer), F.lit(0)).alias("_before"))
-    return rows.join(before, [*by, "_b"]).withColumn(out, F.sum("_w").over(inner) + F.col("_before")).drop("_b", "_w", "_before")
+    rows = _ordered(df.withColumn(out, weight), by, value, ties or [])
+    return ranged.running(rows, by, [out], prefix="_total_").drop(out, "_part", "_row").withColumnRenamed(f"_total_{out}", out)
 
 
 def positions(df: DataFrame, value: str, ties: list[Column], out: str = "pos") -> DataFrame:
-    """Adds 0-based positions in the order of a numeric ``value`` and ``ties``, over the whole table."""
-    return running_total(df, [], value, F.lit(1).cast("long"), out, ties).withColumn(out, F.col(out) - 1)
+    """Adds 0-based positions in the order of ``value`` and ``ties``, over the whole table."""
+    return ranged.numbered(_ordered(df, [], value, ties), [], out).drop("_part", "_row")

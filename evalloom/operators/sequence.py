@@ -49,31 +49,26 @@ def mixture_stream(spark: SparkSession, n_main: int, n_aux: int, ratio: float, t
 
 
 def nearest(left: DataFrame, value: str, right: DataFrame, other: str, key: str) -> DataFrame:
-    """For each left row the right key of least |difference| (ties: the smaller key), without a cross join.
+    """For each left row the right key of least |difference| (ties: the smaller key), without a cross join; null for a null value.
 
-    Only a right value's smallest key can win, so the right side folds to distinct values. Both sides meet in one order
-    cut into ranges; within a range the nearest value below and above come from windows, and each range also gets the
-    last value of the ranges below and the first of those above.
+    Only a right value's smallest key can win, so the right side folds to distinct values. Both sides meet in one order cut
+    into ranges; within a range the nearest values below and above come from windows, and each range also gets the last
+    value of the ranges before it and the first of those after.
     """
-    r = right.groupBy(F.col(other).alias("_v")).agg(F.min(key).alias("_k"))
-    cuts = r.agg(F.percentile_approx("_v", [i / 64 for i in range(1, 64)], 10_000).alias("q")).first()["q"] or []
-    cuts = sorted(set(cuts))
-    n = len(cuts)
-    place = lambda c: F.size(F.filter(F.array(*map(F.lit, cuts)), lambda b: b <= c)) if n else F.lit(0)
-    sides = r.withColumn("_b", place(F.col("_v")))
-    ends = sides.groupBy("_b").agg(F.max(F.struct("_v", "_k")).alias("hi"), F.min(F.struct("_v", "_k")).alias("lo"))
-    # at most 64 ranges: windows over this tiny table carry the neighbours' ends in
-    every = left.sparkSession.range(n + 1).select(F.col("id").cast("int").alias("_b")).join(ends, "_b", "left")
-    w = Window.partitionBy(F.lit(0)).orderBy("_b")
-    carry = every.select("_b", F.last("hi", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_under"), F.first("lo", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_over"))
+    r = right.where(F.col(other).isNotNull()).groupBy(F.col(other).alias("_v")).agg(F.min(key).alias("_k"))
     nulls = F.lit(None)
-    rows = left.withColumn("_left", F.struct(*[left[c] for c in left.columns])).select("_left", F.col(value).alias("_v")).withColumn("_b", place(F.col("_v"))).withColumn("_k", nulls.cast(right.schema[key].dataType))
-    both = rows.unionByName(sides.select(nulls.cast(rows.schema["_left"].dataType).alias("_left"), "_v", "_b", "_k"))
+    rows = left.select(F.struct(*[left[c] for c in left.columns]).alias("_left"), F.col(value).alias("_v"), nulls.cast(right.schema[key].dataType).alias("_k"), F.lit(1).alias("_side"))
+    both = rows.unionByName(r.select(nulls.cast(rows.schema["_left"].dataType).alias("_left"), "_v", "_k", F.lit(0).alias("_side")))
+    # a number of their own lets equal values fill many ranges
+    ordered = ranged.ranged(both.withColumn("_id", F.monotonically_increasing_id()), [], ["_v", "_side", "_id"])
     point = F.when(F.col("_k").isNotNull(), F.struct("_v", "_k"))
-    o = Window.partitionBy("_b").orderBy("_v")
-    both = both.withColumn("_lo", F.last(point, True).over(o.rangeBetween(Window.unboundedPreceding, 0))).withColumn("_hi", F.first(point, True).over(o.rangeBetween(0, Window.unboundedFollowing)))
-    got = both.where(F.col("_left").isNotNull()).join(F.broadcast(carry), "_b")
-    picks = [F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(c)["_v"] - F.col("_v")).alias("distance"), F.col(c)["_k"].alias("key"))) for c in ("_lo", "_hi", "_under", "_over")]
+    ends = ordered.groupBy("_part").agg(F.max(point).alias("_max"), F.min(point).alias("_min"))
+    p = Window.partitionBy(F.lit(0)).orderBy("_part")  # one row a range
+    carry = ends.select("_part", F.last("_max", True).over(p.rowsBetween(Window.unboundedPreceding, -1)).alias("_under"), F.first("_min", True).over(p.rowsBetween(1, Window.unboundedFollowing)).alias("_over"))
+    w = Window.partitionBy("_part").orderBy("_row")
+    placed = ordered.withColumn("_lo", F.last(point, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_hi", F.first(point, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    got = placed.where("_side = 1").join(carry, "_part")
+    picks = [F.when(F.col(c).isNotNull() & F.col("_v").isNotNull(), F.struct(F.abs(F.col(c)["_v"] - F.col("_v")).alias("distance"), F.col(c)["_k"].alias("key"))) for c in ("_lo", "_hi", "_under", "_over")]
     best = F.array_min(F.array_compact(F.array(*picks)))
     return got.select("_left.*", best["key"].alias("nearest"), best["distance"].alias("distance"))
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.functions import prompts, scalars, textops
-from evalloom.operators import constraints, labels, paired, permute, ranged, records, resample, sequence, stats, strata
+from evalloom.functions import prompts, scalars, scanner, textops
+from evalloom.operators import batches, constraints, labels, leaves, paired, permute, ranged, records, resample, sequence, stats, strata
 from evalloom.plans import bundle, evaluate, study
 from evalloom.sources import landing, publish
 
@@ -502,6 +504,106 @@ def learning_rate_schedule(spark, d):
     return spark.range(600).select(F.col("id").alias("step"), r6(sequence.warmup_cosine(F.col("id"), 600, 60, 0.1)).alias("multiplier"))
 
 
+# Sources made from parts: what the scanner must see follows from the part's numbers.
+
+_PIECES = [
+    # (selector, its modulus, pieces by remainder: text, text without comments, flag)
+    ("p_size", 5, {0: ("//go:build linux", "", "build_tags"), 1: ("// +build linux", "", "build_tags"), 2: ("/* //go:build no */", "", None), 3: ("//go:builder x", "", None)}),
+    ("0", 1, {0: ("package p", "package p", None)}),
+    ("p_size", 7, {0: ('import "C"', 'import "C"', "cgo"), 1: ('import (\n\t"fmt"\n\tx "C"\n)', 'import (\n\t"fmt"\n\tx "C"\n)', "cgo"), 2: ('// import "C"', "", None), 3: ('var s = "import \\"C\\""', 'var s = "import \\"C\\""', None), 4: ('import "fmt"\nvar c = "C"', 'import "fmt"\nvar c = "C"', None)}),
+    ("p_partkey", 7, {0: ("type T[P any] struct{}", "type T[P any] struct{}", "generics"), 1: ("type T [4]int", "type T [4]int", None), 2: ("func F[K comparable](k K) {}", "func F[K comparable](k K) {}", "generics"), 3: ("type (\n\tA int\n\tB[X, Y any] []X\n)", "type (\n\tA int\n\tB[X, Y any] []X\n)", "generics"), 4: ("func G() { a[i] = b [j] }", "func G() { a[i] = b [j] }", None), 5: ("`type R[P any] /* kept */`", "`type R[P any] /* kept */`", None)}),
+    ("p_size", 4, {0: ("var u = unsafe . Pointer(nil)", "var u = unsafe . Pointer(nil)", "unsafe_ptr"), 1: ('var t = "unsafe.Pointer"', 'var t = "unsafe.Pointer"', None), 2: ("var v uintptr // x", "var v uintptr", "unsafe_ptr"), 3: ('var w = "http://a/*b" /* "c" */ + \'"\'', 'var w = "http://a/*b" + \'"\'', None)}),
+    ("p_partkey", 5, {0: ("//go:embed a.txt", "", "go:embed"), 1: ("//go:embedded a", "", None), 2: ('var e = "//go:embed b"', 'var e = "//go:embed b"', None)}),
+]
+
+
+def _piece(which: int, sql: bool) -> list:
+    quoted = lambda t: "'" + t.replace("'", "''") + "'" if t is not None else "NULL"
+    if sql:
+        return [f"CASE {c} % {m} " + " ".join(f"WHEN {r} THEN {quoted(x[which])}" for r, x in by.items()) + f" ELSE {'NULL' if which == 2 else quoted('')} END" for c, m, by in _PIECES]
+    out = []
+    for c, m, by in _PIECES:
+        e = F.lit("")
+        for r, x in by.items():
+            e = F.when(F.expr(c) % m == r, F.lit(x[which])).otherwise(e)
+        out.append(e)
+    return out
+
+
+@query(f"""SELECT p_partkey, list_sort(list_filter([{", ".join(_piece(2, True))}], lambda x: x IS NOT NULL)) AS flags,
+trim(regexp_replace(concat_ws(chr(10), {", ".join(_piece(1, True))}, 'var n = "' || p_name || '"'), '\\s+', ' ', 'g')) AS verbatim FROM part""")
+def source_scanner(spark, d):
+    """Flags and text without comments of sources with strings, runes, raw strings and directives in all the wrong places."""
+    code = F.concat_ws("\n", *_piece(0, False), F.concat(F.lit('var n = "'), "p_name", F.lit('" // "unsafe.Pointer"')))
+    src = table(spark, d, "part").select("p_partkey", code.alias("code"))
+    return src.select("p_partkey", scanner.construct_flags(F.col("code")).alias("flags"), scanner.verbatim(F.col("code")).alias("verbatim"))
+
+
+@query(f"""SELECT p_partkey, len(regexp_extract_all(c, '{scanner.SQL_TOKEN.replace("'", "''")}'))::BIGINT AS n FROM (SELECT p_partkey, concat_ws(chr(10), {", ".join(_piece(0, True))}) AS c FROM part)""")
+def source_tokens(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.size(scanner.tokens(F.concat_ws("\n", *_piece(0, False)))).cast("long").alias("n"))
+
+
+# Batches that go out packed and come back in order; component scores; a registry of leaves.
+
+
+def _widths(t: pa.Table) -> pa.Table:
+    """A batch's width and each row's padding."""
+    n = t["len"].to_numpy()
+    return pa.table({"pos": t["pos"], "width": np.full(len(n), n.max()), "padding": n.max() - n, "rows": np.full(len(n), len(n))})
+
+
+@query("""WITH r AS (SELECT o_orderkey AS pos, o_orderpriority AS f, floor(o_totalprice / 1000)::BIGINT AS len FROM orders), b AS (SELECT *, (row_number() OVER (PARTITION BY f ORDER BY len, pos) - 1) // 16 AS b FROM r)
+SELECT pos AS o_orderkey, f AS o_orderpriority, max(len) OVER w AS width, max(len) OVER w - len AS padding, count(*) OVER w AS rows FROM b WINDOW w AS (PARTITION BY f, b)""")
+def scatter_restore(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("pos"), "o_orderpriority", F.floor(F.col("o_totalprice") / 1000).cast("long").alias("len"))
+    got = batches.restored(o, "pos", "o_orderpriority", "len", _widths, "width long, padding long, rows long", 16)
+    return got.select(F.col("pos").alias("o_orderkey"), "o_orderpriority", "width", "padding", "rows")
+
+
+@query("""WITH r AS (SELECT o_orderstatus AS s, o_orderpriority AS t, o_totalprice > 200000 AS hit FROM orders)
+SELECT s AS o_orderstatus, round(coalesce(avg(hit::INT) FILTER (t = '1-URGENT'), 0), 6) AS urgent, round(coalesce(avg(hit::INT) FILTER (t = '5-LOW'), 0), 6) AS low, round(coalesce(avg(hit::INT) FILTER (t = 'none'), 0), 6) AS "none",
+round((coalesce(avg(hit::INT) FILTER (t = '1-URGENT'), 0) + coalesce(avg(hit::INT) FILTER (t = '5-LOW'), 0)) / 3.0::DOUBLE, 6) AS composite FROM r GROUP BY s""")
+def component_scores(spark, d):
+    """Three components of a composite by order status, in one pass; one of them has no rows."""
+    rows = table(spark, d, "orders").select("o_orderstatus", F.col("o_orderpriority").alias("task_type"), (F.col("o_totalprice") > 200_000).alias("hit"))
+    scorers = [evaluate.Scorer(n, t, 64, evaluate.rate_of(F.col("hit"))) for n, t in (("urgent", "1-URGENT"), ("low", "5-LOW"), ("none", "none"))]
+    return rounded(evaluate.composite(rows, scorers, ["o_orderstatus"]))
+
+
+_FLAGS, _STATES = ["A", "N", "R"], ["F", "O"]
+
+
+def _line_leaves() -> leaves.Leaves:
+    """Counts, sums, shares, extremes and texts of lineitem by flag and status, declared by rule."""
+    out = leaves.Leaves()
+    f, s, q = F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_quantity").cast("double")
+    for x in _FLAGS:
+        out.add("lineitem", {f"lines.{x}.count": F.count_if(f == x), f"lines.{x}.percent": leaves.share(F.count_if(f == x), F.count("*")), f"lines.{x}.greatest_price": F.max(F.when(f == x, F.col("l_extendedprice"))), f"lines.{x}.statuses": F.count_distinct(F.when(f == x, s))})
+        out.add("lineitem", {f"lines.{x}.{y}.quantity": F.coalesce(F.sum(F.when((f == x) & (s == y), q)), F.lit(0.0)) for y in _STATES})
+    out.add("lineitem", {"lines.first_flag": F.min(f), "lines.all_positive": F.bool_and(q > 0)})
+    out.add("lineitem", {f"lines.{x}.count": F.when(F.count_if(f == x) > 0, F.count_if(f == x)) for x in ("X", "Y")}, optional=True)
+    out.add("orders", {f"orders.{y}.count": F.count_if(F.col("o_orderstatus") == y) for y in ("F", "O", "P")} | {"orders.customers": F.count_distinct("o_custkey")})
+    return out
+
+
+def _line_leaves_sql() -> str:
+    one = lambda i, v, t, k="number": f"SELECT '{i}' AS id, {v if k in ('number', 'whole') else 'NULL'}::DOUBLE AS number, {v if k == 'text' else 'NULL'}::VARCHAR AS text, {v if k == 'flag' else 'NULL'}::BOOLEAN AS flag, '{k}' AS kind FROM {t}"
+    out = []
+    for x in _FLAGS:
+        of = f"FILTER (l_returnflag = '{x}')"
+        out += [one(f"lines.{x}.count", f"count(*) {of}", "lineitem", "whole"), one(f"lines.{x}.percent", f"round(count(*) {of} * 100.0::DOUBLE / count(*), 6)", "lineitem"), one(f"lines.{x}.greatest_price", f"max(l_extendedprice) {of}", "lineitem"), one(f"lines.{x}.statuses", f"count(DISTINCT l_linestatus) {of}", "lineitem", "whole")]
+        out += [one(f"lines.{x}.{y}.quantity", f"coalesce(sum(l_quantity) FILTER (l_returnflag = '{x}' AND l_linestatus = '{y}'), 0)", "lineitem") for y in _STATES]
+    out += [one("lines.first_flag", "min(l_returnflag)", "lineitem", "text"), one("lines.all_positive", "bool_and(l_quantity > 0)", "lineitem", "flag")]
+    out += [one(f"orders.{y}.count", f"count(*) FILTER (o_orderstatus = '{y}')", "orders", "whole") for y in ("F", "O", "P")] + [one("orders.customers", "count(DISTINCT o_custkey)", "orders", "whole")]
+    return " UNION ALL ".join(out)
+
+
+@query(_line_leaves_sql())
+def leaf_registry(spark, d):
+    return rounded(_line_leaves().table({"lineitem": table(spark, d, "lineitem"), "orders": table(spark, d, "orders")}))
+
+
 # A run bundle made from parts: published by executors, read once, checked, then queried.
 
 _BUNDLE_CONDITIONS = {c: {"kind": "fine_tuned", "path": c.lower(), "seeds": [42, 43], "configuration_id": f"parts-{c.lower()}"} for c in ("C0", "C1")}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -94,10 +95,64 @@ def records(*parts: DataFrame) -> DataFrame:
     return out
 
 
+@dataclass(frozen=True)
+class Scorer:
+    """A component of a validation composite: its name, the task whose rows it sees, the cap of their answers, and its value over them.
+
+    ``value`` takes the condition that picks the task's rows and returns one aggregate, so any number of scorers share a pass.
+    """
+
+    name: str
+    task: str
+    cap: int
+    value: Callable[[Column], Column]
+
+
+def macro_f1_of(pred: str, gold: str, classes: list[str]) -> Callable[[Column], Column]:
+    """Macro-F1 as one aggregate; a class without rows counts 0."""
+
+    def value(mine: Column) -> Column:
+        def f1(k: str) -> Column:
+            p, g = F.array_contains(pred, k), F.array_contains(gold, k)
+            n = lambda c: F.count_if(mine & F.coalesce(c, F.lit(False)))
+            return F.coalesce(F.try_divide(2.0 * n(p & g), n(p) + n(g)), F.lit(0.0))
+
+        return sum((f1(k) for k in classes[1:]), f1(classes[0])) / len(classes)
+
+    return value
+
+
+def rate_of(hit: Column | str) -> Callable[[Column], Column]:
+    """Share of the task's rows that hit (a condition or a boolean column); null where there is none."""
+    return lambda mine: F.avg(F.when(mine, F.coalesce(F.col(hit) if isinstance(hit, str) else hit, F.lit(False)).cast("double")))
+
+
+# Names, tasks and answer caps of the study's components.
+SCORERS = [
+    Scorer("macro_f1", "rule_identification", 64, macro_f1_of("pred", "target_checks", CHECKS)),
+    Scorer("correction_fix_rate", "correction", 512, rate_of("outcome.overall_fixed")),
+    Scorer("joint_fix_rate", "joint", 512, rate_of("outcome.overall_fixed")),
+]
+
+
+def composite(scored: DataFrame, scorers: list[Scorer], by: list[str] | None = None, whole: bool = False) -> DataFrame:
+    """(*by, a column a scorer, composite): the unweighted mean of the components, 0 for a task without rows.
+
+    With ``whole`` a component without a value is an error. Names must differ.
+    """
+    if len({s.name for s in scorers}) < len(scorers) or not scorers:
+        raise ValueError("a composite needs scorers of different names")
+    rows = scored.groupBy(*(by or [])).agg(*[s.value(F.col("task_type") == s.task).alias(s.name) for s in scorers], *[F.count_if(F.col("task_type") == s.task).alias(f"_n{i}") for i, s in enumerate(scorers)])
+
+    def part(i: int, s: Scorer) -> Column:
+        none = F.raise_error(F.lit(f"{s.name} has no rows")).cast("double") if whole else F.lit(0.0)
+        return F.when(F.col(f"_n{i}") == 0, none).otherwise(F.coalesce(F.col(s.name), F.lit(0.0)))
+
+    parts = rows.select(*(by or []), *[part(i, s).alias(s.name) for i, s in enumerate(scorers)])
+    total = sum((F.col(s.name) for s in scorers[1:]), F.col(scorers[0].name))
+    return parts.withColumn("composite", total / len(scorers))
+
+
 def validation_scores(scored: DataFrame) -> DataFrame:
     """Macro-F1 and the two repair rates, 0 where a task has no rows, and their unweighted mean."""
-    rule = scored.where("task_type = 'rule_identification'")
-    fixed = lambda t: F.coalesce(F.avg(F.when(F.col("task_type") == t, F.col("outcome.overall_fixed").cast("double"))), F.lit(0.0))
-    rates = scored.agg(fixed("correction").alias("correction_fix_rate"), fixed("joint").alias("joint_fix_rate"))
-    out = labels.macro_f1(rule, "pred", "target_checks", CHECKS, []).crossJoin(rates)
-    return out.withColumn("composite", (F.col("macro_f1") + F.col("correction_fix_rate") + F.col("joint_fix_rate")) / 3)
+    return composite(scored, SCORERS)

@@ -128,3 +128,28 @@ def test_condition_stream(spark):
         assert x.item == want
     aux_draws = [x["index"] for x in sorted(got, key=lambda x: x.position) if x.pool == "aux"]
     assert all(sorted(aux_draws[i : i + 4]) == [0, 1, 2, 3] for i in range(0, 48, 4))
+
+
+def test_nearest_over_ranges(spark, small):
+    """Half of the left rows have one value; nulls; right values far from some ranges."""
+    r = random.Random(6)
+    left = [(i, None if i % 50 == 0 else 500 if i % 2 else r.randrange(1000)) for i in range(400)]
+    right = [(r.randrange(0, 300, 7), k) for k in range(60)] + [(900, 70), (900, 69), (None, 71)]
+    got = sequence.nearest(spark.createDataFrame(left, "id int, v int"), "v", spark.createDataFrame(right, "w int, key int"), "w", "key").collect()
+    assert len(got) == 400
+    for x in got:
+        want = min(((abs(w - x.v), k) for w, k in right if w is not None), default=None) if x.v is not None else (None, None)
+        assert (x.distance, x.nearest) == want
+
+
+def test_positions_of_one_value(spark, small):
+    """A value that fills many ranges, and values of very different size."""
+    from evalloom.operators import order
+
+    df = spark.range(500).select(F.when(F.col("id") < 300, 1.0).when(F.col("id") == 499, 1e12).otherwise(F.col("id").cast("double")).alias("v"), F.lit(1).alias("w"))
+    got = order.positions(df, "v", []).orderBy("pos").collect()
+    assert [x.pos for x in got] == list(range(500)) and [x.v for x in got] == sorted(x.v for x in got)
+    parts = ranged.ranged(df.withColumn("i", F.monotonically_increasing_id()), [], ["v", "i"]).groupBy("_part").count().collect()
+    assert len(parts) >= 10 and max(x["count"] for x in parts) < 150
+    total = order.running_total(df, [], "v", F.col("w"), "upto").agg(F.max("upto")).first()[0]
+    assert total == 500
