@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from evalloom.functions.scanner import construct_flags, verbatim  # noqa: F401
 from evalloom.functions.tools import checked
 
-OUTPUT_DDL = "struct<id:string,ok:boolean,parse_strategy:string,lines:array<struct<tier:int,depth:int,text:string,segments:array<map<string,string>>>>,excluded_constructs:array<string>,parse_error:string>"
+OUTPUT_LINES = "array<struct<tier:int,depth:int,text:string,segments:array<map<string,string>>>>"
+OUTPUT_DDL = f"struct<id:string,ok:boolean,parse_strategy:string,lines:{OUTPUT_LINES},excluded_constructs:array<string>,parse_error:string>"
 
 
 def summarised(df: DataFrame, code: str, command: Sequence[str]) -> DataFrame:
@@ -37,3 +38,20 @@ def failure_is_empty(summary: Column) -> Column:
     good = summary["parse_strategy"].isNotNull() & summary["parse_error"].isNull()
     bad = (F.size(summary["lines"]) == 0) & summary["parse_error"].isNotNull()
     return F.when(summary["ok"], good).otherwise(bad)
+
+
+def output_line(row_id: Column, summary: Column) -> Column:
+    """The JSON line of a summary: empty arrays rather than nulls, every field present, segments with one key each."""
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    segments = "array<map<string,string>>"
+    lines = F.transform(empty(summary["lines"], OUTPUT_LINES), lambda x: F.struct(x["tier"].alias("tier"), x["depth"].alias("depth"), x["text"].alias("text"), empty(x["segments"], segments).alias("segments")))
+    several = F.exists(lines, lambda x: F.exists(x["segments"], lambda s: F.size(s) != 1))
+    fields = F.struct(
+        row_id.alias("id"),
+        F.coalesce(summary["ok"], F.lit(False)).alias("ok"),
+        F.coalesce(summary["parse_strategy"], F.lit("")).alias("parse_strategy"),
+        lines.alias("lines"),
+        empty(summary["excluded_constructs"], "array<string>").alias("excluded_constructs"),
+        F.coalesce(summary["parse_error"], F.lit("")).alias("parse_error"),
+    )
+    return F.when(several, F.raise_error(F.lit("a segment has one key")).cast("string")).otherwise(F.to_json(fields))

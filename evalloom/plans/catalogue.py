@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.functions import prompts, scalars, scanner, textops
+from evalloom.functions import encoding, prompts, scalars, scanner, textops
 from evalloom.operators import batches, constraints, labels, leaves, paired, permute, ranged, records, resample, sequence, stats, strata
-from evalloom.plans import bundle, evaluate, study
+from evalloom.plans import bundle, evaluate, prepared, study
 from evalloom.sources import landing, publish
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -604,6 +604,60 @@ def leaf_registry(spark, d):
     return rounded(_line_leaves().table({"lineitem": table(spark, d, "lineitem"), "orders": table(spark, d, "orders")}))
 
 
+# Training examples of documents: word lengths stand for token ids, the first eight words for the prompt.
+
+
+def _word_ids(t: Column) -> Column:
+    return F.transform(F.filter(F.split(t, " "), lambda w: w != ""), lambda w: F.length(w).cast("long"))
+
+
+_EXAMPLES_SQL = """WITH d AS (SELECT doc_id, list_transform(list_filter(string_split(coalesce(text, ''), ' '), lambda w: w <> ''), lambda w: length(w)) AS ids FROM documents),
+e AS (SELECT doc_id, least(len(ids), 8) + 2 AS p, list_concat(list_concat([1000, 1001], ids[1:8]), list_concat(ids[9:], [1002])) AS ids, floor((row_number() OVER (ORDER BY doc_id) - 1) / 4)::BIGINT AS b FROM d),
+w AS (SELECT *, least(max(len(ids)) OVER (PARTITION BY b), 64) AS w FROM e),
+p AS (SELECT *, list_concat(ids[1:w], list_transform(range(greatest(w - len(ids), 0)), lambda x: 0)) AS padded FROM w)
+"""
+
+
+@query(_EXAMPLES_SQL + """SELECT doc_id, b AS batch, p::BIGINT AS prompt_len, w - 1 AS width, list_sum(padded[1:w - 1])::BIGINT AS input_sum,
+len(list_filter(list_transform(range(2, w + 1), lambda i: CASE WHEN i - 2 < p - 1 OR padded[i] = 0 THEN NULL ELSE padded[i] END), lambda t: t IS NOT NULL))::BIGINT AS supervised,
+coalesce(list_sum(list_transform(range(2, w + 1), lambda i: CASE WHEN i - 2 < p - 1 OR padded[i] = 0 THEN NULL ELSE padded[i] END)), 0)::BIGINT AS target_sum FROM p""")
+def collated_examples(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    words = _word_ids(F.col("text"))
+    ids = F.concat(F.array(*[F.lit(i).cast("long") for i in (1000, 1001)]), F.slice(words, 1, 8))
+    rest = F.slice(words, F.lit(9), F.greatest(F.size(words), F.lit(1)))
+    one = docs.select("doc_id", encoding.example(ids, rest, lambda x: x, 1002).alias("e")).select("doc_id", "e.*")
+    got = encoding.collated_stream(one, "doc_id", [], "input_ids", "prompt_len", 4, 0, 64)
+    learned = F.filter("targets", lambda t: t != encoding.IGNORED)
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
+    return got.select("doc_id", "batch", "prompt_len", F.size("inputs").cast("long").alias("width"), total(F.col("inputs")).alias("input_sum"), F.size(learned).cast("long").alias("supervised"), total(learned).alias("target_sum"))
+
+
+@query("""WITH l AS (SELECT n_chars, doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)), m AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS spot, doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)),
+r AS (SELECT i AS draw, ('0x' || substr(md5('5:' || i), 1, 12))::BIGINT % (SELECT count(*) FROM m) AS spot FROM range((SELECT count(*) FROM documents)) t(i)), u AS (SELECT draw, doc_id AS main_key, n_chars FROM r JOIN m USING (spot)),
+x AS (SELECT n_chars AS v, min(doc_id) AS k FROM l GROUP BY 1), lo AS (SELECT u.draw, x.v, x.k FROM u ASOF LEFT JOIN x ON u.n_chars >= x.v), hi AS (SELECT u.draw, x.v, x.k FROM u ASOF LEFT JOIN x ON u.n_chars <= x.v),
+b AS (SELECT u.draw, main_key, abs(lo.v - u.n_chars) AS a, lo.k AS ka, abs(hi.v - u.n_chars) AS b, hi.k AS kb FROM u JOIN lo USING (draw) JOIN hi USING (draw))
+SELECT draw::BIGINT AS draw, main_key, (CASE WHEN b IS NULL OR a < b OR (a = b AND ka < kb) THEN ka ELSE kb END)::BIGINT AS nearest, (CASE WHEN b IS NULL OR a <= b THEN a ELSE b END)::BIGINT AS distance FROM b""")
+def stratified_sample(spark, d):
+    """As many draws as documents among the unlabelled ones, each matched with the labelled one of nearest length."""
+    docs, lab = table(spark, d, "documents").select("doc_id", "n_chars"), table(spark, d, "labels").select("doc_id")
+    return prepared.stratified_sample(docs.join(lab, "doc_id", "left_anti"), docs.join(lab, "doc_id", "left_semi"), "n_chars", "doc_id", docs.count(), 5)
+
+
+@query("SELECT DISTINCT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def subset_violations(spark, d):
+    """Customers with orders that the set of customers in credit lacks."""
+    allowed = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
+    return constraints.outside(table(spark, d, "orders"), allowed, ["o_custkey"])
+
+
+@query("""WITH h AS (SELECT source, sha256(CASE WHEN text IS NULL THEN 'null' ELSE '=' || text END) AS h FROM documents)
+SELECT source, count(*)::BIGINT AS n, """ + " || ".join(f"format('{{:016x}}', (sum(('0x' || substr(h, {8 * i + 1}, 8))::BIGINT)::HUGEINT % 9223372036854775808)::BIGINT)" for i in range(8)) + " AS digest FROM h GROUP BY 1")
+def text_digests(spark, d):
+    """An order-free digest of each source's texts, copies included."""
+    return constraints.multiset_digest(table(spark, d, "documents"), ["source"], "text")
+
+
 # A run bundle made from parts: published by executors, read once, checked, then queried.
 
 _BUNDLE_CONDITIONS = {c: {"kind": "fine_tuned", "path": c.lower(), "seeds": [42, 43], "configuration_id": f"parts-{c.lower()}"} for c in ("C0", "C1")}

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalloom.operators import constraints, sequence, stats
+from evalloom.operators import constraints, ranged, records, sequence, stats
 from evalloom.operators.constraints import ConstraintError
 from evalloom.sources import strict
 
@@ -59,7 +61,8 @@ def check_subset(part: DataFrame, whole: DataFrame, rule: str) -> None:
 
 
 def check_checksum(ids: DataFrame, expected: str) -> None:
-    got = constraints.id_checksum(ids, [], "id").first()["checksum"]
+    found = constraints.id_checksum(ids, [], "id").first()
+    got = found["checksum"] if found else None
     if got != expected:
         raise ConstraintError(f"ids have checksum {got}, not {expected}")
 
@@ -70,6 +73,56 @@ def check_auxiliary(auxiliary: DataFrame, source: DataFrame, key: list[str], col
     constraints.require(constraints.mismatches(auxiliary, present, key, columns), "auxiliary agrees with source")
 
 
+@dataclass(frozen=True)
+class Prepared:
+    """Prepared training data: tasks (id, split, task_type, file: the split of their file), and what refers to their ids."""
+
+    tasks: DataFrame
+    kinds: list[str]
+    length_exclusions: DataFrame
+    exclusion_checksum: str
+    adjudications: DataFrame
+    quarantine: DataFrame
+    composite: DataFrame
+    summaries: DataFrame | None = None
+    auxiliary: DataFrame | None = None
+    source: DataFrame | None = None
+    auxiliary_key: tuple[str, ...] = ("id",)
+    auxiliary_columns: tuple[str, ...] = ()
+
+
+def validate(p: Prepared) -> None:
+    """Everything that must hold between the tables of a prepared study, in the order in which it depends on each other."""
+    check_tasks(p.tasks, "file", p.kinds)
+    ids = p.tasks.select("id", "split").distinct()
+    of = lambda s: ids.where(F.col("split") == s).select("id")
+    check_subset(p.length_exclusions, of("train"), "length exclusions are train ids")
+    for name, table in (("adjudication", p.adjudications), ("quarantine", p.quarantine)):
+        constraints.require(constraints.outside(table, ids, ["id", "split"]), f"{name} ids are of their declared split")
+    dropped = p.adjudications.where("split = 'validation' and resolution = 'exclude'").select("id").union(p.quarantine.select("id"))
+    kept = of("validation").join(dropped, "id", "left_anti")
+    if p.composite.isEmpty():
+        raise ConstraintError("composite validation ids are missing")
+    check_subset(p.composite, kept, "composite ids are retained validation ids")
+    check_checksum(p.length_exclusions, p.exclusion_checksum)
+    if p.summaries is not None:
+        check_cover(p.summaries, ids)
+    if p.auxiliary is not None:
+        check_auxiliary(p.auxiliary, p.source, list(p.auxiliary_key), list(p.auxiliary_columns))
+
+
+def stratified_sample(main: DataFrame, aux: DataFrame, length: str, key: str, n: int, seed: int) -> DataFrame:
+    """(draw, main_key, nearest, distance): n main rows drawn with replacement, each with the auxiliary row of nearest length (ties: the smaller key).
+
+    Draw i is a digest of seed and i, so neither the order nor the number of tasks matters; ``key`` numbers main rows.
+    """
+    placed = ranged.numbered(ranged.ranged(main.select(key, length), [], [key]), [], "_at")
+    draws = main.sparkSession.range(n).select(F.col("id").alias("draw"), records.drawn(main.count(), seed, F.col("id")).alias("_at"))
+    drawn = draws.join(placed.select("_at", F.col(key).alias("main_key"), F.col(length).alias("_len")), "_at").drop("_at")
+    got = sequence.nearest(drawn, "_len", aux.select(F.col(key).alias("_key"), F.col(length).alias("_other")), "_other", "_key")
+    return got.drop("_len")
+
+
 def length_distributions(examples: DataFrame, by: list[str], length: str) -> DataFrame:
     """Nearest-rank percentiles of lengths."""
     return stats.nearest_rank(examples, by, length)
