@@ -54,3 +54,57 @@ def test_lexicon_over_its_bound_is_refused(spark, monkeypatch):
     monkeypatch.setattr(imatch, "LEXICON_BYTES", 10_000)
     with pytest.raises(RuntimeError, match="bound"):
         imatch.lexicon(docs)
+
+
+def plain_fingerprint(text, lex):
+    """40 parts and a last one, by Python integers: for each subset, a hash of the kept terms' hashes in order of the terms."""
+    import struct
+
+    from xxhash import xxh64_intdigest as xxh
+
+    full = (1 << 64) - 1
+
+    def mixed(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & full
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & full
+        return x ^ (x >> 31)
+
+    distinct = set(text.encode().lower().split())
+    mine = sorted(distinct & lex)
+    out = []
+    for k in range(40):
+        salt, least = (78 + k) * 0x9E3779B97F4A7C15 & full, 3 + k // 4
+        kept = [t for t in mine if mixed(xxh(t, 77) ^ salt) < 1 << (64 - least)]
+        out.append(1 + xxh(b"".join(struct.pack("<Q", xxh(t, 77)) for t in kept), k) % (2**24 - 1) if kept else 0)
+    out.append(1 + xxh(b" ".join(sorted(distinct)), 77) % (2**24 - 1) if distinct and not any(out) else 0)
+    return out
+
+
+def plain_likeness(a, b):
+    set_ = [(x, y) for x, y in zip(a, b) if x or y]
+    return sum(x == y for x, y in set_) / len(set_) if set_ else 1.0
+
+
+def test_fingerprints_of_the_table_recomputed(spark):
+    """Every row of a whole table against fingerprints and likenesses that share no code with the module."""
+    import os
+
+    import duckdb
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables here")
+    rows = duckdb.sql(f"SELECT doc_id, coalesce(text, '') FROM '{folder}/documents.parquet' ORDER BY doc_id DESC").fetchall()
+    df = {}
+    for _, t in rows:
+        for w in set(t.encode().lower().split()):
+            df[w] = df.get(w, 0) + 1
+    lex = {w for w, c in df.items() if max(1, len(rows) / 2000) <= c <= max(1, len(rows) / 5)}
+    hexed = lambda parts: "".join(f"{p:06x}" for p in parts)
+    got = {r.doc_id: r for r in imatch.op10_imatch_fingerprints(spark, folder).collect()}
+    assert len(got) == len(rows)
+    for (i, t), (_, following) in zip(rows, [*rows[1:], rows[0]]):
+        k = len(t) // 3
+        a, b, c = (plain_fingerprint(x, lex) for x in (t, t[: len(t) - k] + following[:k], following))
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (hexed(a), hexed(b))
+        assert (got[i].near_edited, got[i].near_next) == (pytest.approx(plain_likeness(a, b)), pytest.approx(plain_likeness(a, c)))

@@ -1,6 +1,9 @@
+import os
 import random
 from collections import defaultdict
 
+import pytest
+
 from evalloom.llm import mixing
 
 
@@ -60,3 +63,54 @@ def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     assert mixing.op3_source_mixing(spark, str(tmp_path)).count() == 0
     assert mixing.mixed(spark.read.parquet(f"{tmp_path}/documents.parquet")).count() == 0
+
+
+def test_taken_by_document_recomputed(spark):
+    """``taken`` of every row by plain Python: hash order, places in the source's stream, the part of two passes below the target."""
+    import re
+    import struct
+    from fractions import Fraction
+
+    import duckdb
+    from xxhash import xxh64_intdigest
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables here")
+    rows = duckdb.sql(f"SELECT doc_id, source, text FROM '{folder}/documents.parquet'").fetchall()
+    size = {i: len(re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())) for i, _, t in rows}
+    sources = sorted({s for _, s, _ in rows}, key=lambda s: (s is None, s or ""))
+    whole = {s: sum(size[i] for i, z, _ in rows if z == s) for s in sources}
+    # targets by exact shares, reshared until none passes twice its size
+    weight = {s: Fraction((5, 2, 1)[k % 3]) for k, s in enumerate(sources)}
+    left, free, aim = Fraction(3, 2) * sum(whole.values()), {s for s in sources if whole[s]}, dict.fromkeys(sources, Fraction(0))
+    while free:
+        unit = left / sum(weight[s] for s in free)
+        over = {s for s in free if unit * weight[s] > 2 * whole[s]}
+        for s in over or free:
+            aim[s] = Fraction(2 * whole[s]) if over else unit * weight[s]
+        if not over:
+            break
+        left, free = left - sum(aim[s] for s in over), free - over
+
+    def place(i, t):
+        h = xxh64_intdigest((t or "").encode(), 42) if t is not None else 42
+        h = h - (1 << 64) if h >= 1 << 63 else h
+        seed = xxh64_intdigest(struct.pack("<i", mixing.SEED), 42)
+        for v in (i, size[i], h):
+            seed = xxh64_intdigest(struct.pack("<q", v), seed)
+        return seed
+
+    bits = mixing.fold(len(rows))
+    signed = lambda h: h - (1 << 64) if h >= 1 << 63 else h
+    want = {}
+    for s in sources:
+        at, cut = 0, int(aim[s])
+        for _, _, i in sorted(((h := place(i, t)) >> (64 - bits), signed(h), i) for i, z, t in rows if z == s):
+            spans = [(at + e * whole[s], at + e * whole[s] + size[i]) for e in range(2)]
+            want[i] = (size[i], whole[s], float(aim[s]), sum(max(0, min(b, cut) - a) for a, b in spans))
+            at += size[i]
+    got = {r.doc_id: r for r in mixing.op3_source_mixing(spark, folder).collect()}
+    assert len(got) == len(rows)
+    for i, (n, z, t, k) in want.items():
+        assert (got[i]["size"], got[i].source_size, got[i].taken) == (n, z, k) and got[i].target == pytest.approx(t, rel=1e-12)
