@@ -65,3 +65,27 @@ def test_sample_of_repeated_ids(spark):
     assert {x.y for x in got} == {1.0} and len({x.text for x in got}) == len(got)
     some = [x.text for x in got if x.text.startswith("other") or x.text == f"text {ids[0]}"]
     assert len(some) < 30 and sorted(x.text for x in got if x.text not in some) == sorted(f"text {i}" for i in ids[1:])
+
+
+def test_score_is_the_sum_of_looked_up_bins(spark, tmp_path):
+    """Each row's score again from the fitted tables, text by text: a bisection a feature, a look-up a table, a sum."""
+    import math
+    from bisect import bisect_right
+
+    from evalloom.llm import gam
+
+    docs, labels = corpus(random.Random(9), 400)
+    docs += [(6000, None, "x", 0.0), (6001, "", "x", 0.0), (6002, "A" * 5000, "x", 0.0)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string, score double").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    model = quality.fit(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    assert any(np.abs(t).max() > 0 for t in model.tables) and any(np.abs(t).max() > 0 for t in model.pair_tables)
+    got = {x.doc_id: x for x in quality.op1_quality_gam(spark, str(tmp_path)).collect()}
+    assert len(got) == len(docs)
+    for i, text, *_ in docs:
+        x = quality.features([(text or "").encode()])[0].tolist()
+        bins = [bisect_right(list(e), v) for e, v in zip(model.edges, x)]
+        f = model.intercept + sum(t[b] for t, b in zip(model.tables, bins))
+        for (a, b), t in zip(model.pairs, model.pair_tables):
+            f += t[bins[a] * gam.PAIR_BINS // (len(model.edges[a]) + 1)][bins[b] * gam.PAIR_BINS // (len(model.edges[b]) + 1)]
+        assert abs(got[i].score - 1 / (1 + math.exp(-f))) < 1e-9 and got[i].predicted == int(got[i].score >= 0.5)
